@@ -27,6 +27,8 @@ from .hashing import mix, powers, prefixes
 LENGTH, K = 200, 16
 #: Windows of a run at most; bytes of a text hashed at once; bytes of a suffix array; different runs of an anchor that one task takes.
 RUN, AT_ONCE, BLOCK_BYTES, RUNS_AT_ONCE = 512, 1 << 20, 192 << 10, 256
+#: Places of the anchor that share a part of a run, where the runs of an anchor are very many.
+STEP = 8
 SPAN = LENGTH - K + 1
 
 
@@ -229,24 +231,48 @@ def _array_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, run, bytes): two hashes of each window."""
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (anchor, run, bytes): each run cut where the anchor's place in the window passes a multiple of STEP.
+
+    Equal windows have the anchor at the same place, so they lie in parts for the same
+    multiple; inside a passage that many texts share, such parts are equal as a whole.
+    """
     for batch in batches:
         for anchor, run, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             a = np.frombuffer(data, np.uint8)
             p, (_, down) = prefixes(a), powers(len(a) + 1)
+            h = mix((p[K:] - p[:-K]) * down[: len(a) - K + 1]).view(np.int64)
             n = len(a) - LENGTH + 1
-            one = (p[LENGTH:] - p[:n]) * down[:n]
-            q = prefixes(mix(a.astype(np.uint64) + np.uint64(7)).astype(np.uint8) ^ a)
-            two = (q[LENGTH:] - q[:n]) * down[:n]
-            yield pa.RecordBatch.from_arrays([pa.array(mix(one).view(np.int64)), pa.array(mix(two).view(np.int64)), pa.array(np.full(n, anchor)), pa.array(np.full(n, run)), pa.array(np.arange(n, dtype=np.int32))], ["a", "b", "anchor", "run", "at"])
+            at = np.flatnonzero(h == anchor)
+            place = at[np.searchsorted(at, np.arange(n))]
+            key = place * LENGTH + (place - np.arange(n)) // STEP
+            low = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
+            high = np.append(low[1:], n)
+            texts = [data[i : j + LENGTH - 1] for i, j in zip(low, high, strict=True)]
+            digest = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(low)), pa.array([run] * len(low)), pa.array(low.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(texts, pa.binary())], ["anchor", "run", "low", "part", "bytes"])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (part, bytes): a hash of each window."""
+    for batch in batches:
+        for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            n = len(data) - LENGTH + 1
+            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array([part] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32))], ["window", "part", "at"])
 
 
 def _hot_ranges(slices: DataFrame) -> DataFrame:
-    """The same for anchors with very many runs: each window is counted by hash, with partial sums."""
-    seen = staged(slices.mapInArrow(_joined(_windows), "a long, b long, anchor long, run long, at int"), "hot-windows")
-    often = staged(seen.groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b"), "hot-repeats")
-    return seen.join(often, ["a", "b"]).groupBy("anchor", "run").agg(F.collect_list(F.struct(F.col("at").alias("low"), (F.col("at") + 1).alias("high"))).alias("ranges"))
+    """The same for anchors with very many runs: equal parts are one, and the windows of different parts are counted by hash."""
+    parts = staged(slices.mapInArrow(_joined(_parts), "anchor long, run long, low int, part binary, bytes binary"), "hot-parts")
+    different = staged(parts.groupBy("part").agg(F.count("*").alias("n"), F.min("bytes").alias("bytes")), "hot-different")
+    seen = staged(different.select("part", "bytes").mapInArrow(_joined(_windows), "window binary, part binary, at int"), "hot-windows")
+    often = staged(seen.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "hot-repeats")
+    alone = different.where("n = 1").select("part")
+    some = seen.join(alone, "part", "left_semi").join(often, "window").groupBy("part").agg(F.collect_list(F.struct(F.col("at").alias("low"), (F.col("at") + 1).alias("high"))).alias("ranges"))
+    whole = different.where("n > 1").select("part", F.array(F.struct(F.lit(0).alias("low"), (F.octet_length("bytes") - (LENGTH - 1)).alias("high"))).alias("ranges"))
+    ranges = staged(some.union(whole), "hot-ranges")
+    shifted = F.expr("transform(ranges, r -> struct(r.low + low AS low, r.high + low AS high))")
+    return parts.select("anchor", "run", "low", "part").join(ranges, "part").select("anchor", "run", shifted.alias("ranges")).groupBy("anchor", "run").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
 
 
 def _removed(docs: DataFrame) -> DataFrame:

@@ -41,10 +41,13 @@ def role_scores(df: DataFrame) -> DataFrame:
 def assigned_roles(df: DataFrame) -> DataFrame:
     """(match_id, puuid, role): the one-to-one assignment of each team's five with the highest score; ties go to the first in order. Other team sizes get roles in turn."""
     team = role_scores(df).groupBy("match_id", "team_id").agg(F.sort_array(F.collect_list(F.struct("pos_idx", "puuid", "scores"))).alias("t"))
-    perms = F.array(*[F.array(*map(F.lit, p)) for p in permutations(range(5))])
-    best = F.expr("array_max(transform(perms, (p, i) -> struct(round(t[0].scores[p[0]] + t[1].scores[p[1]] + t[2].scores[p[2]] + t[3].scores[p[3]] + t[4].scores[p[4]], 9) AS s, -i AS i, p AS p))).p")
-    chosen = team.withColumn("perms", perms).select("match_id", F.posexplode("t").alias("i", "x"), F.when(F.size("t") == 5, best).alias("best"))
-    return chosen.select("match_id", "x.puuid", F.coalesce(F.col("best")[F.col("i")], F.col("i") % 5).alias("role"))
+    orders = list(permutations(range(5)))
+    perms = F.array(*[F.array(*[F.lit(5 * i + r) for i, r in enumerate(p)]) for p in orders])
+    # a total to nine places and the order's number in one integer: the highest total wins, then the first order
+    best = F.expr("127 - pmod(array_max(transform(perms, (p, i) -> cast(floor((m[p[0]] + m[p[1]] + m[p[2]] + m[p[3]] + m[p[4]]) * 1e9D + 0.5D) AS bigint) * 128 + 127 - i)), 128)")
+    chosen = team.withColumns({"perms": perms, "m": F.flatten("t.scores")}).select("match_id", F.posexplode("t").alias("i", "x"), F.when(F.size("t") == 5, best).alias("best"))
+    role = F.get(F.array(*[F.array(*map(F.lit, p)) for p in orders]), F.col("best").cast("int"))[F.col("i")]
+    return chosen.select("match_id", "x.puuid", F.coalesce(role, F.col("i") % 5).alias("role"))
 
 
 def player_features(df: DataFrame) -> DataFrame:

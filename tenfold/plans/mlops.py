@@ -101,7 +101,7 @@ def paired_bootstrap(df: DataFrame, draws: int = 2000, seed: int = 0, y: str = "
         for pdf in batches:
             for low in range(0, len(pdf), 512):
                 part = pdf.iloc[low : low + 512]
-                rng = np.random.default_rng([seed, int(np.uint64(part.h.sum() & 0xFFFFFFFFFFFFFFFF)), len(part)])
+                rng = np.random.default_rng([seed, int(part.h.sum()) & 0xFFFFFFFFFFFFFFFF, low, len(part)])
                 k = rng.poisson(1.0, (draws, len(part)))
                 total += k @ part.g.to_numpy()
                 weight += k.sum(1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .tables import ordinal
+from .tables import ordinal, staged
 
 #: Traits: expression by name; about a tenth of each is null.
 TRAIT_SQL = {
@@ -43,13 +43,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def contests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each participant of each contest: ten events in a row make a contest. seq is the contest's place in time."""
+    """One row for each participant of each contest: ten events in a row make a contest. seq is the contest's place in time. Written once as a table, since most operators read it several times."""
     events = table(spark, sf_dir, "events").select("event_id", "ts", "event_type", "value", "user_id", "props")
     slots = ordinal(events, ["ts", "event_id"], "rn").selectExpr(*SLOT_SQL)
     starts = slots.groupBy("match_seq").agg(F.min("ts").alias("game_start"))
     n = (F.col("last") + 1).alias("n_seq")
     rows = slots.join(starts, "match_seq").crossJoin(F.broadcast(starts.agg(F.max("match_seq").alias("last")).select(n))).selectExpr(*ROW_SQL)
-    return rows.withColumn("seq", F.col("match_seq"))
+    return staged(rows.withColumn("seq", F.col("match_seq")), "contests")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:

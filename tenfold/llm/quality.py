@@ -114,5 +114,9 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their columns as they are."""
-    return score(docs).where("kept").select("row.*")
+    """The rows of docs that pass, with their columns as they are.
+
+    The verdict goes through a generator: a filter on it would else be pushed below the
+    measures, and the optimizer would put their expressions into each other over and over.
+    """
+    return score(docs).select("row", F.explode(F.array("kept")).alias("kept")).where("kept").select("row.*")

@@ -1,51 +1,84 @@
 """Tokenizing with the tokenizers library, with a bounded cache of encoded chunks.
 
 A text is cut only where the tokenizer itself always cuts, so the ids are those of
-encoding the whole text: at runs of blanks for a tokenizer that drops white space, and
-before a single blank between two non-blank characters for one that joins the blank to
-the next word.  Python's white space covers the tokenizer's, so no cut is made in doubt.
+encoding the whole text: at runs of blanks for a tokenizer that drops white space, and at
+a single blank between two non-blank characters for one that joins the blank to the next
+word.  Python's white space covers the tokenizer's, so no cut is made in doubt.  The
+chunks of a text that are not in the cache are encoded in one call, joined by blanks, and
+their ids are told apart by the bytes they stand for, where ids stand for bytes, and else by
+the offsets.
 """
 
 from __future__ import annotations
 
+import os
 import re
 from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 
 BLANKS = re.compile(r"[ \t\r\n]+")
-JOINED_BLANK = re.compile(r"(?<=\S)(?= \S)")
-#: Entries that the cache of one Python worker holds before it starts anew.
-CACHE_ENTRIES = 400_000
-
-
-class _Cache(dict):
-    def __init__(self, encode):
-        self.encode = encode
-
-    def __missing__(self, chunk):
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        ids = self.encode(chunk, add_special_tokens=False).ids
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+JOINED_BLANK = re.compile(r" (?<=\S )(?=\S)")
+#: Entries that the cache of one Python worker holds before it starts anew, and characters of the longest of them.
+CACHE_ENTRIES, CACHED_CHARS = 800_000, 64
 
 
 class ChunkEncoder:
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.cuts = JOINED_BLANK if tokenizer.encode(" a", add_special_tokens=False).ids != tokenizer.encode("a", add_special_tokens=False).ids else BLANKS
-        self.cache = _Cache(tokenizer.encode)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.joins = self._encode(" a").ids != self._encode("a").ids
+        self.cuts = JOINED_BLANK if self.joins else BLANKS
+        self.cache: dict[str, bytes] = {}
+        sample = " a\u00c9  \u4e2d\n\U0001f642x"
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = [len(token) for token in vocabulary]
+        self.bytewise = self.joins and self.widths[self._encode(sample).ids].sum() == len(sample.encode())
+
+    def _encode(self, text: str):
+        return self.tokenizer.encode(text, add_special_tokens=False)
+
+    def _chunks(self, text: str) -> list[str]:
+        """The chunks without the blanks between them; where these count, the first one, which has none before it, is marked by one."""
+        chunks = self.cuts.split(text)
+        if self.joins:
+            chunks[0] = " " + chunks[0]
+        return chunks
+
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The ids of different chunks that follow each other in this order in a text."""
+        text = " " + " ".join(chunks)
+        lengths = map(len, chunks if not self.bytewise or text.isascii() else map(str.encode, chunks))
+        starts = np.cumsum([0, *lengths])[:-1] + np.arange(len(chunks))
+        if chunks[0][:1] == " ":
+            text, starts[1:] = text[2:], starts[1:] - 2
+        if self.bytewise:
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<i4")
+            at = np.searchsorted(np.cumsum(self.widths[ids]), starts, "right") * 4
+        else:
+            encoded = self._encode(text)
+            ids = np.array(encoded.ids, "<i4")
+            at = np.searchsorted(np.array([start for start, _ in encoded.offsets], np.int64), starts) * 4
+        at[0], ids = 0, ids.tobytes()
+        found = {c: ids[low:high] for c, low, high in zip(chunks, at.tolist(), [*at[1:].tolist(), len(ids)], strict=True)}
+        if len(self.cache) + len(found) > CACHE_ENTRIES:
+            self.cache.clear()
+        self.cache.update((c, i) for c, i in found.items() if len(c) <= CACHED_CHARS)
+        return found
 
     def __call__(self, text: str | None, end: int) -> np.ndarray:
         """The ids of the text (null: none), then the id ``end``."""
-        chunks = self.cuts.split(text) if text else ()
-        return np.fromiter(chain(chain.from_iterable(map(self.cache.__getitem__, chunks)), (end,)), dtype=np.int32)
+        chunks = self._chunks(text) if text else []
+        got = list(map(self.cache.get, chunks))
+        if None in got:
+            found = self._learn(list(dict.fromkeys(c for c, ids in zip(chunks, got, strict=True) if ids is None)))
+            got = [found[c] if ids is None else ids for c, ids in zip(chunks, got, strict=True)]
+        got.append(end.to_bytes(4, "little"))
+        return np.frombuffer(b"".join(got), "<i4")
 
 
 @lru_cache(2)

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tenfold.llm import components, decontaminate, language_id, licenses, line_dedup, minhash, oracle, packing, quality, queries, suffix_dedup, token_files, warc
+from tenfold.llm import components, decontaminate, language_id, licenses, line_dedup, minhash, oracle, packing, quality, queries, suffix_dedup, token_files, tokens, warc
 from tenfold.llm.common import ship
 
 SF = "/root/testdata/sf0.001"
@@ -96,6 +96,20 @@ def test_fill_is_closest():
         assert sum(k * n for k, n in taken.items()) == max(s for s in sums if s <= 31) and all(n <= counts[k] for k, n in taken.items())
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_chunks_give_the_ids_of_whole_texts(name):
+    from tokenizers import Tokenizer
+
+    path, rng = queries.vocabulary(name), random.Random(1)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    encode = tokens.ChunkEncoder(path)
+    parts = ["a", "\u00e9", "e\u0301", " ", "  ", "\n", "\t", "'s", "1", "\u00b2", "\u00a0", "\u2003", "\u4e2d", "<unk>", "<|endoftext|>", "\x1c", "\x00", "\u00df", "\ufb01", "\U0001f642", "..", "\r\n", "don't"]
+    for text in ["", " ", " a", "a ", "x" * 5000, *("".join(rng.choices(parts, k=rng.randint(1, 40))) for _ in range(3000))]:
+        assert encode(text, 7).tolist() == [*t.encode(text, add_special_tokens=False).ids, 7]
+    assert encode(None, 7).tolist() == [7]
+
+
 def test_packing_keeps_every_id(docs):
     from tokenizers import Tokenizer
 

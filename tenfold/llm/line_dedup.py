@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
-RATIO = 0.2
+#: A section of a host has a template of its own.  A line of a section that makes up more than
+#: a twentieth of its host is boilerplate; text of a page's own stands on a few pages of a host at most.
+RATIO = 0.05
 #: Pages that must hold a line before it can be boilerplate.
 MIN_PAGES = 5
 HASH = "struct(xxhash64(l) AS a, hash(l) AS b)"

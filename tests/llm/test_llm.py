@@ -218,6 +218,13 @@ def test_line_dedup(docs, spark):
     assert line_dedup.cleaned(docs).columns == docs.columns and line_dedup.cleaned(docs).count() == docs.count() and line_dedup.cleaned(empty(docs)).count() == 0
 
 
+def test_line_dedup_on_a_large_host(spark):
+    stock, rare = range(0, 500, 10), range(0, 500, 50)
+    pages = spark.createDataFrame([(i, "\n".join([f"own {i}"] + ["stock"] * (i in stock) + ["rare"] * (i in rare)), "h") for i in range(500)], "doc_id long, text string, source string")
+    got = {r.row.doc_id: r.text for r in line_dedup.clean(pages).collect()}
+    assert got == {i: f"own {i}" + "\nrare" * (i in rare) for i in range(500)}
+
+
 def brute_classes(rows, k, share):
     sets = []
     for _, text in rows:

@@ -1,16 +1,20 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-Tokens are put in one order for the whole corpus, rarest first.  A block (a line) can hold
-the threshold's share of a template only if it has one of the template's first tokens
-(prefix filter), enough of the templates' tokens at all (length filter), and enough of them
-left after the first shared one (positional filter); what remains is counted out.
+Tokens are put in one order for the whole corpus, rarest first.  A block can hold the
+threshold's share of a template only if it has one of the template's first tokens (prefix
+filter), enough of the templates' tokens at all (length filter), and enough of them left
+after the first shared one (positional filter); what remains is counted out.
+
+Blocks are the lines and, for notices wrapped over lines, windows at every token of the
+text, as long as the template with room for as many other tokens as the threshold lets
+be absent.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -59,7 +63,7 @@ class Join:
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
         self.rank = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
-        self.labels, self.ranks, self.least, self.index = [], [], [], {}
+        self.labels, self.ranks, self.least, self.spans, self.index = [], [], [], [], {}
         for label, text in templates:
             ranks = sorted({self.rank[w] for w in words(text)})
             if not ranks:
@@ -70,10 +74,16 @@ class Join:
             self.labels.append(label)
             self.ranks.append(ranks)
             self.least.append(least)
+            self.spans.append(max(len(words(text)), math.ceil(len(words(text)) / threshold - 1e-9)))
         order = sorted(self.rank, key=self.rank.get)
         self.firsts = frozenset(order[r] for r in self.index)
 
     def __call__(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
+        for k, share in self.contained(block):
+            yield self.labels[k], share
+
+    def contained(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
+        """The templates, by number, of which the block has the threshold's share of tokens."""
         own = sorted({self.rank[w] for w in block if w in self.rank})
         seen: set[int] = set()
         for at, r in enumerate(own):
@@ -85,15 +95,64 @@ class Join:
                 if len(own) < least or min(len(own) - at, len(ranks) - place) < least:
                     continue
                 if (shared := len(set(own).intersection(ranks))) >= least:
-                    yield self.labels[k], shared / len(ranks)
+                    yield k, shared / len(ranks)
+
+    def windows(self, k: int, tokens: list[bytes], free: list[bool]) -> Iterator[tuple[int, float]]:
+        """(first token, share) of the best of each run of overlapping windows that hold template k, over tokens that are free."""
+        wanted, span, least = set(self.ranks[k]), self.spans[k], self.least[k]
+        held: Counter = Counter()
+        inside: deque[tuple[int, int]] = deque()
+        best, upto = (0, 0), -1
+        for at, w in enumerate(tokens):
+            if not free[at]:
+                held.clear()
+                inside.clear()
+                continue
+            if (r := self.rank.get(w)) not in wanted:
+                continue
+            inside.append((at, r))
+            held[r] += 1
+            while inside[0][0] <= at - span:
+                _, out = inside.popleft()
+                held[out] -= 1
+                if not held[out]:
+                    del held[out]
+            if len(held) < least:
+                continue
+            first = inside[0][0]
+            if best[0] and first > upto:
+                yield best[1], best[0] / len(wanted)
+                best = (0, 0)
+            if len(held) > best[0]:
+                best = (len(held), first)
+            upto = at
+        if best[0]:
+            yield best[1], best[0] / len(wanted)
+
+    def blocks(self, lines: list[list[bytes]]) -> Iterator[tuple[int, str, float]]:
+        """(line, label, share): lines that contain templates, and lines in which a window begins that contains one which none of its lines does."""
+        found: dict[int, set[int]] = {}
+        for n, line in enumerate(lines):
+            for k, share in self.contained(line):
+                found.setdefault(k, set()).add(n)
+                yield n, self.labels[k], share
+        if len(lines) == 1:
+            return
+        tokens = [w for line in lines for w in line]
+        owner = [n for n, line in enumerate(lines) for _ in line]
+        for k, _ in self.contained(tokens):
+            whole = found.get(k, ())
+            for first, share in self.windows(k, tokens, [n not in whole for n in owner]):
+                yield owner[first], self.labels[k], share
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_words, places, blocks): where phrases stand, and which lines contain which templates.
+    """(doc_id, n_words, places, blocks): where phrases stand, and which blocks contain which templates.
 
     Null and empty texts have no words; a template without words is ignored; equal rows get
     equal results; a null doc_id stays null; other columns are left out; empty tables give
-    no rows.  A line of any length is one block.
+    no rows.  A line of any length is one block; the window of a wrapped notice is
+    told by the line it begins in.
     """
     templates = TEMPLATES if templates is None else templates
     wanted = [(tuple(words(p)), label) for p, label in (PHRASES if phrases is None else phrases).items()]
@@ -123,7 +182,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrase
                 found = words(text)
                 n.append(len(found))
                 at.append(places(found))
-                blocks.append([] if join.firsts.isdisjoint(found) else [{"block": k, "label": label, "containment": share} for k, line in enumerate(text.split("\n")) for label, share in join(words(line))])
+                blocks.append([] if join.firsts.isdisjoint(found) else [{"block": line, "label": label, "containment": share} for line, label, share in join.blocks([words(line) for line in text.split("\n")])])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(at, place), pa.array(blocks, block)], ["doc_id", "n_words", "places", "blocks"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

@@ -1,8 +1,10 @@
 """Corpus operators against brute force, round trips and edge rows."""
 
 import hashlib
+import math
 import random
 import struct
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -85,6 +87,34 @@ def test_set_join_finds_all():
         assert Counter(label for label, _ in join(block)) == want
 
 
+@pytest.mark.parametrize("width", [70, 75, 80])
+def test_licenses_wrapped_over_lines(spark, width):
+    notices = [t for _, t in licenses.TEMPLATES if t.startswith(("Permission", "This program", "Redistribution"))]
+    texts = ["own words\n\n" + "\n".join(f"{mark}{line}" for line in textwrap.wrap(f"{t} and some more words of the notice that go on for a while", width)) for t in notices for mark in ("", " * ")]
+    texts += ["\n".join(textwrap.wrap(" ".join(w + " own words" for w in t.split()), width)) for t in notices]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: [(b.block, b.label, b.containment) for b in r.blocks] for r in got} == {i: [(2, label, 1.0)] for i, label in enumerate(["mit", "mit", "gpl", "gpl", "bsd", "bsd"])} | {6: [], 7: [], 8: []}
+
+
+def test_windows_find_all():
+    rng = random.Random(7)
+    vocabulary = [f"w{i}" for i in range(25)]
+    templates = [(f"l{k}", " ".join(rng.choices(vocabulary, k=rng.randint(4, 12)))) for k in range(8)]
+    join = licenses.Join(templates, {w.encode(): rng.randint(0, 5) for w in vocabulary}, 0.8)
+    seen = 0
+    for _ in range(200):
+        lines = [[rng.choice([*vocabulary, "x", "y"]).encode() for _ in range(rng.randint(0, 9))] for _ in range(rng.randint(1, 12))]
+        tokens = [w for line in lines for w in line]
+        want = set()
+        for label, t in templates:
+            own, span = {w.encode() for w in t.split()}, math.ceil(len(t.split()) / 0.8 - 1e-9)
+            if max(len(own.intersection(x)) for x in [*lines, *(tokens[i : i + span] for i in range(len(tokens)))]) >= 0.8 * len(own) - 1e-9:
+                want.add(label)
+        assert {label for _, label, _ in join.blocks(lines)} == want
+        seen += len(want - {label for line in lines for label, _ in join(line)})
+    assert seen > 0
+
+
 def test_fill_is_closest():
     rng = random.Random(5)
     for _ in range(60):

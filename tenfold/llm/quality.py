@@ -2,12 +2,15 @@
 
 Each measure is kept as a histogram sketch: counts by bucket of fixed width, so sketches of
 parts of the corpus merge by adding counts, and a quantile is off by one bucket at most.
-Thresholds are the median and a multiple of the quartile range on either side, at least a
-floor; a small table of thresholds is then joined to the documents.  DataFrame functions only.
+Thresholds are the median and a multiple of the spread on either side, at least a floor: of
+the quartile range in the scores, whose SQL fixes it, and of a spread that junk cannot move,
+pooled for small groups, in the filter.  A small table of thresholds is then joined to the documents.  DataFrame functions only.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ from .common import SPACE_WORDS, staged
 #: measure: (buckets in a unit, highest bucket, least distance of a threshold from the median in buckets, has a lower threshold)
 MEASURES = {"word_length": (20, 400, 60, True), "symbols": (50, 500, 15, False), "dup_lines": (50, 50, 20, False), "capitals": (50, 50, 15, False)}
 SPREAD = 6
+#: Documents from which a group has thresholds of its own: with a third of junk, under one group of 100 in a thousand has a majority of it.
+LEAST_GROUP = 100
 #: Groups of language and source up to which the thresholds are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 
@@ -74,33 +79,56 @@ def sketches(docs: DataFrame) -> DataFrame:
     return measured.select("lang", "source", each).select("lang", "source", "x.*").where("bucket IS NOT NULL").groupBy("lang", "source", "measure", "bucket").agg(F.count("*").alias("n"))
 
 
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) in buckets. A sketch has at most the measure's highest bucket as rows."""
+def _quartiles(sketch: DataFrame, *group: str) -> DataFrame:
+    """(group, measure, n, q1, q2, q3). A sketch has at most the measure's highest bucket as rows."""
     quantile = lambda q: f"filter(c, x -> 100 * x.n >= {q} * n)[0].bucket"
-    per = (
-        sketch.groupBy("lang", "source", "measure")
+    return (
+        sketch.groupBy(*group, "measure")
         .agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("n"))
         .withColumn("c", F.expr("transform(h, (x, i) -> struct(x.bucket AS bucket, aggregate(slice(h, 1, i + 1), 0L, (a, y) -> a + y.n) AS n))"))
-        .selectExpr("lang", "source", "measure", f"{quantile(25)} AS q1", f"{quantile(50)} AS q2", f"{quantile(75)} AS q3")
+        .selectExpr(*group, "measure", "n", f"{quantile(25)} AS q1", f"{quantile(50)} AS q2", f"{quantile(75)} AS q3")
     )
+
+
+def _limits(per: DataFrame, spread: str) -> DataFrame:
     out = []
     for m, (_, _, floor, lower) in MEASURES.items():
-        reach = f"greatest({SPREAD} * (q3 - q1), {floor})"
+        reach = f"greatest({SPREAD} * ({spread}), {floor})"
         out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 + {reach} END) AS {m}_high"))
         if lower:
             out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 - {reach} END) AS {m}_low"))
     return per.groupBy("lang", "source").agg(*out)
 
 
-def score(docs: DataFrame) -> DataFrame:
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """(lang, source, <measure>_low, <measure>_high) in buckets, from each group's own quartiles."""
+    return _limits(_quartiles(sketch, "lang", "source"), "q3 - q1")
+
+
+def firm_thresholds(sketch: DataFrame) -> DataFrame:
+    """As thresholds, but a third of junk on either side of the rest cannot move them far.
+
+    The spread is twice the lesser distance of a quartile from the median: junk of up to half
+    a group reaches one quartile only.  A group of under LEAST_GROUP documents takes the
+    quartiles of its language, and a language of so few those of the corpus, from the
+    merged sketches.
+    """
+    merged = lambda *by: _quartiles(sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n")), *by)
+    own = lambda df, name: df.select(*[c for c in ("lang", "source", "measure") if c in df.columns], F.struct("n", "q1", "q2", "q3").alias(name))
+    per = own(_quartiles(sketch, "lang", "source"), "a").join(own(merged("lang"), "b"), ["lang", "measure"]).join(F.broadcast(own(merged(), "c")), "measure")
+    per = per.select("lang", "source", "measure", F.expr(f"CASE WHEN a.n >= {LEAST_GROUP} THEN a WHEN b.n >= {LEAST_GROUP} THEN b ELSE c END").alias("x"))
+    return _limits(per.select("lang", "source", "measure", "x.*"), "2 * least(q3 - q2, q2 - q1)")
+
+
+def score(docs: DataFrame, limits_of: Callable[[DataFrame], DataFrame] = thresholds) -> DataFrame:
     """Columns: row (a struct of the given columns), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    Thresholds come from sketches of all of docs.  Null and empty texts have no words and
+    Thresholds come by ``limits_of`` from sketches of all of docs.  Null and empty texts have no words and
     fail the base rules.  A null lang or source is a group of its own.  Equal rows count
     each by itself and get equal verdicts.  Extra columns of any name stay in ``row``.  An
     empty table gives no rows.
     """
-    limits = staged(thresholds(sketches(docs)), "quality-thresholds")
+    limits = staged(limits_of(staged(sketches(docs), "quality-sketches")), "quality-thresholds")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     measured = _repeats(_words(_texts(docs))).withColumns(_buckets())
@@ -114,9 +142,9 @@ def score(docs: DataFrame) -> DataFrame:
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass, with their columns as they are.
+    """The rows of docs that pass by the firm thresholds, with their columns as they are.
 
     The verdict goes through a generator: a filter on it would else be pushed below the
     measures, and the optimizer would put their expressions into each other over and over.
     """
-    return score(docs).select("row", F.explode(F.array("kept")).alias("kept")).where("kept").select("row.*")
+    return score(docs, firm_thresholds).select("row", F.explode(F.array("kept")).alias("kept")).where("kept").select("row.*")

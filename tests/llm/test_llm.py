@@ -69,6 +69,22 @@ def test_quality_on_edges(docs):
     assert quality.filtered(docs).columns == docs.columns and quality.filtered(empty(docs)).count() == 0
 
 
+def test_quality_filter_stands_junk(spark):
+    """A third of a source is junk, in symbols or in short words; a group of one document, and one of two, hold junk."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 7)))
+    good = lambda: " ".join(word() for _ in range(60))
+    symbols = lambda: " ".join(f"#*{word()}|" for _ in range(60))
+    short = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))
+    rows = [(g, good(), "en", s) for s, junk in (("symbols", symbols), ("short", short)) for g in [True] * 200]
+    rows += [(False, junk(), "en", s) for s, junk in (("symbols", symbols), ("short", short)) for _ in range(100)]
+    rows += [(False, symbols(), "en", "one"), (False, symbols(), "de", "one"), (False, symbols(), "en", "two"), (True, good(), "en", "two")]
+    d = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, good boolean, text string, lang string, source string")
+    got = Counter((r.source, r.lang, r.good) for r in quality.filtered(d).collect())
+    assert {k: n for k, n in got.items() if k[1:] == ("en", False) or k[0] == "one"} == {}
+    assert got["symbols", "en", True] == 200 and got["short", "en", True] == 200 and got["two", "en", True] == 1
+
+
 def test_licenses_on_edges(docs, spark):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty(docs)).count() == 0
     lines = "foo\nReleased under the mit LICENSE.\nuses GNU General Public License, version 3, this work is licensed under"

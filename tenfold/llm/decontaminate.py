@@ -1,7 +1,7 @@
 """Benchmark decontamination with a positional inverted index.  DataFrame functions only.
 
 The words of the test items are counted in the corpus; each window of an item is found by
-its rarest word.  The index stores, for these words, every position in the corpus together
+its rarest word, or for near matches by its few rarest ones.  The index stores, for these words, every position in the corpus together
 with the words around it.  A posting's position less the word's offset in the window gives
 a start, and the lists of the window's other words are intersected there by comparing the
 words around the posting: equal in order is an exact match, equal as a bag is a near one.
@@ -56,6 +56,13 @@ def anchored(found: DataFrame, counts: DataFrame) -> DataFrame:
     return words.groupBy("w").agg(F.min(F.struct("n", "term", "k")).alias("x"), F.first("items").alias("items")).select("x.term", "x.k", "w", "items")
 
 
+def near_anchored(found: DataFrame, counts: DataFrame, near: float) -> DataFrame:
+    """As anchored, with as many of the window's rarest different words as leave one that each near match must have."""
+    words = found.select("w", "items", F.posexplode("w").alias("k", "term")).groupBy("w", "term").agg(F.min("k").alias("k"), F.first("items").alias("items")).join(_small(staged(counts, "test-term-counts")), "term")
+    each = words.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("n", "term", "k"))).alias("x"), F.first("items").alias("items"))
+    return each.select("w", "items", F.expr(f"explode(slice(x, 1, cast(size(x) - ceil({near} * size(x)) + 1 AS int))) AS x")).select("x.term", "x.k", "w", "items")
+
+
 def postings(docs: DataFrame, terms: DataFrame, size: int = WINDOW) -> DataFrame:
     """The index: (term, key, pos, low, around) for every place of the terms; around are the words from position low on."""
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), _words(F.col("text")).alias("words"))
@@ -71,17 +78,18 @@ def matches(index: DataFrame, anchors: DataFrame, near: float | None = None) ->
     return hits.where(ok).select("key", "start", F.size("w").alias("length"), "items", "exact")
 
 
-def _anchors_and_index(docs: DataFrame, items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+def _anchors_and_index(docs: DataFrame, items: DataFrame, size: int, near: float | None = None) -> tuple[DataFrame, DataFrame]:
     found = staged(windows(items, size), "test-windows")
-    anchors = staged(anchored(found, term_counts(docs, found)), "test-anchors")
+    counts = term_counts(docs, found)
+    anchors = staged(anchored(found, counts) if near is None else near_anchored(found, counts, near), "test-anchors")
     index = staged(postings(docs, staged(anchors.select("term").distinct(), "anchor-terms"), size), "postings")
     return anchors, index
 
 
 def near_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: float = NEAR) -> DataFrame:
     """(key, start, length, items, exact) with the near matches; key is that of ``common.row_key``."""
-    anchors, index = _anchors_and_index(docs, items, size)
-    return matches(index, anchors, near)
+    anchors, index = _anchors_and_index(docs, items, size, near)
+    return matches(index, anchors, near).distinct()
 
 
 def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:

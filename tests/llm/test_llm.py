@@ -225,6 +225,19 @@ def test_decontamination(docs, spark):
     assert {r.exact for r in decontaminate.near_matches(other, items).collect()} == {False}
 
 
+def test_near_matches_without_the_rarest_words(spark):
+    item = [f"w{i:02}" for i in range(13)]
+    changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(item))
+    texts = [changed(*at) for at in [(), (0,), (0, 1), (0, 1, 2), (5,), (0, 12), (3, 4, 5, 6)]] + ["w05 w06"] * 3
+    items = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    want = [i for i, t in enumerate(texts) if len(set(t.split()) & set(item)) >= 0.8 * 13]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    keys = {bytes(r.key): r.doc_id for r in d.select("doc_id", decontaminate.row_key(F.col("doc_id"), F.col("text")).alias("key")).collect()}
+    assert sorted({keys[bytes(r.key)] for r in decontaminate.near_matches(d, items).collect()}) == want == [0, 1, 2, 4, 5]
+    unseen = spark.createDataFrame([(1, changed(0))], "doc_id long, text string")
+    assert decontaminate.near_matches(unseen, items).count() > 0
+
+
 def test_language_held_out(spark):
     d = queries.table(spark, "/root/testdata/sf0.01", "documents")
     got = language_id.predict(d, language_id.train(d.where(~queries.held_out()))).join(d.select("doc_id", "lang"), "doc_id").where(queries.held_out())

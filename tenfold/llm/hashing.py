@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+from hashlib import blake2b
+
 import numpy as np
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-SPACE = np.zeros(256, bool)
-SPACE[[0x20, *range(0x09, 0x0E)]] = True
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+#: Words kept with their hashes, and the bytes of a word up to which it is kept.
+KEPT_WORDS, KEPT_BYTES = 1 << 20, 64
 #: Bytes hashed at once; texts are cut between words.
 AT_ONCE = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -36,20 +40,31 @@ def prefixes(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class _Known(dict):
+    """Hashes of words by blake2b, which cannot be made to collide as polynomials can; short words are kept, up to a bound."""
+
+    def __missing__(self, word: bytes) -> int:
+        h = int.from_bytes(blake2b(word, digest_size=8).digest(), "little")
+        if len(word) <= KEPT_BYTES:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = h
+        return h
+
+
+_known = _Known()
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """Of the words between ASCII white space, in order; data has A-Z lowered already if that is wanted."""
-    a = np.frombuffer(data, np.uint8)
     out, low = [], 0
-    while low < len(a):
-        high = len(a)
-        if high - low > AT_ONCE:
-            blank = np.flatnonzero(SPACE[a[low + AT_ONCE :]])
-            high = low + AT_ONCE + int(blank[0]) if len(blank) else len(a)
-        part = a[low:high]
-        edge = np.flatnonzero(np.diff(np.concatenate([[1], SPACE[part].view(np.int8), [1]])))
-        starts, ends = edge[::2], edge[1::2]
-        p, (_, down) = prefixes(part), powers(len(part) + 1)
-        out.append(mix((p[ends] - p[starts]) * down[starts] + (ends - starts).astype(np.uint64)))
+    while low < len(data):
+        high = low + AT_ONCE
+        if high < len(data):
+            blank = BLANK.search(data, high)
+            high = blank.start() if blank else len(data)
+        words = data[low:high].split()
+        out.append(np.fromiter(map(_known.__getitem__, words), np.uint64, len(words)))
         low = high
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 

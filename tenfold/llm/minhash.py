@@ -1,17 +1,20 @@
 """Near duplicates: many universal hash minima, banding, verification, star components.
 
 Equal shingle sets are one node.  In each band's bucket the nodes are linked to one hub, the
-node that meets most others over all bands, rather than to each other; a signature test and
-then a count on the full sets confirm each link.  Buckets that still hold several components
-are gone through again: the nodes outside the hub's component against every node of the
-bucket, in blocks, so that no link between components is lost, and only links that join two
-components leave a block.
+node that meets most others over all bands, rather than to each other; a test of set sizes
+and signatures and then a count on the full sets confirm each link.  Buckets that still hold
+several components besides the hub are gone through again: the nodes outside the largest
+component against every node of the bucket, in blocks, each pair in its first common band
+only; large buckets are split by a second band first.  So no link between components is lost,
+and only links that join two components leave a block.  Texts are read again once, for the
+nodes that share a band with any other.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from hashlib import blake2b
 from itertools import groupby
 
 import numpy as np
@@ -19,20 +22,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, staged
+from .common import discard, row_key, staged
 from .components import components
 from .hashing import mix, shared, shingles, word_hashes
 
-#: Minima of a band; chance that a link at the threshold shares no band; deviations that an estimate may lie below the threshold.
+#: Minima of a band; chance that a link at the threshold shares fewer than two bands; deviations that an estimate may lie below the threshold.
 ROWS, MISSED, DEVIATIONS = 4, 1e-7, 5.0
-#: Nodes of a block.
+#: Nodes of a block; a bucket of more is split by a second band.
 BLOCK = 256
-SIGNED = "key binary, doc_id long, n long, node binary, sig binary, bands array<long>"
+SIGNED = "key binary, doc_id long, n long, node binary, sig binary"
+HIDDEN = "band long, i int, j int, block int"
 
 
 def bands_for(threshold: float) -> int:
-    """Bands so that a pair at the threshold is missed with a chance of MISSED at most."""
-    return math.ceil(math.log(MISSED) / math.log(1 - threshold**ROWS))
+    """Bands so that a pair at the threshold shares fewer than two with a chance of MISSED at most."""
+    p, n = threshold**ROWS, 2
+    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > MISSED:
+        n += 1
+    return n
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +48,11 @@ def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signature(s: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least (a x + b mod 2^64) div 2^32 over the set, for each hash function."""
+    """16 bits of the least a x + b mod 2^64 over the set, for each hash function."""
     out = np.full(len(a), np.uint64((1 << 64) - 1))
     for low in range(0, len(s), 256):
         np.minimum(out, (s[low : low + 256, None] * a + b).min(0), out=out)
-    return (out >> np.uint64(32)).astype(np.uint32)
+    return mix(out).astype(np.uint16)
 
 
 def text_shingles(text: str | None, k: int) -> np.ndarray:
@@ -53,29 +60,18 @@ def text_shingles(text: str | None, k: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, bands: int) -> DataFrame:
-    """(key, doc_id, n, node, sig, bands) per row; node is a hash of the whole set, null for an empty one."""
+    """(key, doc_id, n, node, sig) per row; node is a hash of the whole set, null for an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = multipliers(bands * ROWS)
-        salt = np.arange(bands, dtype=np.uint64)
         for batch in batches:
-            n, nodes, sigs, keys = [], [], [], []
+            n, nodes, sigs = [], [], []
             for text in batch.column(2):
                 s = text_shingles(text.as_py(), k)
                 n.append(len(s))
-                if not len(s):
-                    nodes.append(None)
-                    sigs.append(None)
-                    keys.append(None)
-                    continue
-                sig = signature(s, a, b)
-                nodes.append(np.array([s.sum(), mix(s ^ a[0]).sum()], np.uint64).tobytes())
-                sigs.append(sig.tobytes())
-                h = salt
-                for col in sig.reshape(bands, ROWS).T:
-                    h = mix(h + mix(col.astype(np.uint64) + a[1]))
-                keys.append(h.view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["key", "doc_id", "n", "node", "sig", "bands"])
+                nodes.append(blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                sigs.append(signature(s, a, b).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(nodes, pa.binary()), pa.array(sigs, pa.binary())], ["key", "doc_id", "n", "node", "sig"])
 
     rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, SIGNED)
@@ -103,30 +99,32 @@ def _rows(rows: Iterator[tuple], schema: list[tuple[str, pa.DataType]], size: in
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*held, strict=True), schema, strict=True)], [n for n, _ in schema])
 
 
-def _estimated(pairs: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """The pairs (u, v) whose signatures agree in that share of places."""
-    of = lambda c: sigs.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"))
+def _alike(own: np.ndarray, sig: np.ndarray, sizes: np.ndarray, n: int, share: tuple[int, int], least: float) -> np.ndarray:
+    """Which of the signatures may belong to sets with that share: by the sizes of the sets, then by the places in which they agree."""
+    fits = share[1] * np.minimum(sizes, n) >= share[0] * np.maximum(sizes, n)
+    fits[fits] = (own[fits] == sig).mean(1) >= least
+    return fits
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(batch.num_rows, -1) for c in (2, 3))
-            yield batch.filter(pa.array((a == b).mean(1) >= least)).select([0, 1]) if batch.num_rows else batch.select([0, 1])
 
-    return pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u binary, v binary")
+def _estimated(pairs: DataFrame, nodes: DataFrame, share: tuple[int, int], least: float) -> DataFrame:
+    """The pairs (u, v) that may be linked."""
+    of = lambda c: nodes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("sig").alias(f"sig_{c}"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(batch.num_rows, -1) for c in (2, 3))
+                yield batch.filter(pa.array((a == b).mean(1) >= least)).select([0, 1])
 
-def _texts(wanted: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """Adds to rows with a ``node`` the text of a document that has its set. If the rows are few, the texts are not shuffled."""
-    need = wanted.join(nodes.select("node", "key"), "node")
-    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text"))
-    return texts.join(staged(need, "texts-wanted"), "key")
+    sized = pairs.join(of("u"), "u").join(of("v"), "v").where(share[1] * F.least("n_u", "n_v") >= share[0] * F.greatest("n_u", "n_v"))
+    return sized.select("u", "v", "sig_u", "sig_v").mapInArrow(run, "u long, v long")
 
 
-def _hub_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+def _hub_links(pairs: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """The pairs (u, hub v) confirmed on their full sets. A hub's text goes once to each block of its nodes."""
     sizes = pairs.groupBy("v").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    members = pairs.join(sizes, "v").select("v", F.expr("cast(pmod(xxhash64(u), blocks) as int)").alias("block"), F.lit(1).alias("role"), F.col("u").alias("node"))
-    hubs = sizes.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("v").alias("node"))
+    members = pairs.join(sizes, "v").select("v", F.expr("cast(pmod(xxhash64(u), blocks) as int)").alias("block"), F.lit(1).alias("role"), F.col("u").alias("id"))
+    hubs = sizes.select("v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.col("v").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
@@ -141,56 +139,74 @@ def _hub_links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, shar
                     elif share[1] * (n := shared(own, s)) >= share[0] * (len(own) + len(s) - n):
                         yield hub, node
 
-        yield from _rows(found(), [("u", pa.binary()), ("v", pa.binary())])
+        yield from _rows(found(), [("u", pa.int64()), ("v", pa.int64())])
+
+    dealt = members.union(hubs).join(texts, "id").select("v", "block", "role", "id", "text")
+    return dealt.repartition("v", "block").sortWithinPartitions("v", "block", "role", "id").mapInArrow(run, "u long, v long")
+
 
-    dealt = _texts(staged(members.union(hubs), "hub-blocks"), nodes, docs).select("v", "block", "role", "node", "text")
-    return dealt.repartition("v", "block").sortWithinPartitions("v", "block", "role", "node").mapInArrow(run, "u binary, v binary")
+def _with_main(members: DataFrame) -> DataFrame:
+    """Adds to the rows (band, j, id, component) of buckets with several components the bucket's size n and its largest component, main."""
+    counts = members.groupBy("band", "j", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("band", "j").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("components"))
+    return members.join(main.where("components > 1").select("band", "j", "n", F.col("x.component").alias("main")), ["band", "j"])
 
 
-def _blocks(members: DataFrame, hubs: DataFrame, of: DataFrame) -> DataFrame:
-    """(band, block, role, node, component): for buckets with several components, each node in its block with role 0,
-    and the nodes outside the hub's component in every block with role 1."""
-    comp = members.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    comp = staged(comp.select("band", "node", "component"), "bucket-components")
-    mixed = comp.groupBy("band").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b")
-    main = mixed.select("band", "n").join(hubs, "band").join(of.select(F.col("node").alias("hub"), F.col("component").alias("main")), "hub", "left")
-    main = staged(main.select("band", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"), F.coalesce("main", "hub").alias("main")), "mixed-buckets")
-    rows = comp.join(main, "band")
-    data = rows.select("band", F.expr("cast(pmod(xxhash64(node), blocks) as int)").alias("block"), F.lit(0).alias("role"), "node", "component")
-    asked = rows.where("component <> main").select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "node", "component")
+def _blocks(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(band, i, j, block, role, id, component): each node of a bucket with several components in its block with role 0,
+    and the nodes outside the bucket's largest component in every block with role 1.
+
+    Hubs are left out, as they have met their whole buckets.  A bucket of more than BLOCK nodes is split:
+    two nodes meet there only if they share another band j after i too.
+    """
+    comp = members.where("id <> hub").join(of.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "i", F.lit(-1).alias("j"), "id", F.coalesce("component", "id").alias("component"))
+    mixed = staged(_with_main(staged(comp, "bucket-components")), "mixed-buckets")
+    hot = mixed.where(F.col("n") > BLOCK).select("band", "i", "id", "component")
+    second = members.select("id", F.col("i").alias("other"))
+    split = staged(_with_main(hot.join(second, "id").where("other > i").select("band", "i", F.col("other").alias("j"), "id", "component")), "split-buckets")
+    rows = mixed.where(F.col("n") <= BLOCK).unionByName(split).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    data = rows.select("band", "i", "j", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(0).alias("role"), "id", "component")
+    asked = rows.where("component <> main").select("band", "i", "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "component")
     return data.union(asked)
 
 
-def _promising(blocks: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """The rows of blocks that have a partner of the other role and another component by estimate."""
+def _promising(blocks: DataFrame, nodes: DataFrame, share: tuple[int, int], least: float) -> DataFrame:
+    """The rows of blocks that may be linked to one of the other role and another component. A pair is looked at where its first common bands are i (and j) only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for (band, block), rows in _grouped(batches, 2):
-                nodes, comps, sigs_of, hit, own = [], [], [], None, None
-                for _, _, role, node, comp, sig in rows:
-                    sig = np.frombuffer(sig, np.uint32)
+            for (band, i, j, block), rows in _grouped(batches, 4):
+                ids, comps, sizes, sigs, own = [], [], [], [], None
+                for *_, role, node, comp, n, sig in rows:
+                    sig = np.frombuffer(sig, np.uint16)
                     if role == 0:
-                        nodes.append(node)
+                        ids.append(node)
                         comps.append(comp)
-                        sigs_of.append(sig)
+                        sizes.append(n)
+                        sigs.append(sig)
                         continue
                     if own is None:
-                        if not nodes:
+                        if not ids:
                             continue
-                        own, hit, other = np.stack(sigs_of), np.zeros(len(nodes), bool), np.array(comps, object)
-                    good = ((own == sig).mean(1) >= least) & (other != comp)
-                    if good.any():
-                        hit |= good
-                        yield band, block, 1, node, comp
-                if hit is not None:
-                    for k in np.flatnonzero(hit):
-                        yield band, block, 0, nodes[k], comps[k]
-
-        yield from _rows(found(), [("band", pa.int64()), ("block", pa.int32()), ("role", pa.int32()), ("node", pa.binary()), ("component", pa.binary())])
-
-    dealt = blocks.join(sigs.select("node", "sig"), "node").select("band", "block", "role", "node", "component", "sig")
-    return dealt.repartition("band", "block").sortWithinPartitions("band", "block", "role", "node").mapInArrow(run, "band long, block int, role int, node binary, component binary")
+                        own, of, size, hit = np.stack(sigs), np.array(comps), np.array(sizes), np.zeros(len(ids), bool)
+                    at = np.flatnonzero(_alike(own, sig, size, n, share, least) & (of != comp))
+                    common = (own[at] == sig).reshape(len(at), len(sig) // ROWS, ROWS).all(2)
+                    first = common.argmax(1)
+                    right = common.any(1) & (first == i)
+                    if j >= 0:
+                        common[np.arange(len(at)), first] = False
+                        right &= common.any(1) & (common.argmax(1) == j)
+                    if right.any():
+                        hit[at[right]] = True
+                        yield band, i, j, block, 1, node, comp
+                if own is not None:
+                    for x in np.flatnonzero(hit):
+                        yield band, i, j, block, 0, ids[x], comps[x]
+
+        yield from _rows(found(), [("band", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("component", pa.int64())])
+
+    dealt = blocks.join(nodes.select("id", "n", "sig"), "id").select("band", "i", "j", "block", "role", "id", "component", "n", "sig")
+    return dealt.repartition("band", "i", "j", "block").sortWithinPartitions("band", "i", "j", "block", "role", "id").mapInArrow(run, f"{HIDDEN}, role int, id long, component long")
 
 
 class _Joined:
@@ -210,14 +226,14 @@ class _Joined:
         return a != b
 
 
-def _block_links(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+def _block_links(blocks: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
     """(u, v): links between components, confirmed on full sets; of each block, as many as join its components."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for _, rows in _grouped(batches, 2):
+            for _, rows in _grouped(batches, 4):
                 comps, sets, values, last, joined = [], [], None, None, _Joined()
-                for _, _, role, node, comp, text in rows:
+                for *_, role, node, comp, text in rows:
                     if (role, node) == last:
                         continue
                     last, s = (role, node), text_shingles(text, k)
@@ -243,10 +259,35 @@ def _block_links(blocks: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, s
                         if joined.join(comp, comps[i]):
                             yield comp, comps[i]
 
-        yield from _rows(found(), [("u", pa.binary()), ("v", pa.binary())])
+        yield from _rows(found(), [("u", pa.int64()), ("v", pa.int64())])
 
-    dealt = _texts(blocks, nodes, docs).select("band", "block", "role", "node", "component", "text")
-    return dealt.repartition("band", "block").sortWithinPartitions("band", "block", "role", "node").mapInArrow(run, "u binary, v binary")
+    dealt = blocks.join(texts, "id").select("band", "i", "j", "block", "role", "id", "component", "text")
+    return dealt.repartition("band", "i", "j", "block").sortWithinPartitions("band", "i", "j", "block", "role", "id").mapInArrow(run, "u long, v long")
+
+
+def _linked(nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], bands: int) -> DataFrame:
+    """(id, component): the nodes (id, key, n, sig) that are linked to others, with the least id of their component."""
+    threshold = share[0] / share[1]
+    least = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / (bands * ROWS))
+    placed = nodes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("i", "band"))
+    several = staged(placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
+    met = staged(placed.join(several.hint("merge"), "band"), "members")
+    own = staged(nodes.join(met.groupBy("id").agg(F.sum("n").alias("weight")).hint("merge"), "id"), "member-nodes")
+    texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(own.select("key", "id").hint("shuffle_hash"), "key").select("id", "text")
+    texts = staged(texts, "member-texts")
+    hubs = met.join(own.select("id", "weight"), "id").groupBy("band").agg(F.max(F.struct("weight", "id")).alias("x")).select("band", F.col("x.id").alias("hub"))
+    members = staged(met.join(hubs, "band").select("band", "i", "id", "hub"), "buckets")
+    discard(several, met)
+    stars = members.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
+    near = staged(_estimated(stars, own, share, least), "stars-estimated")
+    first = staged(components(_hub_links(near, texts, k, share)), "components")
+    blocks = staged(_promising(_blocks(members, first), own, share, least), "blocks")
+    second = staged(components(_block_links(blocks, texts, k, share)), "components")
+    merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+    alone = second.join(first, "node", "left_anti").select("node", "component")
+    found = staged(merged.union(alone).select(F.col("node").alias("id"), "component"), "components")
+    discard(own, texts, members, near, first, blocks, second)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
@@ -259,33 +300,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 1
     never a component's id unless it has no other.  Equal rows share a component and a key.
     Texts of any length are taken whole; other columns are left out; an empty table gives no rows.
     """
-    threshold = share[0] / share[1]
-    bands = bands_for(threshold)
-    least = threshold - DEVIATIONS * math.sqrt(threshold * (1 - threshold) / (bands * ROWS))
+    bands = bands_for(share[0] / share[1])
     signed = staged(signatures(docs, k, bands), "signatures")
-    nodes = staged(signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("key", "sig", "bands")).alias("x")).select("node", "x.*"), "nodes")
-    placed = nodes.select("node", F.explode("bands").alias("band"))
-    shared_bands = placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    members = staged(placed.join(staged(shared_bands, "bands"), "band"), "members")
-    weights = members.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = staged(members.join(weights, "node").groupBy("band").agg(F.max(F.struct("weight", "node")).alias("x")).select("band", F.col("x.node").alias("hub")), "hubs")
-    stars = staged(members.join(hubs, "band").where("node <> hub").select(F.col("node").alias("u"), F.col("hub").alias("v")).distinct(), "stars")
-    links = staged(_hub_links(staged(_estimated(stars, nodes, least), "stars-estimated"), nodes, docs, k, share), "links")
-    first = staged(components(links), "components")
-    blocks = staged(_promising(_blocks(members.select("band", "node"), hubs, first), nodes, least), "blocks")
-    more = staged(_block_links(blocks, nodes, docs, k, share), "links")
-    second = staged(components(more), "components")
-    merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
-    alone = second.join(first, "node", "left_anti").select("node", "component")
-    of_node = staged(merged.union(alone), "components")
-    rows = signed.select("key", "doc_id", "n", "node").join(of_node, "node", "left").withColumn("component", F.coalesce("component", "node", F.unhex(F.md5(F.concat(F.lit("alone"), F.hex("key"))))))
-    rows = staged(rows, "classed")
+    nodes = signed.where("node IS NOT NULL").groupBy("node").agg(F.min(F.struct("key", "n", "sig")).alias("x"))
+    nodes = staged(nodes.select(F.monotonically_increasing_id().alias("id"), "node", "x.*"), "nodes")
+    found = _linked(nodes.select("id", "key", "n", "sig"), docs, k, share, bands)
+    node = nodes.select("id", "node")
+    top = found.join(node, "id").select("node", "component").join(node.select(F.col("id").alias("component"), F.col("node").alias("top")), "component").select("node", "top")
+    rows = signed.select("key", "doc_id", "n", "node").join(top, "node", "left").withColumn("component", F.coalesce("top", "node", F.unhex(F.md5(F.concat(F.lit("alone"), F.hex("key"))))))
+    rows = staged(rows.select("key", "doc_id", "n", "component"), "classed")
     ids = staged(rows.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("x")).select("component", F.col("x.doc_id").alias("component_id"), F.col("x.key").alias("first_key")), "component-ids")
+    discard(signed, nodes, found)
     return rows.join(ids, "component").select("key", "doc_id", F.col("n").alias("n_shingles"), "component_id", "first_key")
 
 
 def deduplicated(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """One row of each component of docs, that with the least doc_id, with its columns as they are; of equal rows, one."""
+    """One row of each component of docs, that with the least doc_id, with its columns as they are; of equal rows, one.
+
+    Nulls, blank texts and ties are as in ``near_duplicates``: texts without words all stay, but equal
+    rows of them once.  Extra columns may have any name; an empty table gives no rows.
+    """
     found = near_duplicates(docs, k, share)
     drop = staged(found.where("NOT (key <=> first_key)").select("key").distinct(), "near-copies")
     again = staged(found.where("key <=> first_key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "equal-rows")
@@ -294,4 +328,3 @@ def deduplicated(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100)
     once = rows.join(again, "key", "left_anti").select("row")
     repeated = rows.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
     return once.union(repeated).select("row.*")
-

@@ -328,6 +328,14 @@ def test_near_duplicates_against_brute_force(docs, spark, monkeypatch, k, share)
     assert all(r.component_id == r.doc_id for r in got if not r.n_shingles)
 
 
+def test_long_words_do_not_collide(spark):
+    """A polynomial modulo a power of two gives these two words of 1,024 bytes one hash."""
+    bits = [i.bit_count() & 1 for i in range(1024)]
+    texts = ["".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)]
+    got = minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1)}
+
+
 def test_deduplicated_keeps_one(docs):
     got = minhash.deduplicated(docs)
     assert got.columns == docs.columns and minhash.deduplicated(empty(docs)).count() == 0

@@ -1,23 +1,23 @@
 """Quality rules with thresholds that adapt to language and source.
 
-Each measure is kept as a histogram sketch: counts by bucket of fixed width, so sketches of
-parts of the corpus merge by adding counts, and a quantile is off by one bucket at most.
-Thresholds are the median and a multiple of the spread on either side, at least a floor: of
-the quartile range in the scores, whose SQL fixes it, and of a spread that junk cannot move,
-pooled for small groups, in the filter.  A small table of thresholds is then joined to the documents.  DataFrame functions only.
+Each measure is kept as a log-linear quantile sketch: counts by buckets that double in width
+with every power of two, so that a quantile of values of any size is off by a 32nd of itself
+at most, and sketches of parts of the corpus merge by adding counts.  Thresholds are the
+median and a multiple of the spread on either side, at least a tolerance.  The spread is one
+that a third of junk cannot move, and small groups take the merged sketches of their language
+or of the corpus.  A small table of thresholds is then joined to the documents.  DataFrame
+functions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, staged
 
-#: measure: (buckets in a unit, highest bucket, least distance of a threshold from the median in buckets, has a lower threshold)
-MEASURES = {"word_length": (20, 400, 60, True), "symbols": (50, 500, 15, False), "dup_lines": (50, 50, 20, False), "capitals": (50, 50, 15, False)}
+#: measure: (counted, of, tolerance about the median in thousandths, has a lower threshold)
+MEASURES = {"word_length": ("word_chars", "n_words", 3000, True), "symbols": ("n_symbols", "n_words", 300, False), "dup_lines": ("n_dup_lines", "n_lines", 400, False), "capitals": ("n_capitals", "word_chars", 300, False)}
 SPREAD = 6
 #: Documents from which a group has thresholds of its own: with a third of junk, under one group of 100 in a thousand has a majority of it.
 LEAST_GROUP = 100
@@ -57,13 +57,22 @@ def _repeats(df: DataFrame) -> DataFrame:
     )
 
 
-def _bucket(top: str, bottom: str, measure: str) -> Column:
-    width, highest, _, _ = MEASURES[measure]
-    return F.expr(f"cast(CASE WHEN {bottom} > 0 THEN least({highest}L, ({width} * {top}) div {bottom}) END as int)")
+def bucket(measure: str) -> Column:
+    """The bucket of thousandths of a measure: 32 in each power of two, from 64 on; below, each its own. Null if there is nothing to count in."""
+    counted, of, _, _ = MEASURES[measure]
+    v = f"((1000L * {counted}) div {of})"
+    shift = f"(length(bin({v})) - 6)"
+    return F.expr(f"CASE WHEN {of} > 0 THEN CASE WHEN {v} < 64 THEN {v} ELSE {shift} * 32L + shiftright({v}, {shift}) END END")
+
+
+def least_value(b: str) -> str:
+    """The least thousandths in a bucket."""
+    shift = f"cast({b} div 32 - 1 as int)"
+    return f"CASE WHEN {b} < 64 THEN {b} ELSE shiftleft({b} - {shift} * 32L, {shift}) END"
 
 
 def _buckets() -> dict[str, Column]:
-    return {"word_length": _bucket("word_chars", "n_words", "word_length"), "symbols": _bucket("n_symbols", "n_words", "symbols"), "dup_lines": _bucket("n_dup_lines", "n_lines", "dup_lines"), "capitals": _bucket("n_capitals", "word_chars", "capitals")}
+    return {m: bucket(m) for m in MEASURES}
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -80,8 +89,8 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _quartiles(sketch: DataFrame, *group: str) -> DataFrame:
-    """(group, measure, n, q1, q2, q3). A sketch has at most the measure's highest bucket as rows."""
-    quantile = lambda q: f"filter(c, x -> 100 * x.n >= {q} * n)[0].bucket"
+    """(group, measure, n, q1, q2, q3) in thousandths. A sketch has some hundred buckets at most."""
+    quantile = lambda q: least_value(f"filter(c, x -> 100 * x.n >= {q} * n)[0].bucket")
     return (
         sketch.groupBy(*group, "measure")
         .agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("n"))
@@ -90,23 +99,8 @@ def _quartiles(sketch: DataFrame, *group: str) -> DataFrame:
     )
 
 
-def _limits(per: DataFrame, spread: str) -> DataFrame:
-    out = []
-    for m, (_, _, floor, lower) in MEASURES.items():
-        reach = f"greatest({SPREAD} * ({spread}), {floor})"
-        out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 + {reach} END) AS {m}_high"))
-        if lower:
-            out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 - {reach} END) AS {m}_low"))
-    return per.groupBy("lang", "source").agg(*out)
-
-
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) in buckets, from each group's own quartiles."""
-    return _limits(_quartiles(sketch, "lang", "source"), "q3 - q1")
-
-
-def firm_thresholds(sketch: DataFrame) -> DataFrame:
-    """As thresholds, but a third of junk on either side of the rest cannot move them far.
+    """(lang, source, <measure>_low, <measure>_high) in thousandths.
 
     The spread is twice the lesser distance of a quartile from the median: junk of up to half
     a group reaches one quartile only.  A group of under LEAST_GROUP documents takes the
@@ -116,22 +110,28 @@ def firm_thresholds(sketch: DataFrame) -> DataFrame:
     merged = lambda *by: _quartiles(sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n")), *by)
     own = lambda df, name: df.select(*[c for c in ("lang", "source", "measure") if c in df.columns], F.struct("n", "q1", "q2", "q3").alias(name))
     per = own(_quartiles(sketch, "lang", "source"), "a").join(own(merged("lang"), "b"), ["lang", "measure"]).join(F.broadcast(own(merged(), "c")), "measure")
-    per = per.select("lang", "source", "measure", F.expr(f"CASE WHEN a.n >= {LEAST_GROUP} THEN a WHEN b.n >= {LEAST_GROUP} THEN b ELSE c END").alias("x"))
-    return _limits(per.select("lang", "source", "measure", "x.*"), "2 * least(q3 - q2, q2 - q1)")
+    per = per.select("lang", "source", "measure", F.expr(f"CASE WHEN a.n >= {LEAST_GROUP} THEN a WHEN b.n >= {LEAST_GROUP} THEN b ELSE c END").alias("x")).select("lang", "source", "measure", "x.*")
+    out = []
+    for m, (_, _, tolerance, lower) in MEASURES.items():
+        reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), {tolerance})"
+        out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 + {reach} END) AS {m}_high"))
+        if lower:
+            out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 - {reach} END) AS {m}_low"))
+    return per.groupBy("lang", "source").agg(*out)
 
 
-def score(docs: DataFrame, limits_of: Callable[[DataFrame], DataFrame] = thresholds) -> DataFrame:
+def score(docs: DataFrame) -> DataFrame:
     """Columns: row (a struct of the given columns), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept.
 
-    Thresholds come by ``limits_of`` from sketches of all of docs.  Null and empty texts have no words and
+    Thresholds come from sketches of all of docs.  Null and empty texts have no words and
     fail the base rules.  A null lang or source is a group of its own.  Equal rows count
     each by itself and get equal verdicts.  Extra columns of any name stay in ``row``.  An
     empty table gives no rows.
     """
-    limits = staged(limits_of(staged(sketches(docs), "quality-sketches")), "quality-thresholds")
+    limits = staged(thresholds(staged(sketches(docs), "quality-sketches")), "quality-thresholds")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    measured = _repeats(_words(_texts(docs))).withColumns(_buckets())
+    measured = _repeats(_words(_texts(docs))).withColumns(_buckets()).withColumns({m: F.expr(least_value(m)) for m in MEASURES})
     inside = " AND ".join(f"coalesce({m} <= {m}_high, true)" + (f" AND coalesce({m} >= {m}_low, true)" if lower else "") for m, (*_, lower) in MEASURES.items())
     return (
         measured.join(limits, ["lang", "source"], "left")
@@ -142,9 +142,9 @@ def score(docs: DataFrame, limits_of: Callable[[DataFrame], DataFrame] = thresho
 
 
 def filtered(docs: DataFrame) -> DataFrame:
-    """The rows of docs that pass by the firm thresholds, with their columns as they are.
+    """The rows of docs that are kept by ``score``, with their columns as they are; nulls, ties and empty tables as there.
 
     The verdict goes through a generator: a filter on it would else be pushed below the
     measures, and the optimizer would put their expressions into each other over and over.
     """
-    return score(docs, firm_thresholds).select("row", F.explode(F.array("kept")).alias("kept")).where("kept").select("row.*")
+    return score(docs).select("row", F.explode(F.array("kept")).alias("kept")).where("kept").select("row.*")

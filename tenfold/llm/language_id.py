@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of a window; widths and filters of each; size of a byte's embedding.
@@ -23,7 +23,7 @@ SAMPLE_DOCS, SAMPLE_WINDOWS = 800, 4
 STEPS, BATCH, RATE = 400, 96, 0.01
 #: Windows that a task scores at once.
 WINDOWS_AT_ONCE = 1024
-LETTER = re.compile(r"[^\W\d_]")
+ALNUM = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -48,6 +48,11 @@ class Model:
         return pooled @ self.weights + self.offset
 
 
+def has_letter(text: str) -> bool:
+    """Fractions, superscripts and the like count as word characters to a pattern, but are no letters."""
+    return any(found.group().isalpha() for found in ALNUM.finditer(text))
+
+
 def windows(text: str) -> np.ndarray:
     """The whole text as rows of WINDOW bytes, the last filled up with zeros."""
     data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
@@ -100,17 +105,20 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 0) -> Model
 
 
 def sample(docs: DataFrame, label: str = "lang") -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Windows, their label numbers and the labels. Each label's share of rows is set so that about SAMPLE_DOCS are expected; rows are chosen by a hash of the text."""
+    """Windows, their label numbers and the labels. Each label's share of rows is set so that about SAMPLE_DOCS are expected, and twice
+    as many are taken at most; rows are chosen by a hash of the text. The labels are as few as there are languages and are broadcast."""
     known = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).select(F.col(label).cast("string").alias("y"), F.col("text").cast("string").alias("text"))
     counts = known.groupBy("y").agg(F.count("*").alias("n"))
-    chosen = known.join(F.broadcast(counts), "y").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(1_000_000 * SAMPLE_DOCS) / F.col("n")).limit(SAMPLE_DOCS * 2 * max(1, counts.count()))
+    chosen = known.join(F.broadcast(counts), "y").where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < F.lit(1_000_000 * SAMPLE_DOCS) / F.col("n"))
+    nth = F.row_number().over(Window.partitionBy("y").orderBy(F.xxhash64("text"), "text"))
+    chosen = chosen.select("y", "text", nth.alias("nth")).where(F.col("nth") <= 2 * SAMPLE_DOCS).select("y", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             y, x = [], []
             for label_of, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                if LETTER.search(text):
+                if has_letter(text):
                     rows = windows(text)
                     for k in np.unique(np.linspace(0, len(rows) - 1, SAMPLE_WINDOWS).astype(int)):
                         y.append(label_of)
@@ -143,7 +151,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
         net = share.value
 
         def scored(texts: list[str | None]) -> tuple[list[str], list[float]]:
-            rows = [windows(t) if net and t and LETTER.search(t) else None for t in texts]
+            rows = [windows(t) if net and t and has_letter(t) else None for t in texts]
             known = [r for r in rows if r is not None]
             if not known:
                 return ["und"] * len(texts), [0.0] * len(texts)

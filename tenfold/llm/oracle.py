@@ -4,19 +4,27 @@ from __future__ import annotations
 
 from .common import ALNUM_WORDS, LOWER, SPACE_WORDS, UPPER
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, words
-from .line_dedup import MIN_PAGES, RATIO
-from .quality import MEASURES, SPREAD
+from .line_dedup import LEAST_PAGES, RATIO
+from .quality import LEAST_GROUP, MEASURES, SPREAD
 from .warc import REVISIT_BYTES
 
 HAS_WORD = r"regexp_matches(l, '[^\x20\x09-\x0D]')"
 
 
 def _quality() -> str:
-    values = {"word_length": ("word_chars", "n_words"), "symbols": ("n_symbols", "n_words"), "dup_lines": ("n_dup_lines", "n_lines"), "capitals": ("n_capitals", "word_chars")}
-    buckets = ", ".join(f"CASE WHEN {b} > 0 THEN least({MEASURES[m][1]}, ({MEASURES[m][0]} * {a}) // {b}) END AS {m}" for m, (a, b) in values.items())
-    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS bucket FROM b WHERE {m} IS NOT NULL" for m in MEASURES)
-    limits = " UNION ALL ".join(f"SELECT lang, source, measure, q2 + greatest({SPREAD} * (q3 - q1), {floor}) AS hi, {f'q2 - greatest({SPREAD} * (q3 - q1), {floor})' if lower else '-1'} AS lo FROM q WHERE measure = '{m}'" for m, (_, _, floor, lower) in MEASURES.items())
-    inside = " AND ".join(f"coalesce({m} BETWEEN (SELECT lo FROM lim WHERE lim.lang = b.lang AND lim.source = b.source AND measure = '{m}') AND (SELECT hi FROM lim WHERE lim.lang = b.lang AND lim.source = b.source AND measure = '{m}'), true)" for m in MEASURES)
+    values = ", ".join(f"CASE WHEN {of} > 0 THEN (1000 * {counted}) // {of} END AS {m}" for m, (counted, of, _, _) in MEASURES.items())
+    # what is below 64 stays, all else keeps its first six binary digits
+    buckets = ", ".join(f"CASE WHEN {m} < 64 THEN {m} ELSE ({m} >> (length(bin({m})) - 6)) << (length(bin({m})) - 6) END AS {m}" for m in MEASURES)
+    each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM b WHERE {m} IS NOT NULL" for m in MEASURES)
+    reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), CASE measure {' '.join(f"WHEN '{m}' THEN {tolerance}" for m, (_, _, tolerance, _) in MEASURES.items())} END)"
+    one_sided = ", ".join(f"'{m}'" for m, (*_, lower) in MEASURES.items() if not lower)
+    bad = " OR ".join(f"measure = '{m}' AND NOT {m} BETWEEN lo AND hi" for m in MEASURES)
+
+    def quartiles(name: str, *by: str) -> str:
+        of = ", ".join([*by, "measure"])
+        return f"""{name} AS (SELECT {of}, min(n) AS n, min(v) FILTER (WHERE 100 * c >= 25 * n) AS q1, min(v) FILTER (WHERE 100 * c >= 50 * n) AS q2, min(v) FILTER (WHERE 100 * c >= 75 * n) AS q3
+    FROM (SELECT {of}, v, sum(count(*)) OVER (PARTITION BY {of} ORDER BY v) AS c, sum(count(*)) OVER (PARTITION BY {of}) AS n FROM e GROUP BY {of}, v) GROUP BY {of})"""
+
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(lang, chr(1)) AS lang, coalesce(source, chr(1)) AS source,
     regexp_extract_all(coalesce(text, ''), '{SPACE_WORDS}') AS words,
@@ -29,14 +37,17 @@ m AS (SELECT d.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST
     CAST(length(regexp_replace(array_to_string(words, ''), '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
-b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {buckets} FROM m),
+v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {values} FROM m),
+b AS (SELECT * REPLACE ({buckets}) FROM v),
 e AS ({each}),
-h AS (SELECT lang, source, measure, bucket, sum(count(*)) OVER (PARTITION BY lang, source, measure ORDER BY bucket) AS c,
-    sum(count(*)) OVER (PARTITION BY lang, source, measure) AS n FROM e GROUP BY lang, source, measure, bucket),
-q AS (SELECT lang, source, measure, min(bucket) FILTER (WHERE 100 * c >= 25 * n) AS q1, min(bucket) FILTER (WHERE 100 * c >= 50 * n) AS q2,
-    min(bucket) FILTER (WHERE 100 * c >= 75 * n) AS q3 FROM h GROUP BY lang, source, measure),
-lim AS ({limits})
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {inside} AS kept FROM b"""
+{quartiles("qa", "lang", "source")},
+{quartiles("qb", "lang")},
+{quartiles("qc")},
+q AS (SELECT lang, source, measure, unnest(CASE WHEN a.n >= {LEAST_GROUP} THEN {{'q1': a.q1, 'q2': a.q2, 'q3': a.q3}} WHEN b.n >= {LEAST_GROUP} THEN {{'q1': b.q1, 'q2': b.q2, 'q3': b.q3}} ELSE {{'q1': c.q1, 'q2': c.q2, 'q3': c.q3}} END)
+    FROM qa a JOIN qb b USING (lang, measure) JOIN qc c USING (measure)),
+lim AS (SELECT lang, source, measure, q2 + {reach} AS hi, CASE WHEN measure IN ({one_sided}) THEN -1 ELSE q2 - {reach} END AS lo FROM q),
+o AS (SELECT DISTINCT doc_id FROM b JOIN lim USING (lang, source) WHERE {bad})
+SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.doc_id IS NULL AS kept FROM b LEFT JOIN o ON b.doc_id = o.doc_id"""
 
 
 def _licenses() -> str:
@@ -89,9 +100,8 @@ def _line_dedup() -> str:
     return rf"""
 WITH d AS (SELECT doc_id, coalesce(source, chr(1)) AS host, coalesce(text, '') AS t, string_split(text, chr(10)) AS lines FROM documents),
 c AS (SELECT host, l, count(*) AS n FROM (SELECT host, unnest(list_distinct(string_split(t, chr(10)))) AS l FROM d) WHERE {HAS_WORD} GROUP BY host, l),
-s AS (SELECT host, list(l) AS bad FROM c JOIN (SELECT host, count(*) AS total FROM d GROUP BY host) USING (host) WHERE n >= {MIN_PAGES} AND n > {RATIO} * total GROUP BY host),
-k AS (SELECT doc_id, lines, list_filter(lines, lambda l: NOT {HAS_WORD} OR NOT list_contains(coalesce(bad, []), l)) AS good FROM d LEFT JOIN s USING (host)),
-x AS (SELECT doc_id, lines, CASE WHEN len(good) < len(lines) AND len(list_filter(good, lambda l: {HAS_WORD})) = 0 THEN lines ELSE good END AS good FROM k)
+s AS (SELECT host, list(l) AS bad FROM c JOIN (SELECT host, count(*) AS total FROM d GROUP BY host) USING (host) WHERE n >= {LEAST_PAGES} AND n > {RATIO} * total GROUP BY host),
+x AS (SELECT doc_id, lines, list_filter(lines, lambda l: NOT {HAS_WORD} OR NOT list_contains(coalesce(bad, []), l)) AS good FROM d LEFT JOIN s USING (host))
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(lines) - len(good), 0) AS BIGINT) AS n_removed,
     sha256(coalesce(array_to_string(good, chr(10)), '')) AS kept_sha256 FROM x"""
 

@@ -60,7 +60,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.read(warc.write(table(spark, sf_dir, "pages")))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    whole = F.when(F.col("error").isNull(), F.col("payload_bytes")).otherwise(F.raise_error(F.concat(F.lit("damaged record: "), "error")).cast("long"))  # a record lost must not pass as a row of nulls
+    return found.select("page_id", whole.alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tenfold.schemas import DAY_S, MS_ABOVE, ROLES
 
-# Patterns of a profile link and of a name with its tag.
-PROFILE = r"(?i)/profile/([a-z0-9]+)/([^/]+?)-([^/-]+)(?:/|$)"
+# Patterns of a profile link, after its site and what stands before it there, and of a name with its tag; the site.
+PROFILE = r"/profile/([a-z0-9]+)/([^/]+?)-([^/-]+)(?:/|$)"
+SITE = "u.gg/lol"
 NAME_TAG = r"^\s*([^#]{1,32})#([A-Za-z0-9]{2,8})\s*$"
 
 
@@ -56,15 +59,16 @@ def days_between(later: Column, earlier: Column) -> Column:
     return (later - earlier) / F.lit(float(DAY_S))
 
 
-def parse_target(text: Column) -> Column:
-    """struct(name, tag, platform) of a profile link or of name#tag; null fields if it is neither."""
-    link = F.regexp_extract(text, PROFILE, 1) != ""
+def parse_target(text: Column, site: str = SITE) -> Column:
+    """struct(name, tag, platform) of a profile link of that site or of name#tag; null fields if it is neither."""
+    profile = "(?i)" + re.escape(site) + PROFILE
+    link = F.regexp_extract(text, profile, 1) != ""
     plain = F.regexp_extract(text, NAME_TAG, 2) != ""
-    name = F.replace(F.replace(F.regexp_extract(text, PROFILE, 2), F.lit("+"), F.lit(" ")), F.lit("%20"), F.lit(" "))
+    name = F.replace(F.replace(F.regexp_extract(text, profile, 2), F.lit("+"), F.lit(" ")), F.lit("%20"), F.lit(" "))
     return F.struct(
         F.when(link, name).when(plain, F.trim(F.regexp_extract(text, NAME_TAG, 1))).alias("name"),
-        F.when(link, F.regexp_extract(text, PROFILE, 3)).when(plain, F.regexp_extract(text, NAME_TAG, 2)).alias("tag"),
-        F.when(link, F.lower(F.regexp_extract(text, PROFILE, 1))).alias("platform"),
+        F.when(link, F.regexp_extract(text, profile, 3)).when(plain, F.regexp_extract(text, NAME_TAG, 2)).alias("tag"),
+        F.when(link, F.lower(F.regexp_extract(text, profile, 1))).alias("platform"),
     )
 
 
@@ -75,3 +79,12 @@ def anonymous_id(game_id: Column, index: Column) -> Column:
 def parse_limits(text: str) -> list[tuple[int, int]]:
     """"20:1,100:120" as [(20, 1), (100, 120)]."""
     return [(int(a), int(b)) for a, _, b in (x.partition(":") for x in text.split(",") if x.strip())]
+
+
+def parse_patch_floor(text: str) -> tuple[int, int]:
+    """"15.3" as (15, 3); what is empty or cannot be read sets no floor."""
+    major, _, minor = text.strip().partition(".")
+    try:
+        return int(major), int(minor or 0)
+    except ValueError:
+        return 0, 0

@@ -134,6 +134,23 @@ def fully_covered(edges: DataFrame, known: DataFrame, least: int) -> DataFrame:
     return edges.join(per.select("match_id"), "match_id", "left_semi")
 
 
+def fully_processed(participants: DataFrame, crawl_players: DataFrame, size: int = 10) -> DataFrame:
+    """(match_id, puuid) of stored matches of which that many participants are processed."""
+    known = crawl_players.where("processed_at IS NOT NULL").select("puuid").distinct().withColumn("_known", F.lit(1))
+    per = participants.join(known, "puuid", "left").groupBy("match_id").agg(F.count("_known").alias("covered")).where(F.col("covered") == size)
+    return participants.join(per.select("match_id"), "match_id", "left_semi").select("match_id", "puuid")
+
+
+def pending_histogram(matches: DataFrame) -> DataFrame:
+    """(discovery_count, n): how many pending matches stand at each count."""
+    return pending(matches).groupBy("discovery_count").agg(F.count("*").alias("n"))
+
+
+def processed(players: DataFrame, done: DataFrame, now: Column) -> DataFrame:
+    """Players with the time and the number of ids that were listed for them; done has puuid and n_match_ids."""
+    return updated(players, done.select("puuid", now.alias("processed_at"), F.col("n_match_ids").cast("int").alias("n_match_ids")), "puuid")
+
+
 def migrated(matches: DataFrame) -> DataFrame:
     """Older tables get attempts and discovery_count, 0 where missing."""
     for c in ("attempts", "discovery_count"):

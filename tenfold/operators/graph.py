@@ -14,19 +14,20 @@ def _peeled(edges: DataFrame, key: str, least: int) -> DataFrame:
     return edges.join(edges.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(key), key, "left_semi").select("match_id", "puuid")
 
 
-def k_core(edges: DataFrame, per_match: int = 3, per_player: int = 5, max_rounds: int = 200) -> DataFrame:
+def k_core(edges: DataFrame, per_match: int = 3, per_player: int = 5) -> DataFrame:
     """Edges left when matches and players below their degrees are peeled off in turn until nothing changes.
 
     Each round's edges are written as a table: the lineage stays short, and a lost executor costs one round.
+    There are as many rounds as the graph needs; each but the last takes an edge at least.
     """
     edges = staged(edges.select("match_id", "puuid").distinct(), "core")
     n = edges.count()
-    for _ in range(max_rounds):
+    while n:
         edges = staged(_peeled(_peeled(edges, "match_id", per_match), "puuid", per_player), "core")
         before, n = n, edges.count()
-        if n in (before, 0):
-            return edges
-    raise RuntimeError(f"the core did not settle in {max_rounds} rounds")
+        if n == before:
+            break
+    return edges
 
 
 def plan_report(core: DataFrame) -> DataFrame:
@@ -50,6 +51,18 @@ def greedy_cover(candidates: Iterable[tuple[str, list[str]]], need: dict[str, in
     return chosen
 
 
+def post_counts(edges: DataFrame, plan: DataFrame, players: DataFrame) -> DataFrame:
+    """players (puuid, ...) with post: their matches in the plan, 0 for none."""
+    post = edges.join(plan.select("match_id"), "match_id", "left_semi").groupBy("puuid").agg(F.count("*").alias("post"))
+    return players.join(post, "puuid", "left").withColumn("post", F.coalesce("post", F.lit(0)))
+
+
+def candidates(edges: DataFrame, plan: DataFrame, resolved: DataFrame, short: DataFrame) -> DataFrame:
+    """(match_id, who): matches neither planned nor resolved, with their short players."""
+    free = edges.join(plan.select("match_id").union(resolved.select("match_id")).distinct(), "match_id", "left_anti")
+    return free.join(short.select("puuid"), "puuid", "left_semi").groupBy("match_id").agg(F.sort_array(F.collect_list("puuid")).alias("who"))
+
+
 def top_up(edges: DataFrame, plan: DataFrame, resolved: DataFrame, targets: DataFrame, min_coverage: int = 0, games: int = 10) -> DataFrame:
     """(match_id): matches to add so that the players of target matches reach that many planned games.
 
@@ -57,13 +70,11 @@ def top_up(edges: DataFrame, plan: DataFrame, resolved: DataFrame, targets: Data
     iterator of candidates, largest first and then by id.
     """
     spark = edges.sparkSession
-    post = edges.join(plan.select("match_id"), "match_id", "left_semi").groupBy("puuid").agg(F.count("*").alias("post"))
-    counted = targets.join(post, "puuid", "left").withColumn("post", F.coalesce("post", F.lit(0)))
+    counted = post_counts(edges, plan, targets)
     if min_coverage > 0:
         enough = counted.groupBy("match_id").agg(F.count_if(F.col("post") >= games).alias("ok")).where(F.col("ok") >= min_coverage)
         counted = counted.join(enough.select("match_id"), "match_id", "left_semi")
     short = counted.where(F.col("post") < games).select("puuid", (F.lit(games) - F.col("post")).cast("int").alias("need")).distinct()
-    free = edges.join(plan.select("match_id"), "match_id", "left_anti").join(resolved.select("match_id"), "match_id", "left_anti")
-    candidates = free.join(short.select("puuid"), "puuid", "left_semi").groupBy("match_id").agg(F.sort_array(F.collect_list("puuid")).alias("who")).orderBy(F.size("who").desc(), "match_id")
-    chosen = greedy_cover(((r.match_id, r.who) for r in candidates.toLocalIterator()), {r.puuid: r.need for r in short.toLocalIterator()})
+    ordered = candidates(edges, plan, resolved, short).orderBy(F.size("who").desc(), "match_id")
+    chosen = greedy_cover(((r.match_id, r.who) for r in ordered.toLocalIterator()), {r.puuid: r.need for r in short.toLocalIterator()})
     return spark.createDataFrame([(m,) for m in chosen], edges.select("match_id").schema)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tenfold.functions.scalars import duration_seconds, parse_patch, patch_number, position_index, start_time
 from tenfold.schemas import EXTRAS, MIN_DURATION_S, PAYLOAD, QUEUE_ID, ROLES
 
+from .frontier import after_failures, updated
+
 
 def parsed(raw: DataFrame) -> DataFrame:
     """Adds info; null for a corrupt payload."""
@@ -79,9 +81,17 @@ def participant_ids(rows: DataFrame) -> DataFrame:
     return rows.select("match_id", F.explode("info.participants.puuid").alias("puuid")).where((F.coalesce("puuid", F.lit("")) != "") & ~F.col("puuid").startswith("BOT"))
 
 
-def drained(raw: DataFrame, queue_id: int | None = QUEUE_ID, min_patch: tuple[int, int] = (0, 0)) -> dict[str, DataFrame]:
-    """All tables that a batch of payloads gives: matches, participants, extras, states, players seen."""
-    rows = validated(raw, queue_id, min_patch)
-    valid = rows.where("reject_reason IS NULL")
-    states = rows.select("match_id", F.when(F.col("reject_reason").isNull(), "stored").otherwise("rejected").alias("state"), F.col("reject_reason").alias("reason"))
-    return {"matches": flat_matches(valid).drop("winner_inferred"), "participants": flat_participants(valid), "participant_extras": flat_extras(valid), "states": states, "players": participant_ids(valid).select("puuid").distinct()}
+def answered(answers: DataFrame, queue_id: int | None = QUEUE_ID, min_patch: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Answers (match_id, status, payload) with info, patch, state and reason: stored, rejected (404 and refused payloads), or error (no answer, or one that cannot be read)."""
+    rows = validated(answers, queue_id, min_patch)
+    missing, failed, corrupt = F.col("status") == 404, F.col("status") != 200, F.col("info").isNull()
+    state = F.when(missing, "rejected").when(failed | corrupt, "error").when(F.col("reject_reason").isNotNull(), "rejected").otherwise("stored")
+    reason = F.when(missing, "404").when(failed, F.concat(F.lit("status="), F.col("status").cast("string"))).when(corrupt, "parse").otherwise(F.col("reject_reason"))
+    return rows.withColumns({"state": state, "reason": reason})
+
+
+def states_after(matches: DataFrame, got: DataFrame, now: Column, max_attempts: int = 4) -> DataFrame:
+    """Matches after their answers: final states with their reason, errors as one more attempt, pending again or dead."""
+    final = got.where("state <> 'error'").select("match_id", "state", "reason", now.alias("resolved_at"))
+    failed = got.where("state = 'error'").select("match_id", "reason")
+    return updated(after_failures(updated(matches, failed, "match_id"), failed, now, max_attempts), final, "match_id")

@@ -312,8 +312,8 @@ def parse_patches(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def parse_targets(spark: SparkSession, sf: str) -> DataFrame:
-    text = F.expr("CASE event_id % 4 WHEN 0 THEN 'https://stats.example/profile/EUW1/some+name%20' || event_type || '-t' || CAST(user_id AS STRING) || '/overview' WHEN 1 THEN ' Name ' || event_type || '#AB' || CAST(user_id % 1000 AS STRING) WHEN 2 THEN 'no target' ELSE 'name#toolongtag1' END")
-    return table(spark, sf, "events").select("event_id", parse_target(text).alias("t"), anonymous_id(F.col("user_id"), F.col("event_id")).alias("anonymous")).select("event_id", "t.*", "anonymous")
+    text = F.expr("CASE event_id % 4 WHEN 0 THEN CASE WHEN event_id % 8 = 0 THEN 'https://stats.example' ELSE 'https://other.example' END || '/profile/EUW1/some+name%20' || event_type || '-t' || CAST(user_id AS STRING) || '/overview' WHEN 1 THEN ' Name ' || event_type || '#AB' || CAST(user_id % 1000 AS STRING) WHEN 2 THEN 'no target' ELSE 'name#toolongtag1' END")
+    return table(spark, sf, "events").select("event_id", parse_target(text, "stats.example").alias("t"), anonymous_id(F.col("user_id"), F.col("event_id")).alias("anonymous")).select("event_id", "t.*", "anonymous")
 
 
 def _scored(spark: SparkSession, sf: str) -> DataFrame:
@@ -400,6 +400,7 @@ def eligibility(spark: SparkSession, sf: str) -> DataFrame:
     live = contests(spark, sf).groupBy("match_id", "match_seq").agg(F.count("*").alias("c"))
     s = F.col("match_seq")
     live = live.select("match_id", F.when(s % 5 == 0, "KR").otherwise("EUW1").alias("platform"), F.when(s % 7 == 0, 400).otherwise(420).alias("queue_id"), F.when(s % 9 == 0, F.lit(8)).otherwise(F.col("c")).alias("n_participants"), F.when(s % 11 == 0, F.col("c")).otherwise(F.lit(1)).alias("n_anonymous"))
+    live = live.withColumns({"platform": F.when(F.col("match_id").endswith("2"), None).otherwise(F.lower("platform")), "queue_id": F.when(F.col("match_id").endswith("4"), None).otherwise(F.col("queue_id"))})
     return live.select("match_id", predict.ineligible_reason(["EUW1"]).alias("reason"))
 
 

@@ -11,7 +11,7 @@ from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +46,28 @@ def time_split(frame: DataFrame, test: float = 0.2, val: float = 0.1, min_covera
     return rows.withColumn("part", part).drop("_i")
 
 
+def split_summary(rows: DataFrame, label: str = "blue_win") -> DataFrame:
+    """(part, n, first_start, last_start, label_rate, patches) of rows with part; patches are the different ones, sorted and joined by commas."""
+    return rows.groupBy("part").agg(F.count("*").alias("n"), F.min("game_start").alias("first_start"), F.max("game_start").alias("last_start"), F.avg(F.col(label).cast("double")).alias("label_rate"), F.array_join(F.array_sort(F.collect_set("patch")), ",").alias("patches"))
+
+
+def coverage_rows(frame: DataFrame, most: int = 12) -> DataFrame:
+    """(blue_coverage, n): rows of the feature table at each coverage, the lowest first."""
+    return frame.groupBy("blue_coverage").agg(F.count("*").alias("n")).orderBy("blue_coverage").limit(most)
+
+
+def save_features(frame: DataFrame, path: str) -> DataFrame:
+    """Write the feature table; returns its coverage_rows."""
+    frame.write.mode("overwrite").parquet(path)
+    return coverage_rows(frame.sparkSession.read.parquet(path))
+
+
+def constant_baseline(train: DataFrame, test: DataFrame, label: str = "blue_win") -> DataFrame:
+    """The metrics on test of the mean label of train as the score of all rows."""
+    mean = train.agg(F.avg(F.col(label).cast("double")).alias("p"))
+    return metrics(test.select(F.col(label).alias("y")).crossJoin(F.broadcast(mean)))  # one row
+
+
 def augmented(train: DataFrame) -> DataFrame:
     return side_swapped(train)
 
@@ -112,9 +134,9 @@ def paired_bootstrap(df: DataFrame, draws: int = 2000, seed: int = 0, y: str = "
     return gains.agg(F.avg("g").alias("mean_gain")).crossJoin(edges)
 
 
-def moments(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
-    """(median, mean, population deviation) by name after the median is put in for nulls; a column of nulls is constant 0."""
-    med = train.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in names]).first()
+def moments(train: DataFrame, names: list[str], accuracy: int = 100_000) -> dict[str, tuple[float, float, float]]:
+    """(median, mean, population deviation) by name after the median is put in for nulls; a column of nulls is constant 0. The median comes from a sketch, a row in ``accuracy`` off in rank at most."""
+    med = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in names]).first()
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))) for c in names]
     got = train.agg(*[f(x).alias(f"{t}{i}") for i, x in enumerate(filled) for t, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return {c: (float(med[c] or 0.0), float(got[f"m{i}"]), float(got[f"s{i}"]) or 1.0) for i, c in enumerate(names)}
@@ -181,19 +203,30 @@ def boosted_scores(model: PipelineModel | Transformer, stats: dict, frame: DataF
     return model.transform(standardised(frame, stats)).select("match_id", vector_to_array("probability")[1].alias("p"))
 
 
-def calibrator(df: DataFrame, folds: int = 4, least: int = 200):
-    """An isotonic model of (y, p) if it lowers the cross-validated log loss, else None. Folds go by a hash of the id."""
+def _bounded(p: Column) -> Column:
+    return F.least(F.greatest(p, F.lit(0.01)), F.lit(0.99))
+
+
+def calibrator(df: DataFrame, folds: int = 4, least: int = 200) -> tuple[IsotonicRegressionModel | None, dict]:
+    """An isotonic model of (match_id, y, p) if it lowers the cross-validated log loss, else None; and what decided. Folds go by a hash of the id."""
     if df.count() < least:
-        return None
+        return None, {"applied": False, "reason": "val_too_small"}
     fold, rows = F.pmod(F.xxhash64("match_id"), F.lit(folds)), df.withColumn("y", F.col("y").cast("double"))
     fit = lambda x: IsotonicRegression(featuresCol="p", labelCol="y").fit(x)
     parts = [fit(rows.where(fold != k)).transform(rows.where(fold == k)) for k in range(folds)]
     joined = parts[0]
     for x in parts[1:]:
         joined = joined.unionByName(x)
-    bounded = F.least(F.greatest(F.col("prediction"), F.lit(0.01)), F.lit(0.99))
-    got = joined.agg(F.avg(loss(F.col("y"), F.col("p"))).alias("raw"), F.avg(loss(F.col("y"), bounded)).alias("fitted")).first()
-    return fit(rows) if got.fitted < got.raw else None
+    got = joined.agg(F.avg(loss(F.col("y"), F.col("p"))).alias("raw"), F.avg(loss(F.col("y"), _bounded(F.col("prediction")))).alias("fitted")).first()
+    better = got.fitted < got.raw
+    return fit(rows) if better else None, {"applied": better, "val_log_loss_raw": got.raw, "val_log_loss_calibrated": got.fitted}
+
+
+def calibrated(scored: DataFrame, model: IsotonicRegressionModel | None) -> DataFrame:
+    """p by the calibrator if there is one; other columns stay."""
+    if model is None:
+        return scored
+    return model.transform(scored).withColumn("p", _bounded(F.col("prediction"))).drop("prediction")
 
 
 def chosen(ci_low: float) -> str:

@@ -188,7 +188,7 @@ SQL = {
     "extras_projection": BAD + f" SELECT match_id, puuid, {r6('damage_per_minute')} AS damage_per_minute, solo_kills, vision_per_min, CAST(NULL AS DOUBLE) AS multikills, win = 1 AS first_blood, CAST(NULL AS DOUBLE) AS dragon_takedowns FROM c JOIN vr USING (match_id) WHERE reason IS NULL",
     "participant_ids": BAD + " SELECT match_id, puuid FROM c JOIN vr USING (match_id) WHERE reason IS NULL",
     "parse_patches": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN '15.' || CAST(event_id % 24 AS VARCHAR) WHEN 3 THEN '16.x' END AS patch, CASE event_id % 4 WHEN 0 THEN 15 ELSE 0 END AS major, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 24 ELSE 0 END AS INT) AS minor FROM events",
-    "parse_targets": "SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'some name ' || event_type WHEN 1 THEN 'Name ' || event_type END AS name, CASE event_id % 4 WHEN 0 THEN 't' || CAST(user_id AS VARCHAR) WHEN 1 THEN 'AB' || CAST(user_id % 1000 AS VARCHAR) END AS tag, CASE event_id % 4 WHEN 0 THEN 'euw1' END AS platform, 'anon:' || user_id || ':' || event_id AS anonymous FROM events",
+    "parse_targets": "SELECT event_id, CASE WHEN event_id % 8 = 0 THEN 'some name ' || event_type WHEN event_id % 4 = 1 THEN 'Name ' || event_type END AS name, CASE WHEN event_id % 8 = 0 THEN 't' || CAST(user_id AS VARCHAR) WHEN event_id % 4 = 1 THEN 'AB' || CAST(user_id % 1000 AS VARCHAR) END AS tag, CASE event_id % 8 WHEN 0 THEN 'euw1' END AS platform, 'anon:' || user_id || ':' || event_id AS anonymous FROM events",
     "time_split": SCORED + ", o AS (SELECT match_id, row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM sco) SELECT match_id, CASE WHEN i < n - greatest(1, floor(n * 0.2)) - greatest(1, floor(n * 0.1)) THEN 'train' WHEN i < n - greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'test' END AS part FROM o",
     "metrics_table": SCORED + f", q AS (SELECT y, p FROM sco), {AUC} SELECT count(*) AS n, {r6(f'avg(-(y * ln({_clip}) + (1 - y) * ln(1 - {_clip})))')} AS log_loss, {r6('avg((p - y) * (p - y))')} AS brier, {r6('avg(CASE WHEN CAST(p >= 0.5 AS INT) = y THEN 1.0 ELSE 0.0 END)')} AS accuracy, {r6('(SELECT auc FROM au)')} AS auc FROM q",
     "auc_rank": f"WITH q AS (SELECT quality AS y, n_chars / 100000 AS p FROM labels JOIN documents USING (doc_id)), {AUC} SELECT {r6('auc')} AS auc FROM au",
@@ -198,6 +198,44 @@ SQL = {
     "snapshot_duration": BASE + f" SELECT champion_id, pos_idx, {', '.join(f'CAST(sum(CASE WHEN {w} THEN {v} ELSE 0 END) AS BIGINT) AS {k}' for k, w, v in (('sg', SHORT, '1'), ('sw', SHORT, 'win'), ('lg', LONG, '1'), ('lw', LONG, 'win')))} FROM c GROUP BY ALL",
     "snapshot_roles": BASE + f" SELECT champion_id, {', '.join(f'count(*) FILTER (WHERE pos_idx = {r}) AS role_{r}' for r in range(5))} FROM c GROUP BY champion_id",
     "snapshot_meta": BASE + " SELECT count(DISTINCT match_id) AS matches, arg_max(patch, seq) AS latest_patch, 1 AS version FROM c",
-    "eligibility": BASE + " SELECT DISTINCT match_id, CASE WHEN match_seq % 5 = 0 THEN 'platform=KR' WHEN match_seq % 7 = 0 THEN 'queue=400' WHEN match_seq % 9 = 0 THEN 'participants=8' WHEN match_seq % 11 = 0 THEN 'anonymous' END AS reason FROM c",
+    "eligibility": BASE + " SELECT DISTINCT match_id, CASE WHEN match_id LIKE '%2' THEN 'platform=' WHEN match_seq % 5 = 0 THEN 'platform=KR' WHEN match_id LIKE '%4' THEN 'queue=0' WHEN match_seq % 7 = 0 THEN 'queue=400' WHEN match_seq % 9 = 0 THEN 'participants=8' WHEN match_seq % 11 = 0 THEN 'anonymous' END AS reason FROM c",
 }
 SQL["predict_one"] = SQL["feature_matrix"] + " WHERE match_id = (SELECT max(match_id) FROM tf)"
+
+SPLIT = SCORED + ", pt AS (SELECT DISTINCT match_id, patch FROM c), o AS (SELECT sco.*, patch, game_start, row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM sco JOIN pt USING (match_id) JOIN (SELECT DISTINCT match_id, game_start FROM c) USING (match_id)), sp AS (SELECT *, CASE WHEN i < n - greatest(1, floor(n * 0.2)) - greatest(1, floor(n * 0.1)) THEN 'train' WHEN i < n - greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'test' END AS part FROM o)"
+ENTRIES = "WITH en AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS puuid, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS tier, CAST(c_nationkey AS INT) AS lp, CAST(c_custkey % 9 AS INT) AS wins, CAST(c_custkey % 8 AS INT) AS losses FROM customer)"
+DC = EDGES + ", dc AS (SELECT match_id, state, count(ed.puuid) AS discovery_count FROM st LEFT JOIN ed USING (match_id) GROUP BY match_id, state)"
+COVERAGE = f"{BASE}, n AS (SELECT *, count(*) OVER ({P}) AS games FROM c), cv AS (SELECT match_id, count(*) FILTER (WHERE team_id = 100 AND games >= 40) AS blue_coverage, count(*) FILTER (WHERE team_id = 200 AND games >= 40) AS red_coverage FROM n GROUP BY match_id)"
+SQL |= {
+    "joined_history": BAD + f", v AS (SELECT match_id, row_number() OVER (ORDER BY date_trunc('milliseconds', game_start), match_id) - 1 AS sq FROM vr WHERE reason IS NULL) SELECT c.match_id, puuid, sq AS seq, patch, duration_s, CAST(team_id AS INT) AS team_id, win, pos_idx, champion_id, CASE WHEN c.match_id NOT LIKE '%3' THEN {r6('damage_per_minute')} END AS damage_per_minute, CASE WHEN c.match_id NOT LIKE '%3' THEN solo_kills END AS solo_kills FROM c JOIN v ON c.match_id = v.match_id",
+    "stored_inserts": BAD + ", x AS (SELECT c.* FROM c JOIN vr USING (match_id) WHERE reason IS NULL) SELECT count(*) AS n, count(DISTINCT match_id) AS matches, CAST(sum(kills) AS BIGINT) AS kills, count(*) FILTER (WHERE match_id NOT LIKE '%5') AS first, count(*) FILTER (WHERE match_id LIKE '%5') AS second, CAST(0 AS BIGINT) AS again FROM x",
+    "unread": BASE + " SELECT DISTINCT match_id FROM c WHERE match_id NOT LIKE '%7' AND match_id NOT LIKE '%8'",
+    "payload_lookup": BASE + ' SELECT match_id, CAST(420 AS BIGINT) AS "queueId", CAST(count(*) AS INT) AS n FROM c WHERE match_seq = 7 GROUP BY match_id',
+    "gzip_payloads": BAD + " SELECT match_id, CAST(CASE WHEN match_id LIKE '%9' THEN NULL WHEN bad = 1 THEN 400 ELSE 420 END AS BIGINT) AS queue_id, CASE WHEN match_id LIKE '%9' THEN NULL WHEN bad = 2 THEN 9 ELSE 10 END AS n FROM vr",
+    "pending_histogram": DC + " SELECT discovery_count, count(*) AS n FROM dc WHERE state = 'pending' GROUP BY 1",
+    "pending_covered": DC + " SELECT match_id, discovery_count FROM dc WHERE state = 'pending' AND discovery_count >= 5",
+    "next_by_coverage": DC + " SELECT match_id, discovery_count FROM dc WHERE state = 'pending' ORDER BY discovery_count DESC, match_id LIMIT 50",
+    "resolved_matches": EDGES + " SELECT match_id, state FROM st WHERE state <> 'pending'",
+    "added_players": ENTRIES + " SELECT puuid, tier, 'I' AS division, lp, 'seed' AS source, CAST(NULL AS INT) AS n_match_ids FROM en WHERE puuid <> ''",
+    "rank_snapshots": ENTRIES + " SELECT puuid, 'SOLO' AS queue, tier, 'I' AS division, lp, wins, losses FROM en WHERE puuid <> '' AND tier <> ''",
+    "marked_processed": ENTRIES + " SELECT puuid, CASE WHEN lp < 5 THEN lp END AS n_match_ids, lp < 5 AS done FROM en WHERE puuid <> ''",
+    "extended_plan": EDGES + " SELECT m.match_id, CAST(CASE WHEN m.match_id % 4 = 0 THEN coalesce(n, 0) ELSE 0 END AS INT) AS priority FROM (SELECT DISTINCT match_id FROM ed WHERE match_id % 4 = 0 OR match_id % 3 = 0) m LEFT JOIN (SELECT match_id, count(*) AS n FROM ed SEMI JOIN kn USING (puuid) GROUP BY match_id) k ON m.match_id = k.match_id",
+    "migrated_matches": EDGES + " SELECT match_id, CASE attempts WHEN 3 THEN 0 ELSE attempts END AS attempts, 0 AS discovery_count FROM st",
+    "failure_counts": EDGES + ", f AS (SELECT DISTINCT l_orderkey AS match_id FROM lineitem WHERE l_returnflag = 'R') SELECT count(*) FILTER (WHERE attempts + 1 < 4) AS requeued, count(*) FILTER (WHERE attempts + 1 >= 4) AS dead FROM st JOIN f USING (match_id)",
+    "drained_states": BAD + ", dr AS (SELECT *, CAST(match_seq % 4 AS INT) AS att, CASE WHEN match_seq % 17 = 0 THEN 'rejected' WHEN match_seq % 19 = 0 OR match_seq % 23 = 0 THEN 'error' WHEN reason IS NOT NULL THEN 'rejected' ELSE 'stored' END AS got FROM vr) SELECT match_id, CASE WHEN got <> 'error' THEN got WHEN att = 3 THEN 'error' ELSE 'pending' END AS state, CASE WHEN match_seq % 17 = 0 THEN '404' WHEN match_seq % 19 = 0 THEN 'status=503' WHEN match_seq % 23 = 0 THEN 'parse' ELSE reason END AS reason, att + CAST(got = 'error' AS INT) AS attempts, got <> 'error' OR att = 3 AS done FROM dr",
+    "post_counts": EDGES + " SELECT puuid, count(*) FILTER (WHERE match_id % 10 = 0) AS post FROM ed GROUP BY puuid",
+    "topup_candidates": EDGES + " SELECT match_id, CAST(count(*) AS INT) AS n, string_agg(CAST(puuid AS VARCHAR), ',' ORDER BY puuid) AS who FROM ed SEMI JOIN kn USING (puuid) WHERE match_id % 10 <> 0 AND match_id NOT IN (SELECT match_id FROM st WHERE state <> 'pending') GROUP BY match_id",
+    "fully_processed": BASE + " SELECT match_id, puuid FROM c WHERE match_id IN (SELECT match_id FROM c GROUP BY match_id HAVING count(*) FILTER (WHERE CAST(substr(puuid, 3) AS INT) % 16 <> 3) = 10)",
+    "players_history": BASE + " SELECT match_id, puuid FROM c WHERE match_seq <> n_seq - 1 AND match_id IN (SELECT match_id FROM c WHERE puuid IN (SELECT puuid FROM c WHERE match_seq = n_seq - 1))",
+    "history_depth": BASE + " SELECT puuid, count(*) FILTER (WHERE match_seq % 50 = 0) AS games FROM c GROUP BY puuid",
+    "missing_history": BASE + ", dp AS (SELECT puuid, count(*) FILTER (WHERE match_seq % 3 = 0) AS games FROM c GROUP BY puuid), nd AS (SELECT puuid, (SELECT max(games) FROM dp) + 5 - games AS need FROM dp), r AS (SELECT puuid, match_id, row_number() OVER (PARTITION BY puuid ORDER BY match_seq DESC, match_id) AS i FROM c WHERE match_seq % 3 <> 0) SELECT puuid, match_id FROM r JOIN nd USING (puuid) WHERE i <= need",
+    "live_names": BASE + ", l AS (SELECT *, CAST(substr(puuid, 3) AS INT) % 7 AS k7, row_number() OVER (PARTITION BY match_seq ORDER BY puuid) - 1 AS i FROM c) SELECT 'EUW1_' || match_seq AS match_id, CASE WHEN k7 = 0 THEN 'anon:' || match_seq || ':' || i ELSE puuid END AS puuid, team_id, champion_id, CASE WHEN k7 = 0 THEN NULL WHEN k7 % 2 = 0 THEN 'n' || puuid ELSE 's' || puuid END AS name, k7 = 0 AS anonymous FROM l",
+    "snapshot_role_traits": BASE + f" SELECT pos_idx, {', '.join(f'{r6(f"CAST(sum({t}) AS DOUBLE)")} AS sum_{t}, count({t}) AS count_{t}' for t in TRAITS)} FROM c GROUP BY pos_idx",
+    "filter_coverage": COVERAGE + " SELECT * FROM cv WHERE blue_coverage >= 3 AND red_coverage >= 3",
+    "feature_coverage": COVERAGE + " SELECT blue_coverage, count(*) AS n FROM cv GROUP BY 1 ORDER BY 1 LIMIT 12",
+    "split_summary": SPLIT + f" SELECT part, count(*) AS n, min(game_start) AS first_start, max(game_start) AS last_start, {r6('avg(CAST(y AS DOUBLE))')} AS label_rate, string_agg(DISTINCT patch, ',' ORDER BY patch) AS patches FROM sp GROUP BY part",
+    "constant_baseline": SPLIT + f", t AS (SELECT avg(CAST(y AS DOUBLE)) AS p FROM sp WHERE part = 'train'), q AS (SELECT y, t.p FROM sp, t WHERE part = 'test') SELECT count(*) AS n, {r6('avg(-(y * ln(p) + (1 - y) * ln(1 - p)))')} AS log_loss, {r6('avg((p - y) * (p - y))')} AS brier, {r6('avg(CASE WHEN CAST(p >= 0.5 AS INT) = y THEN 1.0 ELSE 0.0 END)')} AS accuracy, CAST(0.5 AS DOUBLE) AS auc FROM q",
+    "augmented_train": SPLIT + f" SELECT match_id, y AS blue_win, {r6('p')} AS d_p FROM sp WHERE part = 'train' UNION ALL SELECT match_id || '_swap', 1 - y, {r6('-p')} FROM sp WHERE part = 'train'",
+    "aligned_features": SPLIT + f" SELECT match_id, patch, y AS blue_win, {r6('p')} AS d_p, CAST(NULL AS DOUBLE) AS d_other FROM sp",
+}
+SQL["snapshot_reloaded"] = SQL["snapshot_champ_role"]

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tenfold.functions.scalars import anonymous_id
 from tenfold.operators.features import CURVE, feature_matrix
-from tenfold.schemas import QUEUE_ID
+from tenfold.schemas import QUEUE_ID, TRAITS
 
 from .mlops import LinearModel
 
@@ -14,7 +15,7 @@ from .mlops import LinearModel
 def snapshot(df: DataFrame) -> dict[str, DataFrame]:
     """Corpus-level aggregates over all folded contests."""
     games = [F.count("*").alias("games"), F.sum("win").alias("wins")]
-    traits = [c for c in ("damage_per_minute", "solo_kills") if c in df.columns]
+    traits = [c for c in TRAITS if c in df.columns]
     return {
         "champ_role": df.groupBy("patch", "champion_id", "pos_idx").agg(*games),
         "champ_duration": df.groupBy("champion_id", "pos_idx").agg(*[F.sum(F.expr(e)).alias(k) for k, e in CURVE.items()]),
@@ -24,27 +25,44 @@ def snapshot(df: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def load_snapshot(tables: dict[str, DataFrame], version: int = 1) -> dict[str, DataFrame]:
-    found = tables["meta"].first().version
+SNAPSHOT = ("champ_role", "champ_duration", "role_traits", "role_champ", "meta")
+
+
+def save_snapshot(tables: dict[str, DataFrame], folder: str) -> None:
+    """meta comes last: a folder without it is not a whole snapshot."""
+    for name in SNAPSHOT:
+        tables[name].write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_snapshot(spark: SparkSession, folder: str, version: int = 1) -> dict[str, DataFrame]:
+    found = spark.read.parquet(f"{folder}/meta").first().version
     if found != version:
         raise ValueError(f"snapshot version {found}, not {version}")
-    return tables
+    return {name: spark.read.parquet(f"{folder}/{name}") for name in SNAPSHOT}
 
 
 def ineligible_reason(platforms: list[str]) -> Column:
-    """Why a live contest cannot be scored; null if it can. Needs platform, queue_id, n_participants, n_anonymous."""
+    """Why a live contest cannot be scored; null if it can. Needs platform, queue_id, n_participants, n_anonymous; a null counts as '' or 0."""
+    platform, queue, players = F.upper(F.coalesce("platform", F.lit(""))), F.coalesce("queue_id", F.lit(0)), F.coalesce("n_participants", F.lit(0))
     return (
-        F.when(~F.col("platform").isin(platforms), F.concat(F.lit("platform="), F.coalesce("platform", F.lit(""))))
-        .when(F.col("queue_id") != QUEUE_ID, F.concat(F.lit("queue="), F.col("queue_id").cast("string")))
-        .when(F.col("n_participants") != 10, F.concat(F.lit("participants="), F.col("n_participants").cast("string")))
-        .when(F.col("n_anonymous") == F.col("n_participants"), "anonymous")
+        F.when(~platform.isin(platforms), F.concat(F.lit("platform="), platform))
+        .when(queue != QUEUE_ID, F.concat(F.lit("queue="), queue.cast("string")))
+        .when(players != 10, F.concat(F.lit("participants="), players.cast("string")))
+        .when(F.coalesce("n_anonymous", F.lit(0)) == players, "anonymous")
     )
 
 
-def history_of(df: DataFrame, live: DataFrame) -> DataFrame:
-    """All rows of the contests in which any of the live players took part, without the live contest itself."""
-    ids = df.join(live.select("puuid").distinct(), "puuid", "left_semi").select("match_id").distinct().join(live.select("match_id").distinct(), "match_id", "left_anti")
-    return df.join(ids, "match_id", "left_semi")
+def live_players(games: DataFrame) -> DataFrame:
+    """(match_id, puuid, team_id, champion_id, name, anonymous) of live games (game_id, platform, participants); hidden players get an id that no history has, and no name."""
+    p = games.select("game_id", F.concat_ws("_", F.upper("platform"), F.col("game_id").cast("string")).alias("match_id"), F.posexplode("participants").alias("i", "p"))
+    hidden = F.coalesce("p.puuid", F.lit("")) == ""
+    return p.select("match_id", F.when(hidden, anonymous_id(F.col("game_id"), F.col("i"))).otherwise(F.col("p.puuid")).alias("puuid"), F.coalesce("p.teamId", F.lit(0)).alias("team_id"), F.coalesce("p.championId", F.lit(0)).alias("champion_id"), F.when(~hidden, F.coalesce("p.riotId", "p.summonerName")).alias("name"), hidden.alias("anonymous"))
+
+
+def with_names(scored: DataFrame, players: DataFrame) -> DataFrame:
+    """Rows by player with the name that the live game gave; null where it gave none."""
+    names = players.groupBy("match_id", "puuid").agg(F.first("name").alias("name"), F.first("anonymous").alias("anonymous"))
+    return scored.join(names, ["match_id", "puuid"], "left")
 
 
 def missing_history(depth: DataFrame, listed: DataFrame, stored: DataFrame, games: int) -> DataFrame:

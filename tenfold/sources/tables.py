@@ -16,16 +16,22 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from tenfold.schemas import TABLES
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write df in the folder of spark.checkpoint.dir (a temporary one where it is unset) and read it back."""
-    spark = df.sparkSession
+def new_path(spark: SparkSession, name: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir. Where it is unset a local session (tests) gets a temporary one; a cluster must set it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="tenfold-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """Write df as a table of its own and read it back."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def read_table(spark: SparkSession, folder: str, name: str, schema: T.StructType | None = None) -> DataFrame:
@@ -74,6 +80,16 @@ def ordinal(df: DataFrame, order: list[str], name: str, one_task: int = 5_000_00
     return at.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 
+def gzipped(df: DataFrame, column: str) -> DataFrame:
+    """A text column as gzip blobs of level 6; null stays null."""
+
+    @F.pandas_udf("binary")
+    def blob(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: None if x is None else gzip.compress(x.encode(), 6, mtime=0))
+
+    return df.withColumn(column, blob(column))
+
+
 def gunzipped(df: DataFrame, column: str) -> DataFrame:
     """A gzip blob column as text; a corrupt blob becomes null."""
 
@@ -129,6 +145,11 @@ class Landing(DataSource):
         return LandingReader(self.options)
 
 
+def payload_of(raw: DataFrame, match_id: str) -> DataFrame:
+    """One stored payload; the id is pushed down to the files' statistics."""
+    return raw.where(F.col("match_id") == match_id).select("match_id", "payload")
+
+
 def unread_payloads(raw: DataFrame, extras: DataFrame, only_missing: bool = True) -> DataFrame:
     """Payloads whose extras are not stored yet, in one scan."""
     return raw.join(extras.select("match_id").distinct(), "match_id", "left_anti") if only_missing else raw

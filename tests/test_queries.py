@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from tenfold.plans import catalog, oracle
+from tenfold.plans import collecting, oracle
 
 SF = "/root/testdata/sf0.001"
 HEAVY = {"feature_matrix", "predict_one", "explain_topk", "logistic_fit"}
@@ -27,7 +27,7 @@ def shown(v):
 
 @pytest.mark.parametrize("name", sorted(set(oracle.SQL) - {"predict_one"}))
 def test_same_rows(spark, con, name):
-    got = catalog.Q[name](spark, SF)
+    got = collecting.Q[name](spark, SF)
     cols = sorted(got.columns)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({oracle.SQL[name]})").fetchall()
     assert sorted(tuple(map(shown, r)) for r in got.select(*cols).collect()) == sorted(tuple(map(shown, r)) for r in want)

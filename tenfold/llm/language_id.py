@@ -62,7 +62,11 @@ def windows(text: str) -> np.ndarray:
 
 
 def fit(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 0) -> Model:
-    """Adam on the cross entropy of windows; languages are drawn alike often."""
+    return folded(parameters(x, y, labels, seed), labels)
+
+
+def parameters(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 0) -> dict[str, np.ndarray]:
+    """Embedding E, kernels K2 to K4 with biases b, output W with c: by Adam on the cross entropy of windows; languages are drawn alike often."""
     rng = np.random.default_rng(seed)
     p = {"E": rng.normal(0, 0.3, (256, EMBEDDING)), "W": rng.normal(0, 0.1, (len(WIDTHS) * FILTERS, len(labels))), "c": np.zeros(len(labels)), "b": np.zeros(len(WIDTHS) * FILTERS)}
     p |= {f"K{w}": rng.normal(0, (w * EMBEDDING) ** -0.5, (w * EMBEDDING, FILTERS)) for w in WIDTHS}
@@ -99,6 +103,11 @@ def fit(x: np.ndarray, y: np.ndarray, labels: list[str], seed: int = 0) -> Model
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
             p[k] -= (RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
+    return p
+
+
+def folded(p: dict[str, np.ndarray], labels: list[str]) -> Model:
+    """The embedding and the kernels as tables by byte and by pair of bytes."""
     table = {(w, j): p["E"] @ p[f"K{w}"][j * EMBEDDING : (j + 1) * EMBEDDING] for w in WIDTHS for j in range(w)}
     pairs = lambda w, j: (table[w, j][:, None] + table[w, j + 1][None]).reshape(65536, FILTERS)
     return Model(labels, np.concatenate([pairs(w, 0) for w in WIDTHS], 1).astype(np.float32), table[3, 2].astype(np.float32), pairs(4, 2).astype(np.float32), p["b"], p["W"], p["c"])

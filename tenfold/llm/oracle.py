@@ -16,7 +16,7 @@ def _quality() -> str:
     # what is below 64 stays, all else keeps its first six binary digits
     buckets = ", ".join(f"CASE WHEN {m} < 64 THEN {m} ELSE ({m} >> (length(bin({m})) - 6)) << (length(bin({m})) - 6) END AS {m}" for m in MEASURES)
     each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM b WHERE {m} IS NOT NULL" for m in MEASURES)
-    reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), CASE measure {' '.join(f"WHEN '{m}' THEN {tolerance}" for m, (_, _, tolerance, _) in MEASURES.items())} END)"
+    reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), CASE measure {' '.join(f"WHEN '{m}' THEN {tolerance}" for m, (_, _, tolerance, _) in MEASURES.items())} END, q2 // 16)"
     one_sided = ", ".join(f"'{m}'" for m, (*_, lower) in MEASURES.items() if not lower)
     bad = " OR ".join(f"measure = '{m}' AND NOT {m} BETWEEN lo AND hi" for m in MEASURES)
 

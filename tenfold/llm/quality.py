@@ -113,7 +113,7 @@ def thresholds(sketch: DataFrame) -> DataFrame:
     per = per.select("lang", "source", "measure", F.expr(f"CASE WHEN a.n >= {LEAST_GROUP} THEN a WHEN b.n >= {LEAST_GROUP} THEN b ELSE c END").alias("x")).select("lang", "source", "measure", "x.*")
     out = []
     for m, (_, _, tolerance, lower) in MEASURES.items():
-        reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), {tolerance})"
+        reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), {tolerance}, q2 div 16)"  # two buckets at least
         out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 + {reach} END) AS {m}_high"))
         if lower:
             out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 - {reach} END) AS {m}_low"))

@@ -52,7 +52,7 @@ def test_suffix_arrays_are_sorted():
             assert order == sorted(range(len(data)), key=lambda i: data[i:])
 
 
-@pytest.mark.parametrize("most", [256, 2])
+@pytest.mark.parametrize("most", [2048, 2])
 def test_repeats_against_brute_force(docs, monkeypatch, most):
     monkeypatch.setattr(suffix_dedup, "RUNS_AT_ONCE", most)
     got = suffix_dedup.remove_repeats(docs).collect()
@@ -62,6 +62,18 @@ def test_repeats_against_brute_force(docs, monkeypatch, most):
     assert suffix_dedup.remove_repeats(empty(docs)).count() == 0
 
 
+def test_repeats_of_a_hot_passage(spark, monkeypatch):
+    """A passage that stands in many contexts, cut again down to single windows."""
+    monkeypatch.setattr(suffix_dedup, "RUNS_AT_ONCE", 3)
+    rng = random.Random(9)
+    letters = lambda n, of="abcdefghij ": "".join(rng.choice(of) for _ in range(n))
+    passage = letters(420)
+    texts = [letters(rng.randint(0, 120)) + passage[rng.randint(0, 40) : rng.randint(330, 420)] + letters(rng.randint(0, 120), "ab") for _ in range(40)]
+    texts += ["ab" * 300, "ab" * 300 + "c", passage + passage, passage[:199], passage[:200]]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: (len(r.data) - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in got} == dict(enumerate(suffix_dedup.brute_force(texts)))
+
+
 def test_quality_on_edges(docs):
     got = quality.score(docs)
     assert got.count() == docs.count() and got.where("row.text IS NULL AND (kept OR n_words > 0)").count() == 0
@@ -105,13 +117,28 @@ def test_set_join_finds_all():
 
 @pytest.mark.parametrize("width", [70, 75, 80])
 def test_licenses_wrapped_over_lines(spark, width):
-    notices = [t for _, t in licenses.TEMPLATES if t.startswith(("Permission", "This program", "Redistribution"))]
+    notices = [t for _, t in licenses.TEMPLATES if t.startswith(("Permission is hereby", "This program is free", "Redistribution and"))]
     texts = ["own words\n\n" + "\n".join(f"{mark}{line}" for line in textwrap.wrap(f"{t} and some more words of the notice that go on for a while", width)) for t in notices for mark in ("", " * ")]
     texts += ["\n".join(textwrap.wrap(" ".join(w + " own words" for w in t.split()), width)) for t in notices]
     got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: [(b.block, b.label, b.containment) for b in r.blocks] for r in got} == {i: [(2, label, 1.0)] for i, label in enumerate(["mit", "mit", "gpl", "gpl", "bsd", "bsd"])} | {6: [], 7: [], 8: []}
 
 
+@pytest.mark.parametrize("width", [60, 78])
+def test_whole_notices_wrapped_over_lines(spark, width):
+    """Every template of several sentences is found as a wrapped paragraph, with a word in ten changed too, and under its own label only."""
+    long = [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) > 25]
+    changed = lambda t: " ".join("other" if i % 10 == 4 else w for i, w in enumerate(t.split()))
+    texts = ["head\n\n" + "\n".join(textwrap.wrap(x, width)) + "\n\ntail" for _, t in long for x in (t, changed(t))]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert len(long) >= 4 and {r.doc_id: {b.label for b in r.blocks} for r in got} == {i: {long[i // 2][0]} for i in range(len(texts))}
+
+
+def test_license_short_form(spark):
+    got = licenses.scan(spark.createDataFrame([(1, "own text\nLicensed under CC BY-NC 4.0.\n"), (2, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")).collect()
+    assert {r.doc_id: {b.label for b in r.blocks} for r in got} == {1: {"cc-by-nc"}, 2: {"apache"}}
+
+
 def test_windows_find_all():
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(25)]
@@ -238,6 +265,36 @@ def test_near_matches_without_the_rarest_words(spark):
     assert decontaminate.near_matches(unseen, items).count() > 0
 
 
+def test_language_against_a_plain_forward_pass(spark):
+    """Embedding, filters, maximum and softmax written out, on whole texts of several windows."""
+    import numpy as np
+
+    d = queries.table(spark, "/root/testdata/sf0.01", "documents").limit(120)
+    x, y, labels = language_id.sample(d)
+    p = language_id.parameters(x, y, labels)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(d, language_id.folded(p, labels)).collect()}
+    places = language_id.WINDOW - max(language_id.WIDTHS) + 1
+    for r in d.collect():
+        if not r.text or not any(map(str.isalpha, r.text)):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        logits = []
+        for row in language_id.windows(r.text):
+            e = p["E"][row]
+            pooled = [max(e[i : i + w].reshape(-1) @ p[f"K{w}"][:, f] for i in range(places)) for w in language_id.WIDTHS for f in range(language_id.FILTERS)] if len(logits) < 3 else None
+            logits.append(np.maximum(np.array(pooled) + p["b"], 0) @ p["W"] + p["c"] if pooled else None)
+        if None not in [None if z is None else 0 for z in logits]:  # long texts would take too long here
+            mean = np.mean(logits, 0)
+            soft = np.exp(mean - mean.max()) / np.exp(mean - mean.max()).sum()
+            assert got[r.doc_id][0] == labels[int(soft.argmax())] and abs(got[r.doc_id][1] - soft.max()) < 1e-4
+
+
+def test_language_needs_letters(spark):
+    d = spark.createDataFrame([(1, "\u00bd \u00b2 \u2167 12"), (2, "\u00bd a")], "doc_id long, text string")
+    model = language_id.fit(language_id.windows("some words in a text"), __import__("numpy").zeros(1, int), ["en"])
+    assert {r.doc_id: r.lang_pred for r in language_id.predict(d, model).collect()} == {1: "und", 2: "en"}
+
+
 def test_language_held_out(spark):
     d = queries.table(spark, "/root/testdata/sf0.01", "documents")
     got = language_id.predict(d, language_id.train(d.where(~queries.held_out()))).join(d.select("doc_id", "lang"), "doc_id").where(queries.held_out())
@@ -272,11 +329,19 @@ def test_warc_dictionary_and_damage():
 
 def test_line_dedup(docs, spark):
     pages = spark.createDataFrame([(i, f"menu\nown {i}\n", "h" if i < 9 else None, 1) for i in range(12)] + [(99, "menu", "h", 1), (98, None, "h", 1)], "doc_id long, text string, source string, bad int")
-    got = {r.row.doc_id: (r.text, r.n_removed) for r in line_dedup.clean(pages).collect()}
+    got = {r.row.doc_id: (r.text, r.n_removed) for r in line_dedup.clean(pages, least_pages=5, keep_copies=True).collect()}
     assert got[0] == ("own 0\n", 1) and got[10] == ("menu\nown 10\n", 0) and got[99] == ("menu", 0) and got[98] == (None, 0)
     assert line_dedup.cleaned(docs).columns == docs.columns and line_dedup.cleaned(docs).count() == docs.count() and line_dedup.cleaned(empty(docs)).count() == 0
 
 
+def test_line_dedup_by_its_ratio_alone(spark):
+    """Small hosts lose lines that stand on two pages, pages of nothing but boilerplate are emptied, a line on one page stays."""
+    rows = [(1, "menu\nown 1", "http://User@A.example:80/x"), (2, "menu\nown 2", "https://a.example/y?z"), (3, "menu", "http://a.example"), (4, "menu\nonly here", "http://b.example/"), (5, "menu", None), (6, None, "http://a.example/")]
+    pages = spark.createDataFrame(rows, "page_id long, html string, url string").withColumn("host", line_dedup.host_of(F.col("url")))
+    got = {r.row.page_id: (r.row.host, r.text, r.n_removed) for r in line_dedup.clean(pages, "host", "html").collect()}
+    assert got == {1: ("a.example", "own 1", 1), 2: ("a.example", "own 2", 1), 3: ("a.example", "", 1), 4: ("b.example", "menu\nonly here", 0), 5: (None, "menu", 0), 6: ("a.example", None, 0)}
+
+
 def test_line_dedup_on_a_large_host(spark):
     stock, rare = range(0, 500, 10), range(0, 500, 50)
     pages = spark.createDataFrame([(i, "\n".join([f"own {i}"] + ["stock"] * (i in stock) + ["rare"] * (i in rare)), "h") for i in range(500)], "doc_id long, text string, source string")
@@ -349,6 +414,104 @@ def test_components_of_a_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def test_registered_suffix_dedup(spark):
+    rows = queries.table(spark, SF, "documents").select("doc_id", "text").collect()
+    want = [(r.doc_id, len((r.text or "").encode()), *b) for r, b in zip(rows, suffix_dedup.brute_force([r.text for r in rows]), strict=True)]
+    got = queries.op1_suffix_dedup(spark, SF)
+    assert got.columns == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    same([tuple(r) for r in got.collect()], want)
+
+
+def test_registered_minhash(spark):
+    rows = [(r.doc_id, r.text) for r in queries.table(spark, SF, "documents").collect()]
+    got = queries.op9_minhash(spark, SF).collect()
+    same([(r.doc_id, r.n_shingles, r.component_id) for r in got], brute_classes(rows, 3, (85, 100)))
+    assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
+def encoded(spark, name, end):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.vocabulary(name))
+    t.encode_special_tokens = True
+    return {r.doc_id: [*(t.encode(r.text, add_special_tokens=False).ids if r.text else []), end] for r in queries.table(spark, SF, "documents").collect()}
+
+
+def crc(ids):
+    return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
+
+
+def test_registered_packing(spark):
+    ids, sequences, pieces = encoded(spark, "byte_bpe_50k.json", 0), defaultdict(list), defaultdict(list)
+    for p in queries.op4_packing(spark, SF).collect():
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == crc(ids[p.doc_id][p.start : p.start + p.length]) and p.length > 0
+        pieces[p.doc_id].append((p.start, p.length))
+        sequences[p.sequence_id].append((p.offset, p.length))
+    for got, lengths in ((pieces, {k: len(v) for k, v in ids.items()}), (sequences, None)):
+        for k, parts in got.items():
+            at = 0
+            for start, length in sorted(parts):
+                assert start == at
+                at += length
+            assert at == lengths[k] if lengths else at <= 1024
+    assert set(pieces) == set(ids)
+    full = [sum(n for _, n in x) for x in sequences.values()]
+    assert sum(1024 - n for n in full if n & (n - 1)) < 0.05 * sum(full)
+
+
+def test_registered_token_files(spark):
+    ids, at = encoded(spark, "word_bpe_49k.json", 2), 0
+    got = {r.doc_id: r for r in queries.op10_token_files(spark, SF).collect()}
+    assert set(got) == set(ids)
+    for k in sorted(ids):
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (at, len(ids[k]), crc(ids[k]))
+        at += len(ids[k])
+
+
+def test_registered_language_id(spark):
+    rows = {r.doc_id: r for r in queries.op6_language_id(spark, SF).collect()}
+    lang = {r.doc_id: (r.lang, r.text) for r in queries.table(spark, SF, "documents").collect()}
+    assert set(rows) == set(lang) and all(r.held_out == (zlib.crc32(str(k).encode()) % 3 == 1) and 0 <= r.score <= 1 for k, r in rows.items())
+    assert all((rows[k].lang_pred == "und") == (not t or not any(map(str.isalpha, t))) for k, (_, t) in lang.items())
+
+
+def test_selective_token_reads(spark):
+    """Column and page indexes are there, few columns are read, and a range of documents is pushed down to the files."""
+    import pyarrow.parquet as pq
+
+    d = queries.table(spark, "/root/testdata/sf0.01", "documents")
+    path = token_files.write(d, queries.vocabulary("word_bpe_49k.json"), page_bytes=4096)
+    file = pq.ParquetFile(token_files.read(spark, path).inputFiles()[0].removeprefix("file://"))
+    column = [file.metadata.row_group(0).column(i) for i in range(file.metadata.num_columns)]
+    assert all(c.has_column_index and c.has_offset_index for c in column) and "DELTA_BINARY_PACKED" in str(column[-1].encodings)
+    some = token_files.read(spark, path, ["doc_id", "n_tokens"], (10, 20))
+    plan = some._jdf.queryExecution().toString()
+    assert "GreaterThanOrEqual(doc_id,10)" in plan and "token_ids" not in plan.split("ReadSchema")[-1]
+    assert sorted(r.doc_id for r in some.collect()) == list(range(10, 21))
+
+
+def test_sketches_merge_and_have_no_top(spark):
+    """Parts' sketches added up are those of the whole; a language without blanks has thresholds of its own; null groups count."""
+    rng = random.Random(5)
+    wide = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(380, 420))) for _ in range(n))
+    rows = [(i, wide(12), None, "s") for i in range(150)] + [(900, " ".join(f"{i}" + "x" * 4000 for i in range(12)), None, "s"), (901, " ".join("ab" + str(i) for i in range(12)), None, "s")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    parts = [quality.sketches(d.where(f"doc_id % 2 = {k}")) for k in (0, 1)]
+    merged = parts[0].union(parts[1]).groupBy("lang", "source", "measure", "bucket").agg(F.sum("n").alias("n"))
+    same(merged.collect(), quality.sketches(d).collect())
+    assert {r.row.doc_id for r in quality.score(d).where("NOT kept AND NOT base_failed").collect()} == {900, 901}
+    values = [*range(200), *(rng.randrange(10**9) for _ in range(300))]
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", F.lit(1000).alias("n_words"), F.col("v").alias("word_chars")).select("v", quality.bucket("word_length").alias("b")).select("v", F.expr(quality.least_value("b")).alias("low"), "b").collect()
+    assert all(r.low <= r.v and (r.v - r.low) * 32 <= r.v for r in got) and [r.b for r in sorted(got, key=lambda r: r.v)] == sorted(r.b for r in got)
+
+
+def test_a_very_long_page(spark):
+    long = "<p>" + "long page " * ((warc.ARCHIVE_BYTES // 10) + 100)
+    pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", long), (3, "u", long), (4, "u", "a" * 200)], "page_id long, url string, html string")
+    got = warc.read(warc.write(pages.coalesce(1))).select("page_id", "record_type", "refers_to", "payload_bytes", "error").collect()
+    assert sorted(map(tuple, got)) == [(1, "response", None, 200, None), (2, "response", None, len(long), None), (3, "revisit", 2, len(long), None), (4, "revisit", 1, 200, None)]
+
+
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()

@@ -3,11 +3,15 @@
 Each place of a text starts a window of LENGTH bytes; a window belongs to the least hash of
 its K-byte strings (its anchor), so equal windows have equal anchors wherever they stand.
 Runs of windows with one anchor are the unit that is dealt out.  Anchors that occur once
-cannot repeat; runs that are equal as a whole repeat as a whole; for the rest, one text of
-each different run goes to its anchor's task, where suffix arrays are built in two stages
-(suffixes smaller than their successors are sorted, the others are induced by scanning the
-buckets) and common prefixes of neighbours tell which windows repeat.  An anchor with very
-many different runs is not gathered: its windows are counted one by one by hash.
+cannot repeat; runs that are equal as a whole, by a cryptographic hash of 16 bytes, repeat as
+a whole; one text of each different run goes to its anchor's task, where suffix arrays are
+built in two stages (suffixes smaller than their successors are sorted, the others are
+induced by scanning the buckets) and common prefixes of neighbours tell which windows repeat.
+
+A task must not gather an anchor with very many different runs.  Such runs are cut into parts
+by the place of the anchor in the window, and dealt by the bytes that all windows of a part
+have in common; the parts that share them are few and go to suffix arrays like any runs.  If
+they are still many they are cut again, in the end to single windows.
 """
 
 from __future__ import annotations
@@ -21,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, staged
+from .common import discard, row_key, staged
 from .hashing import mix, powers, prefixes
 
-LENGTH, K = 200, 16
+LENGTH, K = 200, 40
 #: Windows of a run at most; bytes of a text hashed at once; bytes of a suffix array; different runs of an anchor that one task takes.
-RUN, AT_ONCE, BLOCK_BYTES, RUNS_AT_ONCE = 512, 1 << 20, 192 << 10, 256
-#: Places of the anchor that share a part of a run, where the runs of an anchor are very many.
-STEP = 8
+RUN, AT_ONCE, BLOCK_BYTES, RUNS_AT_ONCE = 512, 1 << 20, 192 << 10, 2048
+#: Places of the anchor in the window that share a part of a run, as runs are cut again and again.
+STEPS = (16, 4, 1)
 SPAN = LENGTH - K + 1
 
 
@@ -43,13 +47,17 @@ def kept_low(h: np.ndarray) -> np.ndarray:
     return np.minimum(right[:n], left[SPAN - 1 : SPAN - 1 + n])
 
 
-def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _hashes(a: np.ndarray) -> np.ndarray:
+    """Of each string of K bytes."""
+    p, (_, down) = prefixes(a), powers(len(a) + 1)
+    return mix((p[K:] - p[:-K]) * down[: len(a) - K + 1])
+
+
+def runs(data: bytes) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray, np.ndarray]]:
     """(anchor, hash of the run's bytes, start, windows, whether the anchor stands there twice), for parts of a text."""
     whole = np.frombuffer(data, np.uint8)
     for low in range(0, max(0, len(whole) - LENGTH + 1), AT_ONCE):
-        a = whole[low : low + AT_ONCE + LENGTH - 1]
-        p, (_, down) = prefixes(a), powers(len(a) + 1)
-        h = mix((p[K:] - p[:-K]) * down[: len(a) - K + 1])
+        h = _hashes(whole[low : low + AT_ONCE + LENGTH - 1])
         m = kept_low(h)
         cut = np.flatnonzero(m[1:] != m[:-1]) + 1
         start = np.concatenate([[0], cut])
@@ -60,13 +68,13 @@ def runs(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.n
             nth = np.arange(len(first)) - np.repeat(np.cumsum(parts) - parts, parts)
             start, size = first + nth * RUN, np.minimum(RUN, np.repeat(size, parts) - nth * RUN)
         value, end = m[start], start + size
-        digest = mix((p[end + LENGTH - 1] - p[start]) * down[start] + size.astype(np.uint64))
+        digest = [hashlib.blake2b(data[i:j], digest_size=16).digest() for i, j in zip((start + low).tolist(), (end + low + LENGTH - 1).tolist(), strict=True)]
         same = np.concatenate([[0], np.cumsum(h[: len(m)] == m)])
         times = same[end] - same[start]
         for k in range(0, len(start), 4096):
             tail = end[k : k + 4096, None] + np.arange(SPAN - 1)
             times[k : k + 4096] += (h[tail] == value[k : k + 4096, None]).sum(1)
-        yield value.view(np.int64), digest.view(np.int64), start + low, size, times > 1
+        yield value.view(np.int64), digest, start + low, size, times > 1
 
 
 def smaller_than_next(text: np.ndarray) -> np.ndarray:
@@ -169,16 +177,8 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8").alias("data"))
 
 
-def _runs(texts: DataFrame) -> DataFrame:
-    """(anchor, run, key, start, windows, twice)."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for key, data in zip(batch.column(0), batch.column(1), strict=True):
-                for anchor, digest, start, size, twice in runs(data.as_py()):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(digest), pa.array([key.as_py()] * len(anchor), pa.binary()), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(twice)], ["anchor", "run", "key", "start", "windows", "twice"])
-
-    return texts.select("key", "data").mapInArrow(_joined(find), "anchor long, run long, key binary, start int, windows int, twice boolean")
+def _batch(**columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
 
 def _joined(f, rows: int = 8192):
@@ -198,14 +198,29 @@ def _joined(f, rows: int = 8192):
     return run
 
 
+def _runs(texts: DataFrame) -> DataFrame:
+    """(anchor, run, key, start, windows, twice)."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, data in zip(batch.column(0), batch.column(1), strict=True):
+                for anchor, digest, start, size, twice in runs(data.as_py()):
+                    yield _batch(anchor=pa.array(anchor), run=pa.array(digest, pa.binary()), key=pa.array([key.as_py()] * len(anchor), pa.binary()), start=pa.array(start.astype(np.int32)), windows=pa.array(size.astype(np.int32)), twice=pa.array(twice))
+
+    return texts.select("key", "data").mapInArrow(_joined(find), "anchor long, run binary, key binary, start int, windows int, twice boolean")
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (data, wanted): the bytes of each run wanted, with its anchor, run and windows."""
+    """Rows (data, wanted): the bytes of each run wanted, with its anchor, run and count."""
     for batch in batches:
         for data, wanted in zip(batch.column(0), batch.column(1), strict=True):
             data, wanted = data.as_py(), wanted.as_py()
             for k in range(0, len(wanted), 4096):
                 part = wanted[k : k + 4096]
-                yield pa.RecordBatch.from_arrays([pa.array([w["anchor"] for w in part]), pa.array([w["run"] for w in part]), pa.array([w["hot"] for w in part]), pa.array([data[w["start"] : w["start"] + w["windows"] + LENGTH - 1] for w in part], pa.binary())], ["anchor", "run", "hot", "bytes"])
+                yield _batch(anchor=pa.array([w["anchor"] for w in part]), run=pa.array([w["run"] for w in part], pa.binary()), n=pa.array([w["n"] for w in part]), offset=pa.array([-1] * len(part), pa.int32()), bytes=pa.array([data[w["start"] : w["start"] + w["windows"] + LENGTH - 1] for w in part], pa.binary()))
+
+
+SLICES = "anchor long, run binary, n long, offset int, bytes binary"
 
 
 def _array_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +232,7 @@ def _array_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     def done(held):
         found = repeated([r[2] for r in held])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in held]), pa.array([r[1] for r in held]), pa.array([as_ranges(x) for x in found], RANGES)], ["anchor", "run", "ranges"])
+        return _batch(anchor=pa.array([r[0] for r in held]), run=pa.array([r[1] for r in held], pa.binary()), ranges=pa.array([as_ranges(x) for x in found], RANGES))
 
     held, size = [], 0
     for _, group in groupby(rows(), key=lambda r: r[0]):
@@ -231,71 +246,75 @@ def _array_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield done(held)
 
 
-def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (anchor, run, bytes): each run cut where the anchor's place in the window passes a multiple of STEP.
+def _cut(step: int):
+    """Rows (anchor, run, offset, bytes): each run cut where the anchor's place in the window passes a multiple of ``step``.
 
-    Equal windows have the anchor at the same place, so they lie in parts for the same
-    multiple; inside a passage that many texts share, such parts are equal as a whole.
+    Equal windows have the anchor at the same place, so they lie in parts for the same multiple.
+    A part's core is what all windows for that multiple have in common.  offset is the anchor's
+    place in the first window, or -1 if the anchor is still to be looked for.
     """
-    for batch in batches:
-        for anchor, run, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            a = np.frombuffer(data, np.uint8)
-            p, (_, down) = prefixes(a), powers(len(a) + 1)
-            h = mix((p[K:] - p[:-K]) * down[: len(a) - K + 1]).view(np.int64)
-            n = len(a) - LENGTH + 1
-            at = np.flatnonzero(h == anchor)
-            place = at[np.searchsorted(at, np.arange(n))]
-            key = place * LENGTH + (place - np.arange(n)) // STEP
-            low = np.concatenate([[0], np.flatnonzero(np.diff(key)) + 1])
-            high = np.append(low[1:], n)
-            texts = [data[i : j + LENGTH - 1] for i, j in zip(low, high, strict=True)]
-            digest = [hashlib.blake2b(t, digest_size=16).digest() for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([anchor] * len(low)), pa.array([run] * len(low)), pa.array(low.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(texts, pa.binary())], ["anchor", "run", "low", "part", "bytes"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (part, bytes): a hash of each window."""
-    for batch in batches:
-        for part, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            n = len(data) - LENGTH + 1
-            yield pa.RecordBatch.from_arrays([pa.array([hashlib.blake2b(data[i : i + LENGTH], digest_size=16).digest() for i in range(n)], pa.binary()), pa.array([part] * n, pa.binary()), pa.array(np.arange(n, dtype=np.int32))], ["window", "part", "at"])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for anchor, run, offset, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(data) - LENGTH + 1
+                if offset < 0:
+                    at = np.flatnonzero(_hashes(np.frombuffer(data, np.uint8)).view(np.int64) == anchor)
+                    place = at[np.searchsorted(at, np.arange(n))]
+                else:
+                    place = np.full(n, offset)
+                multiple = (place - np.arange(n)) // step
+                low = np.concatenate([[0], np.flatnonzero(np.diff(place * LENGTH + multiple)) + 1])
+                high = np.append(low[1:], n)
+                first, offsets = place[low] - multiple[low] * step, place[low] - low
+                cores = [hashlib.blake2b(data[i : i + LENGTH - step + 1], digest_size=8, salt=int(m).to_bytes(4, "little")).digest() for i, m in zip(first.tolist(), multiple[low], strict=True)]
+                texts = [data[i : j + LENGTH - 1] for i, j in zip(low, high, strict=True)]
+                parts = [hashlib.blake2b(t, digest_size=16, salt=int(o).to_bytes(4, "little")).digest() for t, o in zip(texts, offsets, strict=True)]
+                yield _batch(anchor=pa.array([anchor] * len(low)), run=pa.array([run] * len(low), pa.binary()), low=pa.array(low.astype(np.int32)), core=pa.array(np.frombuffer(b"".join(cores), np.int64)), part=pa.array(parts, pa.binary()), offset=pa.array(offsets.astype(np.int32)), bytes=pa.array(texts, pa.binary()))
 
-def _hot_ranges(slices: DataFrame) -> DataFrame:
-    """The same for anchors with very many runs: equal parts are one, and the windows of different parts are counted by hash."""
-    parts = staged(slices.mapInArrow(_joined(_parts), "anchor long, run long, low int, part binary, bytes binary"), "hot-parts")
-    different = staged(parts.groupBy("part").agg(F.count("*").alias("n"), F.min("bytes").alias("bytes")), "hot-different")
-    seen = staged(different.select("part", "bytes").mapInArrow(_joined(_windows), "window binary, part binary, at int"), "hot-windows")
-    often = staged(seen.groupBy("window").agg(F.count("*").alias("n")).where("n > 1").select("window"), "hot-repeats")
-    alone = different.where("n = 1").select("part")
-    some = seen.join(alone, "part", "left_semi").join(often, "window").groupBy("part").agg(F.collect_list(F.struct(F.col("at").alias("low"), (F.col("at") + 1).alias("high"))).alias("ranges"))
-    whole = different.where("n > 1").select("part", F.array(F.struct(F.lit(0).alias("low"), (F.octet_length("bytes") - (LENGTH - 1)).alias("high"))).alias("ranges"))
-    ranges = staged(some.union(whole), "hot-ranges")
-    shifted = F.expr("transform(ranges, r -> struct(r.low + low AS low, r.high + low AS high))")
-    return parts.select("anchor", "run", "low", "part").join(ranges, "part").select("anchor", "run", shifted.alias("ranges")).groupBy("anchor", "run").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+    return run
+
+
+def _ranges(slices: DataFrame, steps: tuple[int, ...] = STEPS) -> DataFrame:
+    """(anchor, run, ranges): which windows of the different runs (anchor, run, n, offset, bytes) repeat; a run that stands n times repeats as a whole."""
+    whole = slices.where("n > 1").select("anchor", "run", F.array(F.struct(F.lit(0).alias("low"), (F.octet_length("bytes") - (LENGTH - 1)).alias("high"))).alias("ranges"))
+    arrays = lambda x: x.select("anchor", "run", "bytes").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_array_ranges, f"anchor long, run binary, ranges {RANGES_SQL}")
+    hot = staged(slices.groupBy("anchor").agg(F.count("*").alias("runs")).where(F.col("runs") > RUNS_AT_ONCE).select("anchor"), "hot-anchors")
+    if not steps or hot.isEmpty():
+        found = arrays(slices)
+    else:
+        parts = staged(slices.join(hot, "anchor", "left_semi").select("anchor", "run", "offset", "bytes").mapInArrow(_joined(_cut(steps[0])), "anchor long, run binary, low int, core long, part binary, offset int, bytes binary"), "parts")
+        shared = parts.groupBy("core").agg(F.count("*").alias("runs")).where("runs > 1").select("core")
+        different = parts.join(staged(shared, "shared-cores"), "core").groupBy("core", "part").agg(F.count("*").alias("n"), F.min("offset").alias("offset"), F.min("bytes").alias("bytes"))
+        inner = _ranges(staged(different.withColumnsRenamed({"core": "anchor", "part": "run"}), "different-parts"), steps[1:]).withColumnsRenamed({"anchor": "core", "run": "part"})
+        shifted = F.expr("transform(ranges, r -> struct(r.low + low AS low, r.high + low AS high))")
+        cut = parts.drop("bytes", "offset").join(inner, ["core", "part"]).select("anchor", "run", shifted.alias("ranges")).groupBy("anchor", "run").agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
+        found = arrays(slices.join(hot, "anchor", "left_anti")).union(cut)
+    return staged(found.where("size(ranges) > 0").join(whole.select("anchor", "run"), ["anchor", "run"], "left_anti").union(whole), "ranges")
 
 
 def _removed(docs: DataFrame) -> DataFrame:
     """(key, ranges): per row key, ranges of window starts, in bytes of its text, that start elsewhere too."""
     texts = _texts(docs)
     found = staged(_runs(texts), "runs")
-    active = found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("anchor")
-    placed = staged(found.join(staged(active, "anchors"), "anchor"), "placed-runs")
+    active = staged(found.groupBy("anchor").agg(F.count("*").alias("n"), F.max("twice").alias("twice")).where("n > 1 OR twice").select("anchor"), "anchors")
+    placed = staged(found.join(active.hint("merge"), "anchor"), "placed-runs")
     different = staged(placed.groupBy("anchor", "run").agg(F.count("*").alias("n"), F.max("twice").alias("twice"), F.min(F.struct("key", "start", "windows")).alias("x")), "different-runs")
-    anchors = different.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("twice").alias("twice")).where("runs > 1 OR twice").select("anchor", (F.col("runs") > RUNS_AT_ONCE).alias("hot"))
-    wanted = different.select("anchor", "run", "x.*").join(staged(anchors, "anchors-compared"), "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "start", "windows", "hot")).alias("wanted"))
-    once = texts.select("key", "data").join(staged(wanted, "runs-wanted"), "key")
-    slices = staged(once.select("data", "wanted").mapInArrow(_joined(_slices, 512), "anchor long, run long, hot boolean, bytes binary"), "run-bytes")
-    by_array = slices.where("NOT hot").select("anchor", "run", "bytes").repartition("anchor").sortWithinPartitions("anchor", "run").mapInArrow(_array_ranges, f"anchor long, run long, ranges {RANGES_SQL}")
-    by_hash = _hot_ranges(slices.where("hot").select("anchor", "run", "bytes"))
-    whole = different.where("n > 1").select("anchor", "run", F.array(F.struct(F.lit(0).alias("low"), F.col("x.windows").alias("high"))).alias("ranges"))
-    ranges = staged(by_array.union(by_hash).where("size(ranges) > 0").join(whole.select("anchor", "run"), ["anchor", "run"], "left_anti").union(whole), "ranges")
-    return (
-        placed.join(ranges, ["anchor", "run"])
+    compared = staged(different.groupBy("anchor").agg(F.count("*").alias("runs"), F.max("twice").alias("twice")).where("runs > 1 OR twice").select("anchor"), "anchors-compared")
+    wanted = different.join(compared.hint("merge"), "anchor").select("anchor", "run", "n", "x.*").groupBy("key").agg(F.collect_list(F.struct("anchor", "run", "n", "start", "windows")).alias("wanted"))
+    once = texts.select("key", "data").join(staged(wanted, "runs-wanted").hint("shuffle_hash"), "key")
+    slices = staged(once.select("data", "wanted").mapInArrow(_joined(_slices, 512), SLICES), "run-bytes")
+    alone = different.where("n > 1").join(compared, "anchor", "left_anti").select("anchor", "run", F.array(F.struct(F.lit(0).alias("low"), F.col("x.windows").alias("high"))).alias("ranges"))
+    ranges = staged(_ranges(slices).union(alone), "ranges")
+    out = (
+        placed.join(ranges.hint("merge"), ["anchor", "run"])
         .select("key", F.expr("transform(ranges, r -> struct(start + r.low AS low, start + r.high AS high))").alias("ranges"))
         .groupBy("key")
         .agg(F.flatten(F.collect_list("ranges")).alias("ranges"))
     )
+    out = staged(out, "window-ranges")
+    discard(found, active, placed, different, compared, slices, ranges)
+    return out
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -307,7 +326,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     any copies do; a null doc_id stays null; other columns are left out; an empty table
     gives no rows.
     """
-    ranges = staged(_removed(docs), "window-ranges")
+    ranges = _removed(docs)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

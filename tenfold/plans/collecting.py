@@ -253,4 +253,22 @@ def aligned_features(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(mlops.aligned(frame, [*mlops.feature_names(frame), "d_other"]).drop("game_start"))
 
 
+FIXED = mlops.LinearModel({"d_winrate_mean": (0.0, 0.01, 0.2), "d_games_mean": (0.0, 0.0, 10.0)}, [0.7, -0.4], 0.1)
+
+
+@query
+def predict_scored(spark: SparkSession, sf: str) -> DataFrame:
+    """The last contest as a live one, scored by a model of fixed weights."""
+    df = contests(spark, sf)
+    return rounded(predict.predict(df.where("seq = n_seq - 1"), df, FIXED).select("match_id", "p"), 4)
+
+
+@query
+def explanation(spark: SparkSession, sf: str) -> DataFrame:
+    """The two largest contributions of a model of fixed weights to each contest."""
+    model = mlops.LinearModel({"d_p": (0.0, 0.01, 0.05), "blue_coverage": (0.0, 2.5, 1.5), "red_coverage": (0.0, 2.0, 2.0)}, [0.3, 0.2, -0.1], 0.0)
+    frame = _parts(spark, sf).drop("part").join(_coverage(spark, sf), "match_id")
+    return rounded(model.explain(frame, 2))
+
+
 __all__ = ["Q"]

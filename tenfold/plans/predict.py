@@ -10,6 +10,7 @@ from tenfold.operators.features import CURVE, feature_matrix
 from tenfold.schemas import QUEUE_ID, TRAITS
 
 from .mlops import LinearModel
+from .training import Predictor
 
 
 def snapshot(df: DataFrame) -> dict[str, DataFrame]:
@@ -73,7 +74,7 @@ def missing_history(depth: DataFrame, listed: DataFrame, stored: DataFrame, game
     return rows.withColumn("_i", place).where("_i <= need").select("puuid", "match_id")
 
 
-def predict(live: DataFrame, history: DataFrame, model: LinearModel | None = None, min_history: int = 5) -> DataFrame:
+def predict(live: DataFrame, history: DataFrame, model: LinearModel | Predictor | None = None, min_history: int = 5) -> DataFrame:
     """The live contests' feature rows, with p in [0.01, 0.99] if a model is given. Pure: nothing is kept between calls."""
     rows = history.join(live.select("match_id").distinct(), "match_id", "left_anti").unionByName(live, allowMissingColumns=True)
     row = feature_matrix(rows, min_history).join(live.select("match_id").distinct(), "match_id", "left_semi")

@@ -95,7 +95,7 @@ def auc(df: DataFrame, y: str = "y", p: str = "p") -> DataFrame:
     before = F.coalesce(F.sum("bn").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     offsets = blocks.select("b", before.alias("o"))
     inside = F.coalesce(F.sum("n").over(Window.partitionBy("b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = at.withColumn("i", inside).join(F.broadcast(offsets), "b").withColumn("rank", F.col("o") + F.col("i") + (F.col("n") + 1) / 2)
+    ranked = at.withColumn("i", inside).join(offsets, "b").withColumn("rank", F.col("o") + F.col("i") + (F.col("n") + 1) / 2)
     sums = ranked.agg(F.sum(F.col("rank") * F.col("pos")).alias("r"), F.sum("pos").cast("double").alias("pos"), F.sum(F.col("n") - F.col("pos")).cast("double").alias("neg"))
     return sums.select(F.when((F.col("pos") > 0) & (F.col("neg") > 0), (F.col("r") - F.col("pos") * (F.col("pos") + 1) / 2) / (F.col("pos") * F.col("neg"))).alias("auc"))
 

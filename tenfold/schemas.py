@@ -39,7 +39,7 @@ TABLES = {
 
 KEYS = {"raw_matches": ["match_id"], "matches": ["match_id"], "participants": ["match_id", "puuid"], "player_ranks": ["puuid", "queue", "observed_at"], "crawl_players": ["puuid"], "crawl_matches": ["match_id"], "match_discoveries": ["match_id", "puuid"], "crawl_plan": ["match_id"], "participant_extras": ["match_id", "puuid"]}
 
-_INT = "teamId championId kills deaths assists goldEarned totalMinionsKilled neutralMinionsKilled totalDamageDealtToChampions totalDamageTaken visionScore wardsPlaced turretKills".split()
+_INT = ["teamId", "championId", "kills", "deaths", "assists", "goldEarned", "totalMinionsKilled", "neutralMinionsKilled", "totalDamageDealtToChampions", "totalDamageTaken", "visionScore", "wardsPlaced", "turretKills"]
 _OWN = [f"{k}: string" for _, s, k in EXTRAS if s == "p"]
 _CHALLENGES = ", ".join(f"{k}: string" for _, s, k in EXTRAS if s == "c")
 PAYLOAD = "info struct<queueId: bigint, gameDuration: bigint, gameVersion: string, endOfGameResult: string, gameStartTimestamp: bigint, gameCreation: bigint, platformId: string, gameId: bigint, teams: array<struct<teamId: int, win: boolean>>, participants: array<struct<puuid: string, teamPosition: string, win: boolean, " + ", ".join([*(f"{k}: bigint" for k in _INT), *_OWN, f"challenges: struct<{_CHALLENGES}>"]) + ">>>"

@@ -76,7 +76,7 @@ def ordinal(df: DataFrame, order: list[str], name: str, one_task: int = 5_000_00
     at = staged(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ordinal")
     at = at.withColumn("_part", F.shiftright("_at", 33))
     sizes = at.groupBy("_part").agg(F.count("*").alias("_n"))
-    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
+    offsets = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row for each task at most
     return at.join(F.broadcast(offsets), "_part").withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at", "_part", "_before")
 
 

@@ -1,6 +1,7 @@
 """Properties and small cases of the contest operators."""
 
 import gzip
+import json
 import random
 
 import pytest
@@ -76,7 +77,22 @@ def test_greedy_cover():
 def test_reject_order_and_corrupt(spark):
     raw = spark.createDataFrame([("bad", "{no json"), ("none", None), ("empty", '{"info": {}}')], "match_id string, payload string")
     got = {r.match_id: r.reject_reason for r in ingest.validated(raw).collect()}
-    assert got == {"bad": "corrupt", "none": "corrupt", "empty": "queue=None"} or got["empty"] == "queue=None"
+    assert got == {"bad": "corrupt", "none": "corrupt", "empty": "queue=None"}
+
+
+def test_order_of_reasons(spark):
+    """A payload that fails every rule; each is put right in turn, and the next one shows."""
+    person = lambda i, position: {"puuid": f"p{i}", "teamId": 100 + 100 * (i // 5), "teamPosition": position}
+    info = {"queueId": 400, "gameDuration": 300, "gameVersion": "15.1.1", "endOfGameResult": "Abort", "participants": [person(i, "") for i in range(9)]}
+    rows, want = [], []
+    roles = ["TOP", "JUNGLE", "MIDDLE", "BOTTOM", "UTILITY"]
+    steps = [("queue=400", {}), ("participants=9", {"queueId": 420}), ("too_short", {"participants": [person(i, "") for i in range(10)]}), ("Abort", {"gameDuration": 900}), ("patch=15.1", {"endOfGameResult": "GameComplete"}), ("missing_position", {"gameVersion": "16.1.1"}), ("duplicate_position", {"participants": [person(i, "TOP") for i in range(10)]}), (None, {"participants": [person(i, roles[i % 5]) for i in range(10)]})]
+    for k, (reason, change) in enumerate(steps):
+        info = info | change
+        rows.append((f"m{k}", json.dumps({"info": info})))
+        want.append(reason)
+    got = {r.match_id: r.reject_reason for r in ingest.validated(spark.createDataFrame(rows, "match_id string, payload string"), 420, (16, 1)).collect()}
+    assert [got[f"m{k}"] for k in range(len(want))] == want
 
 
 def test_gunzip(spark):

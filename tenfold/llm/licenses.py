@@ -82,7 +82,7 @@ def token_counts(docs: DataFrame, templates: list[tuple[str, str]]) -> dict[byte
 
 
 class Join:
-    """Finds the templates that a block contains, given the tokens' order."""
+    """Finds the templates that a block contains, given the tokens' order. Templates are a parameter of the caller and go to all tasks with it."""
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
         self.rank = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}

@@ -61,7 +61,11 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = 2
 
 
 def read(spark: SparkSession, path: str, columns: list[str] | None = None, ids: tuple[int, int] | None = None) -> DataFrame:
-    """The rows of a written path: only the columns named, only doc_ids from the first to the second number."""
+    """The rows of a written path: only the columns named, only doc_ids from the first to the second number.
+
+    Rows with a null doc_id are in no range; equal rows come as often as they were written; a
+    path of no documents gives no rows; the names of the documents' other columns cannot clash, as they are not written.
+    """
     df = spark.read.schema(SCHEMA).parquet(path)
     if ids:
         df = df.where(F.col("doc_id").between(*ids))
@@ -69,7 +73,7 @@ def read(spark: SparkSession, path: str, columns: list[str] | None = None, ids:
 
 
 def with_starts(df: DataFrame) -> DataFrame:
-    """Add ``start``: the ids of all documents before. One row for each file's partition is summed up in one task."""
+    """Add ``start``: the ids of all documents before. One row for each file's partition is summed up in one task and broadcast: as few as the tasks that wrote."""
     from pyspark.sql import Window
 
     parts = df.groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -154,7 +154,12 @@ def write(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 def read(manifest: DataFrame) -> DataFrame:
-    """The records of the archives named in ``path``; rows that do not hold have an ``error``."""
+    """The records of the archives named in ``path``; rows that do not hold have an ``error``, which the caller decides about.
+
+    A page without html comes back with an empty payload, one without an id with a null id; equal
+    pages come as often as they were written; a manifest without rows gives none.  An archive is
+    read whole; it holds ARCHIVE_BYTES of records and the last record's rest at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in RECORD.split(", ")]

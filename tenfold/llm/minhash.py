@@ -1,9 +1,9 @@
 """Near duplicates: many universal hash minima, banding, verification, star components.
 
-Equal shingle sets are one node.  In each band's bucket the nodes are linked to one hub, the
-node that meets most others over all bands, rather than to each other; a test of set sizes
+Equal shingle sets are one node.  In each band's bucket the nodes are linked to a few hubs,
+first the node that meets most others over all bands, rather than to each other; a test of set sizes
 and signatures and then a count on the full sets confirm each link.  Buckets that still hold
-several components besides the hub are gone through again: the nodes outside the largest
+several components besides the hubs are gone through again: the nodes outside the largest
 component against every node of the bucket, in blocks, each pair in its first common band
 only; large buckets are split by a second band first.  So no link between components is lost,
 and only links that join two components leave a block.  Texts are read again once, for the
@@ -28,7 +28,9 @@ from .hashing import mix, shared, shingles, word_hashes
 
 #: Minima of a band; chance that a link at the threshold shares fewer than two bands; deviations that an estimate may lie below the threshold.
 ROWS, MISSED, DEVIATIONS = 4, 1e-7, 5.0
-#: Nodes of a block; a bucket of more is split by a second band.
+#: Hubs of a bucket: the node that meets most others, and some by a hash of the node, so that buckets mostly have the same ones.
+HUBS = 4
+#: Nodes of a block; a bucket with more outside its largest component is split by a second band.
 BLOCK = 256
 SIGNED = "key binary, doc_id long, n long, node binary, sig binary"
 HIDDEN = "band long, i int, j int, block int"
@@ -146,25 +148,25 @@ def _hub_links(pairs: DataFrame, texts: DataFrame, k: int, share: tuple[int, int
 
 
 def _with_main(members: DataFrame) -> DataFrame:
-    """Adds to the rows (band, j, id, component) of buckets with several components the bucket's size n and its largest component, main."""
+    """Adds to the rows (band, j, id, component) of buckets with several components the bucket's size n, its largest component, main, and how many nodes are outside it."""
     counts = members.groupBy("band", "j", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("band", "j").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("components"))
-    return members.join(main.where("components > 1").select("band", "j", "n", F.col("x.component").alias("main")), ["band", "j"])
+    return members.join(main.where("components > 1").select("band", "j", "n", F.col("x.component").alias("main"), (F.col("n") - F.col("x.n")).alias("outside")), ["band", "j"])
 
 
 def _blocks(members: DataFrame, of: DataFrame) -> DataFrame:
     """(band, i, j, block, role, id, component): each node of a bucket with several components in its block with role 0,
     and the nodes outside the bucket's largest component in every block with role 1.
 
-    Hubs are left out, as they have met their whole buckets.  A bucket of more than BLOCK nodes is split:
-    two nodes meet there only if they share another band j after i too.
+    Hubs are left out, as they have met their whole buckets.  A bucket with more than BLOCK nodes outside its
+    largest component would make too many pairs and is split: two nodes meet there only if they share another band j after i too.
     """
-    comp = members.where("id <> hub").join(of.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "i", F.lit(-1).alias("j"), "id", F.coalesce("component", "id").alias("component"))
+    comp = members.where("NOT array_contains(hubs, id)").join(of.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "i", F.lit(-1).alias("j"), "id", F.coalesce("component", "id").alias("component"))
     mixed = staged(_with_main(staged(comp, "bucket-components")), "mixed-buckets")
-    hot = mixed.where(F.col("n") > BLOCK).select("band", "i", "id", "component")
+    hot = mixed.where(F.col("outside") > BLOCK).select("band", "i", "id", "component")
     second = members.select("id", F.col("i").alias("other"))
     split = staged(_with_main(hot.join(second, "id").where("other > i").select("band", "i", F.col("other").alias("j"), "id", "component")), "split-buckets")
-    rows = mixed.where(F.col("n") <= BLOCK).unionByName(split).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    rows = mixed.where(F.col("outside") <= BLOCK).unionByName(split).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     data = rows.select("band", "i", "j", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(0).alias("role"), "id", "component")
     asked = rows.where("component <> main").select("band", "i", "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "component")
     return data.union(asked)
@@ -275,10 +277,12 @@ def _linked(nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], b
     own = staged(nodes.join(met.groupBy("id").agg(F.sum("n").alias("weight")).hint("merge"), "id"), "member-nodes")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(own.select("key", "id").hint("shuffle_hash"), "key").select("id", "text")
     texts = staged(texts, "member-texts")
-    hubs = met.join(own.select("id", "weight"), "id").groupBy("band").agg(F.max(F.struct("weight", "id")).alias("x")).select("band", F.col("x.id").alias("hub"))
-    members = staged(met.join(hubs, "band").select("band", "i", "id", "hub"), "buckets")
+    tops = [F.max(F.struct("weight", "id"))["id"], *[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(1, HUBS)]]
+    hubs = met.join(own.select("id", "weight"), "id").groupBy("band").agg(F.array_distinct(F.array(*tops)).alias("hubs"))
+    members = staged(met.join(hubs, "band").select("band", "i", "id", "hubs"), "buckets")
     discard(several, met)
-    stars = members.where("id <> hub").select(F.col("id").alias("u"), F.col("hub").alias("v")).distinct()
+    paired = F.expr("filter(hubs, h -> id > h OR id < h AND NOT array_contains(hubs, id))")
+    stars = members.select(F.col("id").alias("u"), F.explode(paired).alias("v")).distinct()  # two hubs make one pair
     near = staged(_estimated(stars, own, share, least), "stars-estimated")
     first = staged(components(_hub_links(near, texts, k, share)), "components")
     blocks = staged(_promising(_blocks(members, first), own, share, least), "blocks")
@@ -322,9 +326,6 @@ def deduplicated(docs: DataFrame, k: int = 5, share: tuple[int, int] = (80, 100)
     """
     found = near_duplicates(docs, k, share)
     drop = staged(found.where("NOT (key <=> first_key)").select("key").distinct(), "near-copies")
-    again = staged(found.where("key <=> first_key").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "equal-rows")
-    own = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*own).alias("row"), row_key(F.col("doc_id"), F.col("text")).alias("key")).join(drop, "key", "left_anti")
-    once = rows.join(again, "key", "left_anti").select("row")
-    repeated = rows.join(again, "key", "left_semi").groupBy("key").agg(F.first("row").alias("row")).select("row")
-    return once.union(repeated).select("row.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    once = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), row.alias("row")).dropDuplicates(["key"])
+    return once.join(drop.hint("merge"), "key", "left_anti").select("row.*")  # both by key: the texts are shuffled once

@@ -1,10 +1,12 @@
 """Benchmark decontamination with a positional inverted index.  DataFrame functions only.
 
-The words of the test items are counted in the corpus; each window of an item is found by
-its rarest word, or for near matches by its few rarest ones.  The index stores, for these words, every position in the corpus together
-with the words around it.  A posting's position less the word's offset in the window gives
-a start, and the lists of the window's other words are intersected there by comparing the
-words around the posting: equal in order is an exact match, equal as a bag is a near one.
+The words of the documents are split once and written as a table.  The words of the test
+items are counted in it, and each window of an item is known by its few rarest words.  The
+index stores, for these words, the list of positions in each document that has them.  For a
+phrase the lists are taken from the rarest word on, each position less the word's offset in
+the window, and intersected; what is left is compared with the document's words.  For
+proximity, each position of any of these words is a place at which enough of the window's
+words may stand around.
 """
 
 from __future__ import annotations
@@ -12,17 +14,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_WORDS, lowered, row_key, staged
+from .common import ALNUM_WORDS, discard, fresh, lowered, row_key, staged
 
 WINDOW = 13
 #: Share of a window's different words that must stand around a posting for a near match.
 NEAR = 0.8
 #: Rows of test terms or windows up to which they are broadcast; beyond, a shuffle join takes over.
 BROADCAST_ROWS = 200_000
-#: The same words as ALNUM_WORDS finds, counted in a text that is not lowered.
-COUNTED_WORDS = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-
-
 def _lower(c: Column) -> Column:
     ascii_only = F.octet_length(c) == F.length(c)
     return F.when(ascii_only, F.lower(c)).otherwise(lowered(c))
@@ -43,59 +41,81 @@ def windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return items.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), _words(F.col("text")).alias("i")).select("item", F.explode(each).alias("w")).groupBy("w").agg(F.collect_set("item").alias("items"))
 
 
-def term_counts(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(term, n): how often each word of the windows stands in docs."""
-    terms = staged(found.select(F.explode("w").alias("term")).distinct(), "test-terms")
-    seen = docs.select(F.explode(_words(F.col("text"))).alias("term")).join(_small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
-    return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+def split_words(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, words), written: the documents' words in order."""
+    return staged(docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("key"), _words(F.col("text")).alias("words")), "document-words")
 
 
-def anchored(found: DataFrame, counts: DataFrame) -> DataFrame:
-    """(term, k, w, items): each window with its rarest word and that word's place in it, from 0."""
-    words = found.select("w", "items", F.posexplode("w").alias("k", "term")).join(_small(staged(counts, "test-term-counts")), "term")
-    return words.groupBy("w").agg(F.min(F.struct("n", "term", "k")).alias("x"), F.first("items").alias("items")).select("x.term", "x.k", "w", "items")
+def term_counts(texts: DataFrame, found: DataFrame) -> DataFrame:
+    """(term, n): how often each word of the windows stands in texts. Summed by word in each task before anything is joined."""
+    terms = found.select(F.explode("w").alias("term")).distinct()
+    seen = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    return terms.join(seen, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+
 
+def rarest(found: DataFrame, counts: DataFrame, near: float = NEAR) -> DataFrame:
+    """(w, items, rare): each window with its rarest different words, rarest first, as (n, term, k), k being the word's first place in it.
 
-def near_anchored(found: DataFrame, counts: DataFrame, near: float) -> DataFrame:
-    """As anchored, with as many of the window's rarest different words as leave one that each near match must have."""
-    words = found.select("w", "items", F.posexplode("w").alias("k", "term")).groupBy("w", "term").agg(F.min("k").alias("k"), F.first("items").alias("items")).join(_small(staged(counts, "test-term-counts")), "term")
+    They are as many as leave one that each near match must have.
+    """
+    words = found.select("w", "items", F.posexplode("w").alias("k", "term")).groupBy("w", "term").agg(F.min("k").alias("k"), F.first("items").alias("items")).join(_small(counts), "term")
     each = words.groupBy("w").agg(F.sort_array(F.collect_list(F.struct("n", "term", "k"))).alias("x"), F.first("items").alias("items"))
-    return each.select("w", "items", F.expr(f"explode(slice(x, 1, cast(size(x) - ceil({near} * size(x)) + 1 AS int))) AS x")).select("x.term", "x.k", "w", "items")
+    return each.select("w", "items", F.expr(f"slice(x, 1, cast(size(x) - ceil({near} * size(x)) + 1 AS int)) AS rare"))
 
 
-def postings(docs: DataFrame, terms: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The index: (term, key, pos, low, around) for every place of the terms; around are the words from position low on."""
-    rows = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), _words(F.col("text")).alias("words"))
-    places = rows.select("key", "words", F.posexplode("words").alias("pos", "term")).join(_small(terms), "term", "left_semi")
-    return places.withColumn("low", F.greatest(F.col("pos") - (size - 1), F.lit(0))).select("term", "key", "pos", "low", F.expr(f"slice(words, low + 1, pos - low + {size}) AS around"))
+def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The index: (term, key, positions) for the terms, one list for each document."""
+    places = texts.select("key", F.posexplode("words").alias("pos", "term")).join(_small(terms), "term", "left_semi")
+    return places.groupBy("term", "key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
 
 
-def matches(index: DataFrame, anchors: DataFrame, near: float | None = None) -> DataFrame:
-    """(key, start, length, items, exact): windows found at a start; with ``near``, also windows of which that share stands around the word."""
-    hits = index.join(_small(anchors), "term").withColumn("start", F.col("pos") - F.col("k"))
-    hits = hits.withColumn("exact", F.expr("start >= low AND slice(around, start - low + 1, size(w)) = w") if near is None else F.expr("coalesce(CASE WHEN start >= low THEN slice(around, start - low + 1, size(w)) = w END, false)"))
-    ok = F.col("exact") if near is None else F.col("exact") | F.expr(f"size(array_intersect(around, w)) >= {near} * size(array_distinct(w))")
-    return hits.where(ok).select("key", "start", F.size("w").alias("length"), "items", "exact")
+def phrase_starts(index: DataFrame, windows_of: DataFrame) -> DataFrame:
+    """(key, w, items, start): places where a window's rarest words all stand at their offsets."""
+    lists = index.join(_small(windows_of), index["term"] == windows_of["rare"][0]["term"])
+    at = lists.select("key", "w", "items", "rare", F.expr("filter(transform(positions, p -> p - rare[0].k), s -> s >= 0) AS starts")).where("size(starts) > 0")
+    for i in (1, 2):
+        more = index.select(F.col("key").alias("other_key"), F.col("term").alias("other"), F.col("positions").alias("next"))
+        one = F.get(F.col("rare"), F.lit(i))
+        joined = at.join(more, (at["key"] == more["other_key"]) & (one["term"] == more["other"]), "left")
+        at = joined.select("key", "w", "items", "rare", F.expr(f"CASE WHEN size(rare) <= {i} THEN starts ELSE array_intersect(starts, transform(next, p -> p - rare[{i}].k)) END AS starts")).where("size(starts) > 0")
+    return at.select("key", "w", "items", F.explode("starts").alias("start"))
 
 
-def _anchors_and_index(docs: DataFrame, items: DataFrame, size: int, near: float | None = None) -> tuple[DataFrame, DataFrame]:
-    found = staged(windows(items, size), "test-windows")
-    counts = term_counts(docs, found)
-    anchors = staged(anchored(found, counts) if near is None else near_anchored(found, counts, near), "test-anchors")
-    index = staged(postings(docs, staged(anchors.select("term").distinct(), "anchor-terms"), size), "postings")
-    return anchors, index
+def _index(docs: DataFrame, items: DataFrame, size: int, near: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: the documents' words, the windows with their rarest words, and the index of these."""
+    texts, found = split_words(docs), staged(windows(items, size), "test-windows")
+    rare = staged(rarest(found, staged(term_counts(texts, found), "test-term-counts"), near), "test-rarest")
+    terms = staged(rare.select(F.explode("rare").alias("x")).select("x.term").distinct(), "index-terms")
+    return texts, rare, staged(postings(texts, terms), "postings")
+
+
+def phrase_matches(texts: DataFrame, starts: DataFrame) -> DataFrame:
+    """(key, start, length, items): the starts at which the whole window stands."""
+    by_key = staged(starts.groupBy("key").agg(F.collect_set(F.struct("start", "w", "items")).alias("at")), "phrase-starts")
+    each = texts.select("key", "words").join(_small(by_key), "key").select("key", F.explode(F.expr("filter(at, a -> slice(words, a.start + 1, size(a.w)) = a.w)")).alias("a")).distinct()
+    return each.select("key", "a.start", F.size("a.w").alias("length"), "a.items")
+
+
+def proximity_matches(texts: DataFrame, index: DataFrame, rare: DataFrame, size: int = WINDOW, near: float = NEAR) -> DataFrame:
+    """(key, start, length, items): where that share of a window's different words stands among the words up to ``size`` - 1 away from one of its rarest ones."""
+    places = index.join(_small(rare.select("w", "items", F.explode("rare").alias("x"))), F.col("term") == F.col("x.term")).select("key", "w", "items", F.explode("positions").alias("pos"), F.col("x.k").alias("k"))
+    low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+    around = F.slice("words", low + 1, F.col("pos") - low + size)
+    enough = F.size(F.array_intersect(around, "w")) >= near * F.size(F.array_distinct("w"))
+    return places.join(texts.select("key", "words"), "key").where(enough).select("key", (F.col("pos") - F.col("k")).alias("start"), F.size("w").alias("length"), "items")
 
 
 def near_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: float = NEAR) -> DataFrame:
-    """(key, start, length, items, exact) with the near matches; key is that of ``common.row_key``."""
-    anchors, index = _anchors_and_index(docs, items, size, near)
-    return matches(index, anchors, near).distinct()
+    """(key, start, length, items, exact): phrases, and near matches that are none; key is that of ``common.row_key``."""
+    texts, rare, index = _index(docs, items, size, near)
+    exact = staged(phrase_matches(texts, phrase_starts(index, rare)), "phrases")
+    other = proximity_matches(texts, index, rare, size, near).distinct().join(exact, ["key", "start", "length", "items"], "left_anti")
+    return exact.withColumn("exact", F.lit(True)).unionByName(other.withColumn("exact", F.lit(False)))
 
 
-def _hits(docs: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(key, n_hit, found): documents with any exact match."""
-    anchors, index = _anchors_and_index(docs, items, size)
-    runs = matches(index, anchors).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
+def _hits(texts: DataFrame, rare: DataFrame, index: DataFrame) -> DataFrame:
+    """(key, n_hit, found): documents with any phrase."""
+    runs = phrase_matches(texts, phrase_starts(index, rare)).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
     covered = "aggregate(runs, struct(0L AS n, 0 AS upto), (a, r) -> struct(a.n + greatest(0, r.end - greatest(r.start, a.upto)) AS n, greatest(a.upto, r.end) AS upto), a -> a.n)"
     return runs.select("key", F.expr(covered).alias("n_hit"), "found")
 
@@ -108,8 +128,10 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     is one window; equal items with other ids are all named; other columns are left out;
     empty tables give no rows, or rows without hits.
     """
-    hits = staged(_hits(docs, items, size), "hits")
-    rows = docs.select(F.col("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("key"), F.expr(f"cast(regexp_count(coalesce(text, ''), r'{COUNTED_WORDS}') as long)").alias("n_words"))
+    texts, rare, index = _index(docs, items, size, NEAR)
+    hits = staged(_hits(texts, rare, index), "hits")
+    rows = texts.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
+    discard(index)
     return (
         rows.join(hits, "key", "left")
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
@@ -120,9 +142,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of docs that are not contaminated, with their columns as they are."""
-    from .common import fresh
-
+    """The rows of docs that are not contaminated, with their columns as they are; nulls, equal rows and empty tables as in ``contamination``."""
     (key,) = fresh(docs, "row_key")
     bad = staged(contamination(docs, items, size).where("contaminated").select(F.col("key").alias(key)).distinct(), "contaminated")
     return docs.withColumn(key, row_key(F.col("doc_id"), F.col("text"))).join(bad, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,8 +30,8 @@ from .hashing import mix, shared, shingles, word_hashes
 ROWS, MISSED, DEVIATIONS = 4, 1e-7, 5.0
 #: Hubs of a bucket: the node that meets most others, and some by a hash of the node, so that buckets mostly have the same ones.
 HUBS = 4
-#: Nodes of a block; a bucket with more outside its largest component is split by a second band.
-BLOCK = 256
+#: Nodes of a block; nodes outside its largest component from which a bucket is split by a second band: up to these, each node of a bucket makes SPLIT / BLOCK + 1 rows at most.
+BLOCK, SPLIT = 256, 1024
 SIGNED = "key binary, doc_id long, n long, node binary, sig binary"
 HIDDEN = "band long, i int, j int, block int"
 
@@ -154,19 +154,19 @@ def _with_main(members: DataFrame) -> DataFrame:
     return members.join(main.where("components > 1").select("band", "j", "n", F.col("x.component").alias("main"), (F.col("n") - F.col("x.n")).alias("outside")), ["band", "j"])
 
 
-def _blocks(members: DataFrame, of: DataFrame) -> DataFrame:
+def _blocks(members: DataFrame, nodes: DataFrame, of: DataFrame) -> DataFrame:
     """(band, i, j, block, role, id, component): each node of a bucket with several components in its block with role 0,
     and the nodes outside the bucket's largest component in every block with role 1.
 
-    Hubs are left out, as they have met their whole buckets.  A bucket with more than BLOCK nodes outside its
+    Hubs are left out, as they have met their whole buckets.  A bucket with more than SPLIT nodes outside its
     largest component would make too many pairs and is split: two nodes meet there only if they share another band j after i too.
     """
     comp = members.where("NOT array_contains(hubs, id)").join(of.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "i", F.lit(-1).alias("j"), "id", F.coalesce("component", "id").alias("component"))
     mixed = staged(_with_main(staged(comp, "bucket-components")), "mixed-buckets")
-    hot = mixed.where(F.col("outside") > BLOCK).select("band", "i", "id", "component")
-    second = members.select("id", F.col("i").alias("other"))
-    split = staged(_with_main(hot.join(second, "id").where("other > i").select("band", "i", F.col("other").alias("j"), "id", "component")), "split-buckets")
-    rows = mixed.where(F.col("outside") <= BLOCK).unionByName(split).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    hot = mixed.where(F.col("outside") > SPLIT).select("band", "i", "id", "component")
+    second = F.explode(F.expr("filter(shared, j -> j > i)")).alias("j")
+    split = staged(_with_main(hot.join(nodes.select("id", "shared"), "id").select("band", "i", second, "id", "component")), "split-buckets")
+    rows = mixed.where(F.col("outside") <= SPLIT).unionByName(split).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     data = rows.select("band", "i", "j", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(0).alias("role"), "id", "component")
     asked = rows.where("component <> main").select("band", "i", "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "component")
     return data.union(asked)
@@ -274,7 +274,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], b
     placed = nodes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("i", "band"))
     several = staged(placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     met = staged(placed.join(several.hint("merge"), "band"), "members")
-    own = staged(nodes.join(met.groupBy("id").agg(F.sum("n").alias("weight")).hint("merge"), "id"), "member-nodes")
+    own = staged(nodes.join(met.groupBy("id").agg(F.sum("n").alias("weight"), F.sort_array(F.collect_list("i")).alias("shared")).hint("merge"), "id"), "member-nodes")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(own.select("key", "id").hint("shuffle_hash"), "key").select("id", "text")
     texts = staged(texts, "member-texts")
     tops = [F.max(F.struct("weight", "id"))["id"], *[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(1, HUBS)]]
@@ -285,7 +285,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], b
     stars = members.select(F.col("id").alias("u"), F.explode(paired).alias("v")).distinct()  # two hubs make one pair
     near = staged(_estimated(stars, own, share, least), "stars-estimated")
     first = staged(components(_hub_links(near, texts, k, share)), "components")
-    blocks = staged(_promising(_blocks(members, first), own, share, least), "blocks")
+    blocks = staged(_promising(_blocks(members, own, first), own, share, least), "blocks")
     second = staged(components(_block_links(blocks, texts, k, share)), "components")
     merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = second.join(first, "node", "left_anti").select("node", "component")

@@ -375,6 +375,8 @@ def brute_classes(rows, k, share):
 @pytest.mark.parametrize("k,share", [(3, (85, 100)), (5, (80, 100))])
 def test_near_duplicates_against_brute_force(docs, spark, monkeypatch, k, share):
     monkeypatch.setattr(minhash, "BLOCK", 7)
+    monkeypatch.setattr(minhash, "SPLIT", 7)
+    monkeypatch.setattr(minhash, "HUBS", 2)
     rng = random.Random(6)
     words = [f"w{i}" for i in range(5000)]
     base = [rng.choice(words) for _ in range(120)]

@@ -90,9 +90,9 @@ def _index(docs: DataFrame, items: DataFrame, size: int, near: float) -> tuple[D
 
 
 def phrase_matches(texts: DataFrame, starts: DataFrame) -> DataFrame:
-    """(key, start, length, items): the starts at which the whole window stands."""
+    """(key, start, length, items): the starts at which the whole window stands. The starts grow with the corpus and are not broadcast."""
     by_key = staged(starts.groupBy("key").agg(F.collect_set(F.struct("start", "w", "items")).alias("at")), "phrase-starts")
-    each = texts.select("key", "words").join(_small(by_key), "key").select("key", F.explode(F.expr("filter(at, a -> slice(words, a.start + 1, size(a.w)) = a.w)")).alias("a")).distinct()
+    each = texts.select("key", "words").join(by_key.hint("shuffle_hash"), "key").select("key", F.explode(F.expr("filter(at, a -> slice(words, a.start + 1, size(a.w)) = a.w)")).alias("a")).distinct()
     return each.select("key", "a.start", F.size("a.w").alias("length"), "a.items")
 
 

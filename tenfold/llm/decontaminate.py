@@ -4,8 +4,8 @@ The words of the documents are split once and written as a table.  The words of
 items are counted in it, and each window of an item is known by its few rarest words.  The
 index stores, for these words, the list of positions in each document that has them.  For a
 phrase the lists are taken from the rarest word on, each position less the word's offset in
-the window, and intersected; what is left is compared with the document's words.  For
-proximity, each position of any of these words is a place at which enough of the window's
+the window, and intersected; what is left is compared with the words that the index holds
+around the rarest one.  For proximity, each position of any of these words is a place at which enough of the window's
 words may stand around.
 """
 
@@ -63,14 +63,16 @@ def rarest(found: DataFrame, counts: DataFrame, near: float = NEAR) -> DataFrame
     return each.select("w", "items", F.expr(f"slice(x, 1, cast(size(x) - ceil({near} * size(x)) + 1 AS int)) AS rare"))
 
 
-def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """The index: (term, key, positions) for the terms, one list for each document."""
-    places = texts.select("key", F.posexplode("words").alias("pos", "term")).join(_small(terms), "term", "left_semi")
-    return places.groupBy("term", "key").agg(F.array_sort(F.collect_set("pos")).alias("positions"))
+def postings(texts: DataFrame, terms: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The index: (term, key, positions, contexts) for the terms, one list for each document. Only terms that are the rarest of a window have contexts: (pos, around), the words up to ``size`` - 1 away."""
+    places = texts.select("key", "words", F.posexplode("words").alias("pos", "term")).join(_small(terms), "term")
+    low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+    context = F.when(F.col("first"), F.struct("pos", F.slice("words", low + 1, F.col("pos") - low + size).alias("around")))
+    return places.select("term", "key", "pos", context.alias("context")).groupBy("term", "key").agg(F.array_sort(F.collect_set("pos")).alias("positions"), F.collect_set("context").alias("contexts"))
 
 
 def phrase_starts(index: DataFrame, windows_of: DataFrame) -> DataFrame:
-    """(key, w, items, start): places where a window's rarest words all stand at their offsets."""
+    """(key, w, items, rare, start): places where a window's rarest words all stand at their offsets."""
     lists = index.join(_small(windows_of), index["term"] == windows_of["rare"][0]["term"])
     at = lists.select("key", "w", "items", "rare", F.expr("filter(transform(positions, p -> p - rare[0].k), s -> s >= 0) AS starts")).where("size(starts) > 0")
     for i in (1, 2):
@@ -78,22 +80,23 @@ def phrase_starts(index: DataFrame, windows_of: DataFrame) -> DataFrame:
         one = F.get(F.col("rare"), F.lit(i))
         joined = at.join(more, (at["key"] == more["other_key"]) & (one["term"] == more["other"]), "left")
         at = joined.select("key", "w", "items", "rare", F.expr(f"CASE WHEN size(rare) <= {i} THEN starts ELSE array_intersect(starts, transform(next, p -> p - rare[{i}].k)) END AS starts")).where("size(starts) > 0")
-    return at.select("key", "w", "items", F.explode("starts").alias("start"))
+    return at.select("key", "w", "items", "rare", F.explode("starts").alias("start"))
 
 
 def _index(docs: DataFrame, items: DataFrame, size: int, near: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Written tables: the documents' words, the windows with their rarest words, and the index of these."""
     texts, found = split_words(docs), staged(windows(items, size), "test-windows")
     rare = staged(rarest(found, staged(term_counts(texts, found), "test-term-counts"), near), "test-rarest")
-    terms = staged(rare.select(F.explode("rare").alias("x")).select("x.term").distinct(), "index-terms")
-    return texts, rare, staged(postings(texts, terms), "postings")
+    terms = rare.select(F.posexplode("rare").alias("i", "x")).groupBy("x.term").agg((F.min("i") == 0).alias("first"))
+    return texts, rare, staged(postings(texts, staged(terms, "index-terms"), size), "postings")
 
 
-def phrase_matches(texts: DataFrame, starts: DataFrame) -> DataFrame:
-    """(key, start, length, items): the starts at which the whole window stands. The starts grow with the corpus and are not broadcast."""
-    by_key = staged(starts.groupBy("key").agg(F.collect_set(F.struct("start", "w", "items")).alias("at")), "phrase-starts")
-    each = texts.select("key", "words").join(by_key.hint("shuffle_hash"), "key").select("key", F.explode(F.expr("filter(at, a -> slice(words, a.start + 1, size(a.w)) = a.w)")).alias("a")).distinct()
-    return each.select("key", "a.start", F.size("a.w").alias("length"), "a.items")
+def phrase_matches(index: DataFrame, starts: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(key, start, length, items): the starts at which the whole window stands, by the words around its rarest word."""
+    left = starts.withColumns({"term": F.col("rare")[0]["term"], "pos": F.col("start") + F.col("rare")[0]["k"]}).drop("rare")
+    both = left.join(index.select("term", "key", "contexts"), ["term", "key"]).withColumn("low", F.greatest(F.col("pos") - (size - 1), F.lit(0)))
+    whole = F.expr("exists(contexts, c -> c.pos = pos AND slice(c.around, start - low + 1, size(w)) = w)")
+    return both.where(whole).select("key", "start", F.size("w").alias("length"), "items").distinct()
 
 
 def proximity_matches(texts: DataFrame, index: DataFrame, rare: DataFrame, size: int = WINDOW, near: float = NEAR) -> DataFrame:
@@ -108,14 +111,14 @@ def proximity_matches(texts: DataFrame, index: DataFrame, rare: DataFrame, size:
 def near_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: float = NEAR) -> DataFrame:
     """(key, start, length, items, exact): phrases, and near matches that are none; key is that of ``common.row_key``."""
     texts, rare, index = _index(docs, items, size, near)
-    exact = staged(phrase_matches(texts, phrase_starts(index, rare)), "phrases")
+    exact = staged(phrase_matches(index, phrase_starts(index, rare), size), "phrases")
     other = proximity_matches(texts, index, rare, size, near).distinct().join(exact, ["key", "start", "length", "items"], "left_anti")
     return exact.withColumn("exact", F.lit(True)).unionByName(other.withColumn("exact", F.lit(False)))
 
 
-def _hits(texts: DataFrame, rare: DataFrame, index: DataFrame) -> DataFrame:
+def _hits(rare: DataFrame, index: DataFrame, size: int) -> DataFrame:
     """(key, n_hit, found): documents with any phrase."""
-    runs = phrase_matches(texts, phrase_starts(index, rare)).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
+    runs = phrase_matches(index, phrase_starts(index, rare), size).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end")))).alias("runs"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("found"))
     covered = "aggregate(runs, struct(0L AS n, 0 AS upto), (a, r) -> struct(a.n + greatest(0, r.end - greatest(r.start, a.upto)) AS n, greatest(a.upto, r.end) AS upto), a -> a.n)"
     return runs.select("key", F.expr(covered).alias("n_hit"), "found")
 
@@ -129,7 +132,7 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> Data
     empty tables give no rows, or rows without hits.
     """
     texts, rare, index = _index(docs, items, size, NEAR)
-    hits = staged(_hits(texts, rare, index), "hits")
+    hits = staged(_hits(rare, index, size), "hits")
     rows = texts.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
     discard(index)
     return (

@@ -5,12 +5,19 @@ from __future__ import annotations
 from .common import ALNUM_WORDS, LOWER, SPACE_WORDS, UPPER
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, words
 from .line_dedup import LEAST_PAGES, RATIO
+from .merkle import FIELDS
 from .quality import LEAST_GROUP, MEASURES, SPREAD
 from .warc import REVISIT_BYTES
 
 HAS_WORD = r"regexp_matches(l, '[^\x20\x09-\x0D]')"
 
 
+def crc32(text: str) -> str:
+    """The unsigned crc32 of a text of ASCII characters, bit by bit: zlib's polynomial, reflected."""
+    bits = f"list_reduce([xor(c, b), {', '.join('0' * 8)}], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::BIGINT)), lambda c, b: {bits}), 4294967295)"
+
+
 def _quality() -> str:
     values = ", ".join(f"CASE WHEN {of} > 0 THEN (1000 * {counted}) // {of} END AS {m}" for m, (counted, of, _, _) in MEASURES.items())
     # what is below 64 stays, all else keeps its first six binary digits
@@ -106,4 +113,41 @@ SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce
     sha256(coalesce(array_to_string(good, chr(10)), '')) AS kept_sha256 FROM x"""
 
 
-SQL = {"op2_quality_rules": _quality(), "op3_license_scan": _licenses(), "op5_decontamination": _decontamination(), "op7_warc": _warc(), "op8_line_dedup": _line_dedup()}
+def _merkle(heights: tuple[int, int] = (10, 4)) -> str:
+    """Levels are written out, ten for documents and four for languages, which is 8 ** 10 and 8 ** 4 nodes."""
+    field = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+    leaf = lambda text: f"sha256({' || '.join(field(text if c == 'text' else c) for c in FIELDS)})"
+    one_side = lambda frame: f"coalesce(string_agg(h, '') OVER (PARTITION BY g, i // 8 ORDER BY i ROWS BETWEEN {frame}), '')"
+    before, after = one_side("UNBOUNDED PRECEDING AND 1 PRECEDING"), one_side("1 FOLLOWING AND UNBOUNDED FOLLOWING")
+
+    def tree(name: str, height: int) -> str:
+        """Levels name0 (g, i, h, n) to name<height>, and for each the siblings of its nodes."""
+        parts = []
+        for k in range(height):
+            parts.append(f"{name}s{k} AS MATERIALIZED (SELECT g, i, n, {before} AS b, {after} AS a FROM {name}{k})")
+            parts.append(f"{name}{k + 1} AS MATERIALIZED (SELECT g, i // 8 AS i, CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE any_value(h) END AS h, (any_value(n) + 7) // 8 AS n FROM {name}{k} GROUP BY g, i // 8)")
+        return ", ".join(parts)
+
+    def climbed(name: str, height: int, start: str) -> str:
+        """The proof and the root folded from ``start`` (its rows have g, i, f, p), level by level."""
+        parts, last = [], start
+        for k in range(height):
+            parts.append(f"{name}c{k} AS MATERIALIZED (SELECT c.* REPLACE (c.i // 8 AS i, CASE WHEN n > 1 THEN sha256(b || f || a) ELSE f END AS f, p || b || a AS p) FROM {last} c JOIN {name}s{k} s ON c.g = s.g AND c.i = s.i)")
+            last = f"{name}c{k}"
+        return ", ".join(parts)
+
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce('1' || lang, '0') AS g, {leaf('text')} AS leaf,
+    CASE WHEN {crc32('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {leaf(f"translate(text, '{UPPER}', '{LOWER}')")} END AS received FROM documents),
+l0 AS MATERIALIZED (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, leaf AS h, count(*) OVER (PARTITION BY g) AS n, doc_id, received FROM d),
+{tree('l', heights[0])},
+r0 AS MATERIALIZED (SELECT '' AS g, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h, count(*) OVER () AS n, g AS lang FROM l{heights[0]}),
+{tree('r', heights[1])},
+start AS (SELECT g, i, doc_id, h AS leaf, coalesce(received, h) AS f, '' AS p FROM l0),
+{climbed('l', heights[0], 'start')},
+up AS (SELECT '' AS g, r0.i, doc_id, leaf, r0.h AS subroot, f, p FROM lc{heights[0] - 1} x JOIN r0 ON x.g = r0.lang),
+{climbed('r', heights[1], 'up')}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM rc{heights[1] - 1} CROSS JOIN r{heights[1]} r"""
+
+
+SQL = {"op2_quality_rules": _quality(), "op3_license_scan": _licenses(), "op5_decontamination": _decontamination(), "op7_warc": _warc(), "op8_line_dedup": _line_dedup(), "op11_merkle_manifest": _merkle()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, minhash, packing, quality, suffix_dedup, token_files, warc
+from . import decontaminate, language_id, licenses, line_dedup, merkle, minhash, packing, quality, suffix_dedup, token_files, warc
 from .common import ship
 
 
@@ -79,4 +79,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_crc32(token_files.with_starts(token_files.read(spark, path)))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_packing, op5_decontamination, op6_language_id, op7_warc, op8_line_dedup, op9_minhash, op10_token_files)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spoiled = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    found = merkle.manifest(table(spark, sf_dir, "documents"), received=F.when(spoiled, merkle.leaf(merkle.tampered())))
+    folded = found.withColumn("folded_root", merkle.folded(F.coalesce("received", "leaf")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_packing, op5_decontamination, op6_language_id, op7_warc, op8_line_dedup, op9_minhash, op10_token_files, op11_merkle_manifest)}

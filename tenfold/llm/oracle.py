@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from .common import ALNUM_WORDS, LOWER, SPACE_WORDS, UPPER
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, words
 from .line_dedup import LEAST_PAGES, RATIO
 from .merkle import FIELDS
 from .quality import LEAST_GROUP, MEASURES, SPREAD
+from .secret_scan import BASE, RULES
 from .warc import REVISIT_BYTES
 
 HAS_WORD = r"regexp_matches(l, '[^\x20\x09-\x0D]')"
@@ -150,4 +153,20 @@ up AS (SELECT '' AS g, r0.i, doc_id, leaf, r0.h AS subroot, f, p FROM lc{heights
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM rc{heights[1] - 1} CROSS JOIN r{heights[1]} r"""
 
 
-SQL = {"op2_quality_rules": _quality(), "op3_license_scan": _licenses(), "op5_decontamination": _decontamination(), "op7_warc": _warc(), "op8_line_dedup": _line_dedup(), "op11_merkle_manifest": _merkle()}
+def _secrets() -> str:
+    # this engine folds case beyond ASCII, so both cases are written out
+    cased = lambda p: re.sub(r"\(\?i:([^)]*)\)", lambda m: f"(?:{re.sub('[a-z]', lambda x: f'[{x[0].upper()}{x[0]}]', m[1])})", p).replace("'", "''")
+    matches = " UNION ALL ".join(f"SELECT doc_id, {k} AS o, '{r.kind}' AS kind, {r.least} AS least, regexp_extract_all(t, '{cased(r.pattern)}', 0) AS m, regexp_extract_all(t, '{cased(r.pattern)}', {r.group}) AS g, string_split_regex(t, '{cased(r.pattern)}') AS p FROM d" for k, r in enumerate(RULES))
+    total = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+    base, names = len(BASE), ", ".join(f"count(*) FILTER (WHERE o = {k}) AS n_{r.kind}" for k, r in enumerate(BASE))
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+r AS ({matches}),
+e AS (SELECT *, unnest(generate_series(1, len(m))) AS k FROM r WHERE len(m) > 0),
+s AS (SELECT doc_id, o, kind, CAST({total('p[1:k]')} + {total('m[1:k-1]')} AS BIGINT) AS first, length(m[k]) AS size FROM e WHERE length(g[k]) >= least),
+x AS (SELECT doc_id, o, first, kind || ':' || first || ':' || first + size AS shown FROM s),
+a AS (SELECT doc_id, {names}, string_agg(shown, ',' ORDER BY first, o) FILTER (WHERE o < {base}) AS base, string_agg(shown, ',' ORDER BY first, o) AS spans FROM x GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a ON d.doc_id = a.doc_id"""
+
+
+SQL = {"op2_quality_rules": _quality(), "op3_license_scan": _licenses(), "op5_decontamination": _decontamination(), "op7_warc": _warc(), "op8_line_dedup": _line_dedup(), "op11_merkle_manifest": _merkle(), "op13_secret_scan": _secrets()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, language_id, licenses, line_dedup, merkle, minhash, packing, quality, secret_scan, suffix_dedup, token_files, warc
+from . import conversations, decontaminate, language_id, licenses, line_dedup, merkle, minhash, packing, quality, secret_scan, suffix_dedup, token_files, warc
 from .common import ship
 
 
@@ -86,6 +86,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", merkle.proof().alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    placed, planned = conversations.repair(conversations.damaged(rows))
+    found = planned.drop("pieces").join(conversations.digests(placed, planned), "g", "left")
+    every = rows.groupBy("conv_id").agg(F.lit(1).alias("one")).select("conv_id", conversations.group_of().alias("g")).join(found, "g", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan(table(spark, sf_dir, "documents"), secret_scan.new_ledger(spark))
     shown = lambda x: F.array_join(F.transform(x, lambda f: F.concat_ws(":", f["kind"], f["start"], f["end"])), ",")
@@ -94,4 +103,4 @@ def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(shown(of(*[r.kind for r in secret_scan.BASE])).cast("binary"), 256).alias("base_sha256"), shown(F.col("findings")).alias("spans"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_packing, op5_decontamination, op6_language_id, op7_warc, op8_line_dedup, op9_minhash, op10_token_files, op11_merkle_manifest, op13_secret_scan)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_license_scan, op4_packing, op5_decontamination, op6_language_id, op7_warc, op8_line_dedup, op9_minhash, op10_token_files, op11_merkle_manifest, op12_conversation_repair, op13_secret_scan)}

@@ -5,9 +5,12 @@ first the node that meets most others over all bands, rather than to each other;
 and signatures and then a count on the full sets confirm each link.  Buckets that still hold
 several components besides the hubs are gone through again: the nodes outside the largest
 component against every node of the bucket, in blocks, each pair in its first common band
-only; large buckets are split by a second band first.  So no link between components is lost,
-and only links that join two components leave a block.  Texts are read again once, for the
-nodes that share a band with any other.
+only.  Where very many nodes are outside it, as with pages of one template that are not alike
+enough, a node is told by its difference from what most of the bucket's nodes have in common:
+sets can be linked only if their differences share one of their rarest shingles, so a prefix
+join finds the pairs, and what the template gives to all is never joined.  So no link between
+components is lost, and only links that join two components leave a block.  Texts are read
+again once, for the nodes that share a band with any other.
 """
 
 from __future__ import annotations
@@ -19,29 +22,28 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, row_key, staged
 from .components import components
 from .hashing import mix, shared, shingles, word_hashes
 
-#: Minima of a band; chance that a link at the threshold shares fewer than two bands; deviations that an estimate may lie below the threshold.
+#: Minima of a band; chance that a link at the threshold shares no band; deviations that an estimate may lie below the threshold.
 ROWS, MISSED, DEVIATIONS = 4, 1e-7, 5.0
 #: Hubs of a bucket: the node that meets most others, and some by a hash of the node, so that buckets mostly have the same ones.
 HUBS = 4
-#: Nodes of a block; nodes outside its largest component from which a bucket is split by a second band: up to these, each node of a bucket makes SPLIT / BLOCK + 1 rows at most.
+#: Nodes of a block; nodes outside its largest component from which a bucket's differences are joined: up to these, each node of a bucket makes SPLIT / BLOCK + 1 rows at most.
 BLOCK, SPLIT = 256, 1024
+#: Nodes of a crowded bucket, about, from which the shingles are taken that most have in common. Any such set gives the same links; a good one leaves small differences.
+COMMON_OF = 64
 SIGNED = "key binary, doc_id long, n long, node binary, sig binary"
-HIDDEN = "band long, i int, j int, block int"
+HIDDEN = "band long, i int, block int"
 
 
 def bands_for(threshold: float) -> int:
-    """Bands so that a pair at the threshold shares fewer than two with a chance of MISSED at most."""
-    p, n = threshold**ROWS, 2
-    while (1 - p) ** n + n * p * (1 - p) ** (n - 1) > MISSED:
-        n += 1
-    return n
+    """Bands so that a pair at the threshold shares none with a chance of MISSED at most."""
+    return math.ceil(math.log(MISSED) / math.log(1 - threshold**ROWS))
 
 
 def multipliers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -147,37 +149,119 @@ def _hub_links(pairs: DataFrame, texts: DataFrame, k: int, share: tuple[int, int
     return dealt.repartition("v", "block").sortWithinPartitions("v", "block", "role", "id").mapInArrow(run, "u long, v long")
 
 
-def _with_main(members: DataFrame) -> DataFrame:
-    """Adds to the rows (band, j, id, component) of buckets with several components the bucket's size n, its largest component, main, and how many nodes are outside it."""
-    counts = members.groupBy("band", "j", "component").agg(F.count("*").alias("n"))
-    main = counts.groupBy("band", "j").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("components"))
-    return members.join(main.where("components > 1").select("band", "j", "n", F.col("x.component").alias("main"), (F.col("n") - F.col("x.n")).alias("outside")), ["band", "j"])
+def _mixed(members: DataFrame, of: DataFrame) -> DataFrame:
+    """(band, i, ref, id, component, n, main, outside) of buckets with several components: the bucket's size, its largest component and how many nodes are outside it.
+
+    Hubs are left out, as they have met their whole buckets; the first stands for the bucket as ref.
+    """
+    comp = members.where("NOT array_contains(hubs, id)").join(of.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "i", F.col("hubs")[0].alias("ref"), "id", F.coalesce("component", "id").alias("component"))
+    comp = staged(comp, "bucket-components")
+    counts = comp.groupBy("band", "component").agg(F.count("*").alias("n"))
+    main = counts.groupBy("band").agg(F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("x"), F.count("*").alias("components"))
+    main = main.where("components > 1").select("band", "n", F.col("x.component").alias("main"), (F.col("n") - F.col("x.n")).alias("outside"))
+    out = staged(comp.join(main, "band"), "mixed-buckets")
+    discard(comp)
+    return out
+
+
+def _blocks(mixed: DataFrame) -> DataFrame:
+    """(band, i, block, role, id, component): each node of a bucket that is not crowded in its block with role 0, and the nodes outside the largest component in every block with role 1."""
+    rows = mixed.where(F.col("outside") <= SPLIT).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    data = rows.select("band", "i", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(0).alias("role"), "id", "component")
+    asked = rows.where("component <> main").select("band", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "component")
+    return data.union(asked)
 
 
-def _blocks(members: DataFrame, nodes: DataFrame, of: DataFrame) -> DataFrame:
-    """(band, i, j, block, role, id, component): each node of a bucket with several components in its block with role 0,
-    and the nodes outside the bucket's largest component in every block with role 1.
+def _common(crowd: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """(ref, common): the shingles that more than half of some nodes of each crowd (ref, id, n) have, sorted; some by a hash, about COMMON_OF."""
+    some = crowd.where(F.expr(f"pmod(xxhash64(id, 9), ceil(n / {COMMON_OF})) = 0")).join(texts, "id").select("ref", "id", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for (ref,), rows in _grouped(batches, 1):
+                sets = [text_shingles(text, k) for _, _, text in rows]
+                values, many = np.unique(np.concatenate(sets), return_counts=True)
+                yield ref, values[2 * many > len(sets)].tobytes()
 
-    Hubs are left out, as they have met their whole buckets.  A bucket with more than SPLIT nodes outside its
-    largest component would make too many pairs and is split: two nodes meet there only if they share another band j after i too.
+        yield from _rows(found(), [("ref", pa.int64()), ("common", pa.binary())], 50)
+
+    return staged(some.repartition("ref").sortWithinPartitions("ref", "id").mapInArrow(run, "ref long, common binary"), "crowd-common")
+
+
+def _differences(crowd: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> DataFrame:
+    """(ref, id, component, weight, size, token): the shingles in which a node and its crowd's common ones differ, ``size`` of them.
+
+    With D the greatest difference of two linked sets, which is (b - a) / (a + b) of the sum of
+    their sizes, two nodes that are linked share at least (their sizes here - D) / 2 tokens.
+    weight is size less the node's own part of D, times a + b: so two nodes share at least the
+    sum of their weights, divided by 2 (a + b).
     """
-    comp = members.where("NOT array_contains(hubs, id)").join(of.select(F.col("node").alias("id"), "component"), "id", "left").select("band", "i", F.lit(-1).alias("j"), "id", F.coalesce("component", "id").alias("component"))
-    mixed = staged(_with_main(staged(comp, "bucket-components")), "mixed-buckets")
-    hot = mixed.where(F.col("outside") > SPLIT).select("band", "i", "id", "component")
-    second = F.explode(F.expr("filter(shared, j -> j > i)")).alias("j")
-    split = staged(_with_main(hot.join(nodes.select("id", "shared"), "id").select("band", "i", second, "id", "component")), "split-buckets")
-    rows = mixed.where(F.col("outside") <= SPLIT).unionByName(split).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    data = rows.select("band", "i", "j", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(0).alias("role"), "id", "component")
-    asked = rows.where("component <> main").select("band", "i", "j", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(1).alias("role"), "id", "component")
-    return data.union(asked)
+    a, b = share
+    sizes = crowd.select("ref", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")).distinct()
+    members = crowd.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).join(texts, "id").select("ref", F.expr("cast(pmod(xxhash64(id), blocks) as int)").alias("block"), F.lit(1).alias("role"), "id", "component", "text", F.lit(None).cast("binary").alias("common"))
+    heads = sizes.join(_common(crowd, texts, k), "ref").select("ref", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("role"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("long").alias("component"), F.lit(None).cast("string").alias("text"), "common")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found():
+            for (ref, _), rows in _grouped(batches, 2):
+                shared_by_most = np.zeros(0, np.uint64)
+                for _, _, role, node, component, text, common in rows:
+                    if role == 0:
+                        shared_by_most = np.frombuffer(common, np.uint64)
+                        continue
+                    s = text_shingles(text, k)
+                    z = np.setxor1d(s, shared_by_most, assume_unique=True)
+                    yield ref, node, component, len(z) * (a + b) - (b - a) * len(s), len(z), z.view(np.int64).tolist()
+
+        yield from _rows(found(), [("ref", pa.int64()), ("id", pa.int64()), ("component", pa.int64()), ("weight", pa.int64()), ("size", pa.int64()), ("z", pa.list_(pa.int64()))], 200)
+
+    dealt = members.union(heads).repartition("ref", "block").sortWithinPartitions("ref", "block", "role", "id")
+    return dealt.mapInArrow(run, "ref long, id long, component long, weight long, size long, z array<long>")
+
+
+def _crowd_pairs(crowd: DataFrame, texts: DataFrame, k: int, share: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Of crowds (ref, id, component, n): pairs (u, v) of other components that may be linked, and pairs that are.
+
+    Two nodes whose weights add up to 0 or less are linked, and so is each of them to the node
+    of least weight: one pair for each such node joins them all.  All others share a token.
+    Tokens go by their frequency in the crowd, the rarest first.  Of a pair, the node of lesser
+    weight has a shared token among its first ones, as many as its own weight leaves; the
+    other may have it anywhere, but for both enough tokens must follow.
+    """
+    whole = sum(share)
+    tokens = staged(_differences(crowd, texts, k, share), "crowd-differences")
+    center = tokens.groupBy("ref").agg(F.min(F.struct("weight", "id")).alias("c"))
+    sure = tokens.join(center, "ref").where("weight + c.weight <= 0 AND id <> c.id").select(F.col("id").alias("u"), F.col("c.id").alias("v"))
+    each = tokens.select("ref", "id", "component", "weight", "size", F.explode("z").alias("token"))
+    often = each.groupBy("ref", "token").agg(F.count("*").alias("often"))
+    placed = each.join(often, ["ref", "token"]).withColumn("p", F.row_number().over(Window.partitionBy("ref", "id").orderBy("often", "token")) - 1).where("often > 1").drop("often")
+    placed = staged(placed, "crowd-tokens")
+    first = placed.where(f"weight <= 0 OR p < size - (weight + {whole - 1}) div {whole} + 1")
+    enough = f"(x.weight + y.weight + {2 * whole - 1}) div {2 * whole}"
+    met = first.alias("x").join(placed.alias("y"), ["ref", "token"]).where(
+        f"(x.weight, x.id) < (y.weight, y.id) AND x.component <> y.component AND x.weight + y.weight > 0 AND x.size - x.p >= {enough} AND y.size - y.p >= {enough}"
+    )
+    return staged(met.select(F.col("y.id").alias("u"), F.col("x.id").alias("v")).distinct(), "crowd-pairs"), sure
+
+
+def _crowd_links(mixed: DataFrame, nodes: DataFrame, texts: DataFrame, of: DataFrame, k: int, share: tuple[int, int], least: float) -> DataFrame:
+    """(u, v): links between components in crowded buckets, confirmed on full sets. Buckets of one ref are one crowd."""
+    crowd = mixed.where(F.col("outside") > SPLIT).select("ref", "id", "component").distinct()
+    crowd = staged(crowd.join(crowd.groupBy("ref").agg(F.count("*").alias("n")), "ref"), "crowds")
+    if crowd.isEmpty():
+        return crowd.select(F.col("id").alias("u"), F.col("id").alias("v"))
+    pairs, sure = _crowd_pairs(crowd, texts, k, share)
+    links = _hub_links(staged(_estimated(pairs, nodes, share, least), "crowd-estimated"), texts, k, share).union(sure)
+    named = lambda c: of.select(F.col("node").alias(c), F.col("component").alias(f"of_{c}"))
+    return links.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("of_u", "u").alias("u"), F.coalesce("of_v", "v").alias("v"))
 
 
 def _promising(blocks: DataFrame, nodes: DataFrame, share: tuple[int, int], least: float) -> DataFrame:
-    """The rows of blocks that may be linked to one of the other role and another component. A pair is looked at where its first common bands are i (and j) only."""
+    """The rows of blocks that may be linked to one of the other role and another component. A pair is looked at where its first common band is i only."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for (band, i, j, block), rows in _grouped(batches, 4):
+            for (band, i, block), rows in _grouped(batches, 3):
                 ids, comps, sizes, sigs, own = [], [], [], [], None
                 for *_, role, node, comp, n, sig in rows:
                     sig = np.frombuffer(sig, np.uint16)
@@ -193,22 +277,18 @@ def _promising(blocks: DataFrame, nodes: DataFrame, share: tuple[int, int], leas
                         own, of, size, hit = np.stack(sigs), np.array(comps), np.array(sizes), np.zeros(len(ids), bool)
                     at = np.flatnonzero(_alike(own, sig, size, n, share, least) & (of != comp))
                     common = (own[at] == sig).reshape(len(at), len(sig) // ROWS, ROWS).all(2)
-                    first = common.argmax(1)
-                    right = common.any(1) & (first == i)
-                    if j >= 0:
-                        common[np.arange(len(at)), first] = False
-                        right &= common.any(1) & (common.argmax(1) == j)
+                    right = common.any(1) & (common.argmax(1) == i)
                     if right.any():
                         hit[at[right]] = True
-                        yield band, i, j, block, 1, node, comp
+                        yield band, i, block, 1, node, comp
                 if own is not None:
                     for x in np.flatnonzero(hit):
-                        yield band, i, j, block, 0, ids[x], comps[x]
+                        yield band, i, block, 0, ids[x], comps[x]
 
-        yield from _rows(found(), [("band", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("block", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("component", pa.int64())])
+        yield from _rows(found(), [("band", pa.int64()), ("i", pa.int32()), ("block", pa.int32()), ("role", pa.int32()), ("id", pa.int64()), ("component", pa.int64())])
 
-    dealt = blocks.join(nodes.select("id", "n", "sig"), "id").select("band", "i", "j", "block", "role", "id", "component", "n", "sig")
-    return dealt.repartition("band", "i", "j", "block").sortWithinPartitions("band", "i", "j", "block", "role", "id").mapInArrow(run, f"{HIDDEN}, role int, id long, component long")
+    dealt = blocks.join(nodes.select("id", "n", "sig"), "id").select("band", "i", "block", "role", "id", "component", "n", "sig")
+    return dealt.repartition("band", "i", "block").sortWithinPartitions("band", "i", "block", "role", "id").mapInArrow(run, f"{HIDDEN}, role int, id long, component long")
 
 
 class _Joined:
@@ -233,7 +313,7 @@ def _block_links(blocks: DataFrame, texts: DataFrame, k: int, share: tuple[int,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found():
-            for _, rows in _grouped(batches, 4):
+            for _, rows in _grouped(batches, 3):
                 comps, sets, values, last, joined = [], [], None, None, _Joined()
                 for *_, role, node, comp, text in rows:
                     if (role, node) == last:
@@ -263,8 +343,8 @@ def _block_links(blocks: DataFrame, texts: DataFrame, k: int, share: tuple[int,
 
         yield from _rows(found(), [("u", pa.int64()), ("v", pa.int64())])
 
-    dealt = blocks.join(texts, "id").select("band", "i", "j", "block", "role", "id", "component", "text")
-    return dealt.repartition("band", "i", "j", "block").sortWithinPartitions("band", "i", "j", "block", "role", "id").mapInArrow(run, "u long, v long")
+    dealt = blocks.join(texts, "id").select("band", "i", "block", "role", "id", "component", "text")
+    return dealt.repartition("band", "i", "block").sortWithinPartitions("band", "i", "block", "role", "id").mapInArrow(run, "u long, v long")
 
 
 def _linked(nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], bands: int) -> DataFrame:
@@ -274,7 +354,7 @@ def _linked(nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], b
     placed = nodes.select("id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * (2 * ROWS) + 1, F.lit(2 * ROWS))))).alias("i", "band"))
     several = staged(placed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "bands")
     met = staged(placed.join(several.hint("merge"), "band"), "members")
-    own = staged(nodes.join(met.groupBy("id").agg(F.sum("n").alias("weight"), F.sort_array(F.collect_list("i")).alias("shared")).hint("merge"), "id"), "member-nodes")
+    own = staged(nodes.join(met.groupBy("id").agg(F.sum("n").alias("weight")).hint("merge"), "id"), "member-nodes")
     texts = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("key"), F.col("text").cast("string").alias("text")).join(own.select("key", "id").hint("shuffle_hash"), "key").select("id", "text")
     texts = staged(texts, "member-texts")
     tops = [F.max(F.struct("weight", "id"))["id"], *[F.min(F.struct(F.xxhash64("id", F.lit(k)), "id"))["id"] for k in range(1, HUBS)]]
@@ -285,12 +365,13 @@ def _linked(nodes: DataFrame, docs: DataFrame, k: int, share: tuple[int, int], b
     stars = members.select(F.col("id").alias("u"), F.explode(paired).alias("v")).distinct()  # two hubs make one pair
     near = staged(_estimated(stars, own, share, least), "stars-estimated")
     first = staged(components(_hub_links(near, texts, k, share)), "components")
-    blocks = staged(_promising(_blocks(members, own, first), own, share, least), "blocks")
-    second = staged(components(_block_links(blocks, texts, k, share)), "components")
+    mixed = _mixed(members, first)
+    blocks = staged(_promising(_blocks(mixed), own, share, least), "blocks")
+    second = staged(components(_block_links(blocks, texts, k, share).union(_crowd_links(mixed, own, texts, first, k, share, least))), "components")
     merged = first.join(second.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left").select("node", F.coalesce("top", "component").alias("component"))
     alone = second.join(first, "node", "left_anti").select("node", "component")
     found = staged(merged.union(alone).select(F.col("node").alias("id"), "component"), "components")
-    discard(own, texts, members, near, first, blocks, second)
+    discard(own, texts, members, near, first, mixed, blocks, second)
     return found
 
 

@@ -8,7 +8,7 @@ from .common import ALNUM_WORDS, LOWER, SPACE_WORDS, UPPER
 from .licenses import PHRASES, TEMPLATES, THRESHOLD, words
 from .line_dedup import LEAST_PAGES, RATIO
 from .merkle import FIELDS
-from .quality import LEAST_GROUP, MEASURES, SPREAD
+from .quality import LEAST_GROUP, MARKS, MEASURES, SPREAD
 from .secret_scan import BASE, RULES
 from .warc import REVISIT_BYTES
 
@@ -22,11 +22,13 @@ def crc32(text: str) -> str:
 
 
 def _quality() -> str:
-    values = ", ".join(f"CASE WHEN {of} > 0 THEN (1000 * {counted}) // {of} END AS {m}" for m, (counted, of, _, _) in MEASURES.items())
-    # what is below 64 stays, all else keeps its first six binary digits
-    buckets = ", ".join(f"CASE WHEN {m} < 64 THEN {m} ELSE ({m} >> (length(bin({m})) - 6)) << (length(bin({m})) - 6) END AS {m}" for m in MEASURES)
+    values = ", ".join(f"CASE WHEN {of} > 0 THEN (1000000 * {counted}) // {of} END AS {m}" for m, (counted, of, _) in MEASURES.items())
+    # what is below 256 stays, all else is numbered by its power of two and its first eight binary digits
+    buckets = ", ".join(f"CASE WHEN {m} < 256 THEN {m} ELSE (length(bin({m})) - 8) * 128 + ({m} >> (length(bin({m})) - 8)) END AS {m}" for m in MEASURES)
     each = " UNION ALL ".join(f"SELECT lang, source, '{m}' AS measure, {m} AS v FROM b WHERE {m} IS NOT NULL" for m in MEASURES)
-    reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), CASE measure {' '.join(f"WHEN '{m}' THEN {tolerance}" for m, (_, _, tolerance, _) in MEASURES.items())} END, q2 // 16)"
+    reach = f"{SPREAD} * least(q3 - q2, q2 - q1)"
+    spread = lambda x: f"{x}.q1 > 0 AND {x}.q1 < {x}.q2 AND {x}.q2 < {x}.q3"
+    row = lambda x: f"{{'q1': {x}.q1, 'q2': {x}.q2, 'q3': {x}.q3}}"
     one_sided = ", ".join(f"'{m}'" for m, (*_, lower) in MEASURES.items() if not lower)
     bad = " OR ".join(f"measure = '{m}' AND NOT {m} BETWEEN lo AND hi" for m in MEASURES)
 
@@ -45,7 +47,7 @@ r AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i+1,
 m AS (SELECT d.doc_id, lang, source, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(array_to_string(words, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     CAST(length(regexp_replace(array_to_string(words, ''), '[^A-Z]', '', 'g')) AS BIGINT) AS n_capitals,
-    CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(length(regexp_replace(array_to_string(words, ''), '[^{MARKS[1:]}', '', 'g')) AS BIGINT) AS n_marks, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
     CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r ON d.doc_id = r.doc_id),
 v AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, {values} FROM m),
 b AS (SELECT * REPLACE ({buckets}) FROM v),
@@ -53,9 +55,9 @@ e AS ({each}),
 {quartiles("qa", "lang", "source")},
 {quartiles("qb", "lang")},
 {quartiles("qc")},
-q AS (SELECT lang, source, measure, unnest(CASE WHEN a.n >= {LEAST_GROUP} THEN {{'q1': a.q1, 'q2': a.q2, 'q3': a.q3}} WHEN b.n >= {LEAST_GROUP} THEN {{'q1': b.q1, 'q2': b.q2, 'q3': b.q3}} ELSE {{'q1': c.q1, 'q2': c.q2, 'q3': c.q3}} END)
+q AS (SELECT lang, source, measure, unnest(CASE WHEN a.n >= {LEAST_GROUP} AND {spread('a')} THEN {row('a')} WHEN b.n >= {LEAST_GROUP} AND {spread('b')} THEN {row('b')} WHEN {spread('c')} THEN {row('c')} END)
     FROM qa a JOIN qb b USING (lang, measure) JOIN qc c USING (measure)),
-lim AS (SELECT lang, source, measure, q2 + {reach} AS hi, CASE WHEN measure IN ({one_sided}) THEN -1 ELSE q2 - {reach} END AS lo FROM q),
+lim AS (SELECT lang, source, measure, q2 + {reach} AS hi, CASE WHEN measure IN ({one_sided}) THEN -1 ELSE q2 - {reach} END AS lo FROM q WHERE q2 IS NOT NULL),
 o AS (SELECT DISTINCT doc_id FROM b JOIN lim USING (lang, source) WHERE {bad})
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND o.doc_id IS NULL AS kept FROM b LEFT JOIN o ON b.doc_id = o.doc_id"""
 

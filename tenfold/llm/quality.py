@@ -1,24 +1,28 @@
 """Quality rules with thresholds that adapt to language and source.
 
 Each measure is kept as a log-linear quantile sketch: counts by buckets that double in width
-with every power of two, so that a quantile of values of any size is off by a 32nd of itself
-at most, and sketches of parts of the corpus merge by adding counts.  Thresholds are the
-median and a multiple of the spread on either side, at least a tolerance.  The spread is one
-that a third of junk cannot move, and small groups take the merged sketches of their language
-or of the corpus.  A small table of thresholds is then joined to the documents.  DataFrame
-functions only.
+with every power of two, so that a quantile of values of any size is off by a 128th of itself
+at most, and sketches of parts of the corpus merge by adding counts.  A group's limits are its
+own median, and so many times its own spread on either side, in buckets, which is a ratio of
+values; no measure has a cutoff or a tolerance of its own.  The spread is one that a third of
+junk cannot move.  Small groups, and those whose sketch has no spread, take the merged sketch
+of their language or of the corpus.  A small table of limits is then joined to the documents.
+DataFrame functions only.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORDS, staged
 
-#: measure: (counted, of, tolerance about the median in thousandths, has a lower threshold)
-MEASURES = {"word_length": ("word_chars", "n_words", 3000, True), "symbols": ("n_symbols", "n_words", 300, False), "dup_lines": ("n_dup_lines", "n_lines", 400, False), "capitals": ("n_capitals", "word_chars", 300, False)}
-SPREAD = 6
+#: measure: (counted, of, has a lower limit too); its values are millionths. One more is counted of what many texts have none of, so that their lengths give a spread.
+MEASURES = {"word_length": ("word_chars", "n_words", True), "marks": ("(n_marks + 1)", "word_chars", False), "capitals": ("(n_capitals + 1)", "word_chars", False)}
+#: Spreads between a group's median and its limits, for all measures alike.
+SPREAD = 12
+#: ASCII punctuation.
+MARKS = r"[!-/:-@\[-`{-~]"
 #: Documents from which a group has thresholds of its own: with a third of junk, under one group of 100 in a thousand has a majority of it.
 LEAST_GROUP = 100
 #: Groups of language and source up to which the thresholds are broadcast; beyond, they are joined by a shuffle.
@@ -37,7 +41,7 @@ def _words(df: DataFrame) -> DataFrame:
                 "word_chars": F.length("joined").cast("long"),
                 "n_symbols": F.expr("cast(regexp_count(joined, '[#*$%&|<>]') as long)"),
                 "n_capitals": F.expr("cast(regexp_count(joined, '[A-Z]') as long)"),
-                "n_lines": F.size("lines").cast("long"),
+                "n_marks": F.expr(f"cast(regexp_count(joined, r'{MARKS}') as long)"),
                 "n_dup_lines": F.expr("cast(size(lines) - size(array_distinct(lines)) as long)"),
             }
         )
@@ -58,17 +62,17 @@ def _repeats(df: DataFrame) -> DataFrame:
 
 
 def bucket(measure: str) -> Column:
-    """The bucket of thousandths of a measure: 32 in each power of two, from 64 on; below, each its own. Null if there is nothing to count in."""
-    counted, of, _, _ = MEASURES[measure]
-    v = f"((1000L * {counted}) div {of})"
-    shift = f"(length(bin({v})) - 6)"
-    return F.expr(f"CASE WHEN {of} > 0 THEN CASE WHEN {v} < 64 THEN {v} ELSE {shift} * 32L + shiftright({v}, {shift}) END END")
+    """The bucket of millionths of a measure: 128 in each power of two, from 256 on; below, each its own. Null if there is nothing to count in."""
+    counted, of, _ = MEASURES[measure]
+    v = f"((1000000L * {counted}) div {of})"
+    shift = f"(length(bin({v})) - 8)"
+    return F.expr(f"CASE WHEN {of} > 0 THEN CASE WHEN {v} < 256 THEN {v} ELSE {shift} * 128L + shiftright({v}, {shift}) END END")
 
 
 def least_value(b: str) -> str:
-    """The least thousandths in a bucket."""
-    shift = f"cast({b} div 32 - 1 as int)"
-    return f"CASE WHEN {b} < 64 THEN {b} ELSE shiftleft({b} - {shift} * 32L, {shift}) END"
+    """The least millionths in a bucket."""
+    shift = f"cast({b} div 128 - 1 as int)"
+    return f"CASE WHEN {b} < 256 THEN {b} ELSE shiftleft({b} - {shift} * 128L, {shift}) END"
 
 
 def _buckets() -> dict[str, Column]:
@@ -89,34 +93,37 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def _quartiles(sketch: DataFrame, *group: str) -> DataFrame:
-    """(group, measure, n, q1, q2, q3) in thousandths. A sketch has some hundred buckets at most."""
-    quantile = lambda q: least_value(f"filter(c, x -> 100 * x.n >= {q} * n)[0].bucket")
+    """(group, measure, n, q1, q2, q3) in buckets. A sketch has some thousand buckets at most."""
+    quantile = lambda q: f"filter(c, x -> 100 * x.n >= {q} * n)[0].bucket"
+    upto = F.sum("n").over(Window.partitionBy(*group, "measure").orderBy("bucket"))
     return (
-        sketch.groupBy(*group, "measure")
-        .agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("h"), F.sum("n").alias("n"))
-        .withColumn("c", F.expr("transform(h, (x, i) -> struct(x.bucket AS bucket, aggregate(slice(h, 1, i + 1), 0L, (a, y) -> a + y.n) AS n))"))
+        sketch.withColumn("upto", upto)
+        .groupBy(*group, "measure")
+        .agg(F.sort_array(F.collect_list(F.struct("bucket", F.col("upto").alias("n")))).alias("c"), F.sum("n").alias("n"))
         .selectExpr(*group, "measure", "n", f"{quantile(25)} AS q1", f"{quantile(50)} AS q2", f"{quantile(75)} AS q3")
     )
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
-    """(lang, source, <measure>_low, <measure>_high) in thousandths.
+    """(lang, source, <measure>_low, <measure>_high, <measure>_from) in buckets, with the sketch that they come from: group, language or corpus.
 
-    The spread is twice the lesser distance of a quartile from the median: junk of up to half
-    a group reaches one quartile only.  A group of under LEAST_GROUP documents takes the
-    quartiles of its language, and a language of so few those of the corpus, from the
-    merged sketches.
+    The spread is the lesser distance of a quartile from the median: junk of up to half a
+    group reaches one quartile only.  A group of under LEAST_GROUP documents, or one whose
+    sketch has no spread or begins at 0, takes the merged sketch of its language, and a
+    language that of the corpus; a measure without a spread there has no limits.
     """
     merged = lambda *by: _quartiles(sketch.groupBy(*by, "measure", "bucket").agg(F.sum("n").alias("n")), *by)
     own = lambda df, name: df.select(*[c for c in ("lang", "source", "measure") if c in df.columns], F.struct("n", "q1", "q2", "q3").alias(name))
     per = own(_quartiles(sketch, "lang", "source"), "a").join(own(merged("lang"), "b"), ["lang", "measure"]).join(F.broadcast(own(merged(), "c")), "measure")
-    per = per.select("lang", "source", "measure", F.expr(f"CASE WHEN a.n >= {LEAST_GROUP} THEN a WHEN b.n >= {LEAST_GROUP} THEN b ELSE c END").alias("x")).select("lang", "source", "measure", "x.*")
+    fit = lambda x: f"{x}.n >= {LEAST_GROUP} AND {x}.q1 > 0 AND {x}.q1 < {x}.q2 AND {x}.q2 < {x}.q3"
+    shown = lambda x, name: f"named_struct('q2', {x}.q2, 'reach', {SPREAD} * least({x}.q3 - {x}.q2, {x}.q2 - {x}.q1), 'of', '{name}')"
+    corpus = "c.q1 > 0 AND c.q1 < c.q2 AND c.q2 < c.q3"
+    per = per.select("lang", "source", "measure", F.expr(f"CASE WHEN {fit('a')} THEN {shown('a', 'group')} WHEN {fit('b')} THEN {shown('b', 'language')} WHEN {corpus} THEN {shown('c', 'corpus')} END").alias("x"))
     out = []
-    for m, (_, _, tolerance, lower) in MEASURES.items():
-        reach = f"greatest({SPREAD} * 2 * least(q3 - q2, q2 - q1), {tolerance}, q2 div 16)"  # two buckets at least
-        out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 + {reach} END) AS {m}_high"))
+    for m, (*_, lower) in MEASURES.items():
+        out += [F.expr(f"max(CASE WHEN measure = '{m}' THEN x.q2 + x.reach END) AS {m}_high"), F.expr(f"max(CASE WHEN measure = '{m}' THEN x.of END) AS {m}_from")]
         if lower:
-            out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN q2 - {reach} END) AS {m}_low"))
+            out.append(F.expr(f"max(CASE WHEN measure = '{m}' THEN x.q2 - x.reach END) AS {m}_low"))
     return per.groupBy("lang", "source").agg(*out)
 
 
@@ -131,7 +138,7 @@ def score(docs: DataFrame) -> DataFrame:
     limits = staged(thresholds(staged(sketches(docs), "quality-sketches")), "quality-thresholds")
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
-    measured = _repeats(_words(_texts(docs))).withColumns(_buckets()).withColumns({m: F.expr(least_value(m)) for m in MEASURES})
+    measured = _repeats(_words(_texts(docs))).withColumns(_buckets())
     inside = " AND ".join(f"coalesce({m} <= {m}_high, true)" + (f" AND coalesce({m} >= {m}_low, true)" if lower else "") for m, (*_, lower) in MEASURES.items())
     return (
         measured.join(limits, ["lang", "source"], "left")

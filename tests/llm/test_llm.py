@@ -97,6 +97,21 @@ def test_quality_filter_stands_junk(spark):
     assert got["symbols", "en", True] == 200 and got["short", "en", True] == 200 and got["two", "en", True] == 1
 
 
+def test_limits_come_from_each_groups_sketch(spark):
+    """Two sources of one language: what is usual in the wide one is beyond the limits of the narrow one, though a third of that is junk; nothing else tells them apart."""
+    rng = random.Random(12)
+    sized = lambda low, high: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(low, high))) + rng.choice(["", "", "", "."]) for _ in range(60))
+    narrow = [sized(5, 6) for _ in range(300)]
+    wide = [sized(k := rng.randint(3, 14), k) for _ in range(300)]
+    junk = [sized(12, 13) for _ in range(150)]
+    rows = [(i, t, "en", s) for i, (t, s) in enumerate([(t, "narrow") for t in narrow + junk] + [(t, "wide") for t in wide])]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r.source: r for r in quality.thresholds(quality.sketches(d)).collect()}
+    assert {r.word_length_from for r in limits.values()} == {"group"} and limits["narrow"].word_length_high < limits["wide"].word_length_high and limits["narrow"].word_length_low > limits["wide"].word_length_low
+    kept = {r.row.doc_id for r in quality.score(d).where("kept").collect()}
+    assert set(range(300)) <= kept and set(range(450, 750)) <= kept and not kept & set(range(300, 450))
+
+
 def test_licenses_on_edges(docs, spark):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(empty(docs)).count() == 0
     lines = "foo\nReleased under the mit LICENSE.\nuses GNU General Public License, version 3, this work is licensed under"
@@ -503,8 +518,8 @@ def test_sketches_merge_and_have_no_top(spark):
     same(merged.collect(), quality.sketches(d).collect())
     assert {r.row.doc_id for r in quality.score(d).where("NOT kept AND NOT base_failed").collect()} == {900, 901}
     values = [*range(200), *(rng.randrange(10**9) for _ in range(300))]
-    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", F.lit(1000).alias("n_words"), F.col("v").alias("word_chars")).select("v", quality.bucket("word_length").alias("b")).select("v", F.expr(quality.least_value("b")).alias("low"), "b").collect()
-    assert all(r.low <= r.v and (r.v - r.low) * 32 <= r.v for r in got) and [r.b for r in sorted(got, key=lambda r: r.v)] == sorted(r.b for r in got)
+    got = spark.createDataFrame([(v,) for v in values], "v long").select("v", F.lit(1_000_000).alias("n_words"), F.col("v").alias("word_chars")).select("v", quality.bucket("word_length").alias("b")).select("v", F.expr(quality.least_value("b")).alias("low"), "b").collect()
+    assert all(r.low <= r.v and (r.v - r.low) * 128 <= r.v for r in got) and [r.b for r in sorted(got, key=lambda r: r.v)] == sorted(r.b for r in got)
 
 
 def test_a_very_long_page(spark):

@@ -3,7 +3,9 @@
 Tokens are put in one order for the whole corpus, rarest first.  A block can hold the
 threshold's share of a template only if it has one of the template's first tokens (prefix
 filter), enough of the templates' tokens at all (length filter), and enough of them left
-after the first shared one (positional filter); what remains is counted out.
+after the first shared one (positional filter); what remains is counted out.  Words that
+tell licenses apart must be there, and of two templates in one block the one that covers all
+that the other covers, and more, is taken.
 
 Blocks are the lines and, for notices wrapped over lines, windows at every token of the
 text, as long as the template with room for as many other tokens as the threshold lets
@@ -32,8 +34,17 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License"),
     ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by", "Licensed under CC BY 4.0"),
     ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
+    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
+    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
+    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
+    ("cc-by-nd", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License"),
+    ("cc-by-nd", "Licensed under CC BY-ND 4.0"),
+    ("cc-by-nc-sa", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    ("cc-by-nc-sa", "Licensed under CC BY-NC-SA 4.0"),
+    ("cc-by-nc-nd", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+    ("cc-by-nc-nd", "Licensed under CC BY-NC-ND 4.0"),
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
     ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
@@ -58,6 +69,8 @@ TEMPLATES = [
     ),
 ]
 THRESHOLD = 0.8
+#: Words that tell licenses apart: a template that has one is not contained without it.
+TELLING = frozenset("apache mit gnu mozilla eclipse commons cc by attribution nc noncommercial sa sharealike nd noderivatives".split())
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 SCHEMA = "doc_id long, n_words long, places array<struct<word: long, label: string>>, blocks array<struct<block: int, label: string, containment: double>>"
 
@@ -86,7 +99,7 @@ class Join:
 
     def __init__(self, templates: list[tuple[str, str]], counts: dict[bytes, int], threshold: float):
         self.rank = {w: k for k, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
-        self.labels, self.ranks, self.least, self.spans, self.index = [], [], [], [], {}
+        self.labels, self.ranks, self.least, self.spans, self.needed, self.index = [], [], [], [], [], {}
         for label, text in templates:
             ranks = sorted({self.rank[w] for w in words(text)})
             if not ranks:
@@ -97,16 +110,17 @@ class Join:
             self.labels.append(label)
             self.ranks.append(ranks)
             self.least.append(least)
+            self.needed.append({self.rank[w] for w in words(text) if w.decode("utf-8", "replace") in TELLING})
             self.spans.append(max(len(words(text)), math.ceil(len(words(text)) / threshold - 1e-9)))
         order = sorted(self.rank, key=self.rank.get)
         self.firsts = frozenset(order[r] for r in self.index)
 
     def __call__(self, block: list[bytes]) -> Iterator[tuple[str, float]]:
-        for k, share in self.contained(block):
-            yield self.labels[k], share
+        for k, shared in self.contained(block):
+            yield self.labels[k], len(shared) / len(self.ranks[k])
 
-    def contained(self, block: list[bytes]) -> Iterator[tuple[int, float]]:
-        """The templates, by number, of which the block has the threshold's share of tokens."""
+    def candidates(self, block: list[bytes]) -> Iterator[tuple[int, set[int]]]:
+        """The templates, by number, of which the block has the threshold's share of tokens and the telling ones, and the tokens shared."""
         own = sorted({self.rank[w] for w in block if w in self.rank})
         seen: set[int] = set()
         for at, r in enumerate(own):
@@ -117,15 +131,21 @@ class Join:
                 least, ranks = self.least[k], self.ranks[k]
                 if len(own) < least or min(len(own) - at, len(ranks) - place) < least:
                     continue
-                if (shared := len(set(own).intersection(ranks))) >= least:
-                    yield k, shared / len(ranks)
+                shared = set(own).intersection(ranks)
+                if len(shared) >= least and shared >= self.needed[k]:
+                    yield k, shared
+
+    def contained(self, block: list[bytes]) -> list[tuple[int, set[int]]]:
+        """The candidates, less those that share only a part of what another shares."""
+        found = list(self.candidates(block))
+        return [(k, shared) for k, shared in found if not any(shared < other for _, other in found)]
 
-    def windows(self, k: int, tokens: list[bytes], free: list[bool]) -> Iterator[tuple[int, float]]:
-        """(first token, share) of the best of each run of overlapping windows that hold template k, over tokens that are free."""
+    def windows(self, k: int, tokens: list[bytes], free: list[bool]) -> Iterator[tuple[int, int, set[int]]]:
+        """(first token, last token, tokens shared) of the best of each run of overlapping windows that hold template k, over tokens that are free."""
         wanted, span, least = set(self.ranks[k]), self.spans[k], self.least[k]
         held: Counter = Counter()
         inside: deque[tuple[int, int]] = deque()
-        best, upto = (0, 0), -1
+        best, upto = None, -1
         for at, w in enumerate(tokens):
             if not free[at]:
                 held.clear()
@@ -140,33 +160,44 @@ class Join:
                 held[out] -= 1
                 if not held[out]:
                     del held[out]
-            if len(held) < least:
+            if len(held) < least or not held.keys() >= self.needed[k]:
                 continue
             first = inside[0][0]
-            if best[0] and first > upto:
-                yield best[1], best[0] / len(wanted)
-                best = (0, 0)
-            if len(held) > best[0]:
-                best = (len(held), first)
+            if best and first > upto:
+                yield best
+                best = None
+            if not best or len(held) > len(best[2]):
+                best = (first, at, set(held))
             upto = at
-        if best[0]:
-            yield best[1], best[0] / len(wanted)
+        if best:
+            yield best
 
     def blocks(self, lines: list[list[bytes]]) -> Iterator[tuple[int, str, float]]:
         """(line, label, share): lines that contain templates, and lines in which a window begins that contains one which none of its lines does."""
         found: dict[int, set[int]] = {}
         for n, line in enumerate(lines):
-            for k, share in self.contained(line):
+            for k, shared in self.contained(line):
                 found.setdefault(k, set()).add(n)
-                yield n, self.labels[k], share
+                yield n, self.labels[k], len(shared) / len(self.ranks[k])
         if len(lines) == 1:
             return
         tokens = [w for line in lines for w in line]
         owner = [n for n, line in enumerate(lines) for _ in line]
-        for k, _ in self.contained(tokens):
+        held = []
+        for k, _ in self.candidates(tokens):
             whole = found.get(k, ())
-            for first, share in self.windows(k, tokens, [n not in whole for n in owner]):
-                yield owner[first], self.labels[k], share
+            held += [(k, *x) for x in self.windows(k, tokens, [n not in whole for n in owner])]
+        held.sort(key=lambda x: x[1:3])
+        # what covers more: windows, and the lines that hold a template by themselves
+        covering = [(first, last, shared) for _, first, last, shared in held]
+        starts, at = [], 0
+        for line in lines:
+            starts.append(at)
+            at += len(line)
+        covering += [(starts[n], starts[n] + len(lines[n]) - 1, shared) for n in sorted(set().union(*found.values())) for _, shared in self.contained(lines[n])]
+        for k, first, last, shared in held:
+            if not any(first <= b and a <= last and shared < other for a, b, other in covering):
+                yield owner[first], self.labels[k], len(shared) / len(self.ranks[k])
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, phrases: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

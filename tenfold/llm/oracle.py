@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 from .common import ALNUM_WORDS, LOWER, SPACE_WORDS, UPPER
-from .licenses import PHRASES, TEMPLATES, THRESHOLD, words
+from .licenses import PHRASES, TELLING, TEMPLATES, THRESHOLD, words
 from .line_dedup import LEAST_PAGES, RATIO
 from .merkle import FIELDS
 from .quality import LEAST_GROUP, MARKS, MEASURES, SPREAD
@@ -64,7 +64,7 @@ SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 
 def _licenses() -> str:
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
-    templates = " UNION ALL ".join(f"SELECT {k} AS id, '{label}' AS label, {quoted(sorted({w.decode() for w in words(text)}))} AS tokens" for k, (label, text) in enumerate(TEMPLATES))
+    templates = " UNION ALL ".join(f"SELECT {k} AS id, '{label}' AS label, {quoted(sorted({w.decode() for w in words(text)}))} AS tokens, {quoted(sorted(TELLING.intersection(w.decode() for w in words(text))))}::VARCHAR[] AS needed" for k, (label, text) in enumerate(TEMPLATES))
     phrases = " UNION ALL ".join(f"SELECT doc_id, i - 1 AS word, '{label}' AS label FROM p WHERE words[i:i+{len(words(p)) - 1}] = {quoted(w.decode() for w in words(p))}" for p, label in PHRASES.items())
     low = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
     return rf"""
@@ -73,8 +73,9 @@ d AS (SELECT doc_id, {low} AS t, regexp_extract_all({low}, '{ALNUM_WORDS}') AS w
 p AS (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS i FROM d),
 f AS ({phrases}),
 b AS (SELECT doc_id, min(word) AS first_word, max(word) AS last_word, count(*) AS n, list(DISTINCT label) AS labels FROM f GROUP BY doc_id),
-l AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '{ALNUM_WORDS}')) AS own FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
-c AS (SELECT doc_id, label, len(list_intersect(own, tokens)) / len(tokens) AS share FROM l, t WHERE len(list_intersect(own, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9)),
+l AS (SELECT doc_id, row_number() OVER () AS line, list_distinct(regexp_extract_all(line, '{ALNUM_WORDS}')) AS own FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM d)),
+h AS (SELECT doc_id, line, label, list_intersect(own, tokens) AS held, len(tokens) AS size FROM l, t WHERE len(list_intersect(own, tokens)) >= ceil({THRESHOLD} * len(tokens) - 1e-9) AND list_has_all(own, needed)),
+c AS (SELECT doc_id, label, len(held) / size AS share FROM h WHERE NOT EXISTS (SELECT 1 FROM h o WHERE o.line = h.line AND len(o.held) > len(h.held) AND list_has_all(o.held, h.held))),
 x AS (SELECT doc_id, max(share) AS share, list(DISTINCT label) AS labels FROM c GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, b.first_word, b.last_word,
     array_to_string(list_sort(coalesce(b.labels, [])), ',') AS base_labels,

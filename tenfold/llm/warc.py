@@ -19,13 +19,16 @@ from pyspark.sql import functions as F
 
 from .common import new_path, staged
 
-#: Fixed values of the format: magic number of the skippable frame, first line of a record.
+#: Fixed values of the formats: magic numbers of the dictionary's frame, of the first skippable frame and of a compressed one, first line of a record.
 DICTIONARY_MAGIC = 0x184D2A5D
+SKIPPABLE, ZSTD_MAGIC = 0x184D2A50, bytes.fromhex("28b52ffd")
 VERSION = b"WARC/1.1"
 #: Payload bytes of one archive; payloads of fewer bytes are never revisits; sample and size for the dictionary.
 ARCHIVE_BYTES = 16 << 20
 REVISIT_BYTES = 100
 SAMPLE_RECORDS, DICTIONARY_BYTES = 200, 16 << 10
+#: Bytes given to the decompressor at once.
+SLICE = 8 << 10
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary, error string"
 
@@ -52,7 +55,8 @@ def parse(data: bytes) -> dict:
     first, *lines = head.split(b"\r\n")
     if not end or first != VERSION:
         return out | {"error": "no WARC header"}
-    fields = {k.strip().lower().decode(): v.strip().decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
+    fields = {k.strip().lower().decode(): v.removeprefix(b" ").decode("utf-8", "replace") for k, _, v in (x.partition(b":") for x in lines)}
+    fields |= {k: v.strip() for k, v in fields.items() if k != "warc-target-uri"}  # an address is given back as it was written
     missing = [k for k in ("warc-type", "warc-record-id", "warc-date", "content-length") if k not in fields]
     if missing:
         return out | {"error": f"no {missing[0]}"}
@@ -88,23 +92,45 @@ def archive(records: list[bytes]) -> bytes:
     return struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary + b"".join(map(packer.compress, records))
 
 
-def frames(data: bytes) -> Iterator[bytes]:
-    """The records of an archive, one for each frame."""
+def _dictionary(data: bytes) -> tuple[object, int]:
+    """The dictionary of an archive's leading frame, if it has one, and where the records begin. A dictionary may be compressed itself."""
     import zstandard
 
+    if not data:
+        raise ValueError("no frame")
+    if data[:4] == ZSTD_MAGIC:
+        return None, 0
     if len(data) < 8:
         raise ValueError("no leading frame")
     magic, size = struct.unpack_from("<II", data)
     if magic != DICTIONARY_MAGIC or len(data) < 8 + size:
         raise ValueError("no dictionary frame")
-    dictionary = zstandard.ZstdCompressionDict(data[8 : 8 + size]) if size else None
-    view = data[8 + size :]
-    while view:
-        reader = zstandard.ZstdDecompressor(dict_data=dictionary).decompressobj()
-        yield reader.decompress(view)
-        if not reader.eof:
-            raise ValueError("a frame ends early")
-        view = reader.unused_data
+    held = data[8 : 8 + size]
+    if held[:4] == ZSTD_MAGIC:
+        held = zstandard.ZstdDecompressor().decompressobj().decompress(held)
+    return zstandard.ZstdCompressionDict(held) if held else None, 8 + size
+
+
+def frames(data: bytes) -> Iterator[bytes]:
+    """The records of an archive, one for each frame; skippable frames between them are passed over. The bytes are handed on in slices, of which only the last is copied again."""
+    import zstandard
+
+    dictionary, at = _dictionary(data)
+    view = memoryview(data)
+    decompressor = zstandard.ZstdDecompressor(dict_data=dictionary)
+    while at < len(view):
+        if len(view) >= at + 8 and SKIPPABLE <= int.from_bytes(view[at : at + 4], "little") < SKIPPABLE + 16:
+            at += 8 + int.from_bytes(view[at + 4 : at + 8], "little")
+            continue
+        reader, parts = decompressor.decompressobj(), []
+        while not reader.eof:
+            if at >= len(view):
+                raise ValueError("a frame ends early")
+            piece = view[at : at + SLICE]
+            parts.append(reader.decompress(piece))
+            at += len(piece)
+        at -= len(reader.unused_data)
+        yield b"".join(parts)
 
 
 def classified(pages: DataFrame) -> DataFrame:

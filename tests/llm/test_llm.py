@@ -154,6 +154,16 @@ def test_license_short_form(spark):
     assert {r.doc_id: {b.label for b in r.blocks} for r in got} == {1: {"cc-by-nc"}, 2: {"apache"}}
 
 
+def test_licenses_that_are_nearly_alike(spark):
+    """Each form of an attribution license gets its own label only, in one line and wrapped; a license's name is never guessed."""
+    forms = {"cc-by": ("CC BY 4.0", "Attribution 4.0"), "cc-by-sa": ("CC BY-SA 4.0", "Attribution-ShareAlike 4.0"), "cc-by-nd": ("CC BY-ND 4.0", "Attribution-NoDerivatives 4.0"), "cc-by-nc": ("CC BY-NC 4.0", "Attribution-NonCommercial 4.0"), "cc-by-nc-sa": ("CC BY-NC-SA 4.0", "Attribution-NonCommercial-ShareAlike 4.0"), "cc-by-nc-nd": ("CC BY-NC-ND 3.0", "Attribution-NonCommercial-NoDerivatives 3.0")}
+    texts = [(label, t) for label, (short, long) in forms.items() for t in (f"Licensed under {short}.", f"This work is licensed under a Creative Commons {long} International License.", f"own words\nThis work is licensed under a\nCreative Commons {long}\nInternational License\nmore words", f"Licensed under\n{short} by the authors")]
+    texts += [("", "Released under the License"), ("", "Released under the Apache License"), ("", "Licensed under the terms of version 4.0")]
+    texts += [("apache,mit", "Released under the MIT License, or licensed under the Apache License, Version 2.0")]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()
+    assert {r.doc_id: ",".join(sorted({b.label for b in r.blocks})) for r in got} == {i: label for i, (label, _) in enumerate(texts)}
+
+
 def test_windows_find_all():
     rng = random.Random(7)
     vocabulary = [f"w{i}" for i in range(25)]
@@ -529,6 +539,37 @@ def test_a_very_long_page(spark):
     assert sorted(map(tuple, got)) == [(1, "response", None, 200, None), (2, "response", None, len(long), None), (3, "revisit", 2, len(long), None), (4, "revisit", 1, 200, None)]
 
 
+def test_archives_of_other_writers(spark):
+    """No dictionary frame, an empty and a compressed dictionary, skippable frames between records, addresses with blanks."""
+    import zstandard
+
+    rng = random.Random(3)
+    records = [warc.record(i, f" http://a.example/{i} ", "response", None, hashlib.sha256(p := " ".join(rng.choices(["some", "html", "of", "pages"], k=50)).encode()).hexdigest(), p) for i in range(300)]
+    data = warc.archive(records)
+    size = struct.unpack_from("<I", data, 4)[0]
+    assert list(warc.frames(data)) == records and {warc.parse(r)["url"] for r in records} == {f" http://a.example/{i} " for i in range(300)}
+    packed = zstandard.ZstdCompressor().compress(data[8 : 8 + size])
+    assert list(warc.frames(data[:4] + struct.pack("<I", len(packed)) + packed + data[8 + size :])) == records
+    plain = [zstandard.ZstdCompressor().compress(r) for r in records]
+    skipped = struct.pack("<II", 0x184D2A53, 5) + b"notes"
+    assert list(warc.frames(b"".join(plain))) == records == list(warc.frames(data[:4] + struct.pack("<I", 0) + skipped.join(plain)))
+    for broken in (b"", data[:5], b"not an archive", b"".join(plain)[:-3]):
+        with pytest.raises((ValueError, zstandard.ZstdError)):
+            list(warc.frames(broken))
+
+
+def test_reading_an_archive_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        data = warc.archive([warc.record(i, "u", "response", None, "0", hashlib.sha256(str(i).encode()).digest() * 90) for i in range(n)])
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.frames(data)) == n
+        return time.perf_counter() - began
+
+    assert min(seconds(8000) for _ in range(2)) < 12 * min(seconds(1000) for _ in range(3))
+
+
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
 def test_same_rows_as_sql(spark, name):
     con = duckdb.connect()

@@ -268,7 +268,7 @@ def explanation(spark: SparkSession, sf: str) -> DataFrame:
     """The two largest contributions of a model of fixed weights to each contest."""
     model = mlops.LinearModel({"d_p": (0.0, 0.01, 0.05), "blue_coverage": (0.0, 2.5, 1.5), "red_coverage": (0.0, 2.0, 2.0)}, [0.3, 0.2, -0.1], 0.0)
     frame = _parts(spark, sf).drop("part").join(_coverage(spark, sf), "match_id")
-    return rounded(model.explain(frame, 2))
+    return rounded(model.explain(frame, 2), 4)
 
 
 __all__ = ["Q"]

@@ -7,10 +7,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,6 +16,8 @@ from pyspark.sql import functions as F
 from tenfold.operators.features import side_swapped
 from tenfold.sources.tables import ordinal
 
+from .boosting import Boosted, Settings
+
 META = ["match_id", "game_start", "patch", "blue_win"]
 EPS = 1e-15
 
@@ -176,10 +176,10 @@ class LinearModel:
         return z.withColumn("p", 1 / (1 + F.exp(-score))).select("match_id", "p")
 
     def explain(self, frame: DataFrame, top: int = 6) -> DataFrame:
-        """(match_id, rank, feature, effect, favours): the largest contributions."""
+        """(match_id, rank, feature, effect, favours): the largest contributions, not rounded."""
         z = standardised(aligned(frame, self.names), self.stats).select("match_id", self.contributions(frame).alias("c"))
         best = F.slice(F.sort_array(F.transform("c", lambda x: F.struct(F.abs(x.effect).alias("size"), x.feature.alias("feature"), x.effect.alias("effect"))), asc=False), 1, top)
-        return z.select("match_id", F.posexplode(best).alias("rank", "x")).select("match_id", "rank", "x.feature", F.round("x.effect", 4).alias("effect"), F.when(F.col("x.effect") > 0, "blue").otherwise("red").alias("favours"))
+        return z.select("match_id", F.posexplode(best).alias("rank", "x")).select("match_id", "rank", "x.feature", "x.effect", F.when(F.col("x.effect") > 0, "blue").otherwise("red").alias("favours"))
 
     def save(self, spark, path: str) -> None:
         spark.createDataFrame([(json.dumps({"stats": self.stats, "coefficients": self.coefficients, "intercept": self.intercept}),)], "model string").coalesce(1).write.mode("overwrite").text(path)
@@ -190,17 +190,10 @@ class LinearModel:
         return cls({k: tuple(v) for k, v in d["stats"].items()}, d["coefficients"], d["intercept"])
 
 
-def fit_boosted(train: DataFrame, names: list[str], rounds: int = 100, label: str = "blue_win", seed: int = 0) -> tuple[PipelineModel, dict]:
-    """Boosted trees; Spark's has no penalty on leaves and takes no missing values, so medians are put in. Importances go by column name."""
-    stats = moments(train, names)
-    rows = standardised(train, stats).withColumn("y", F.col(label).cast("double"))
-    trees = GBTClassifier(featuresCol="x", labelCol="y", maxIter=rounds, stepSize=0.03, maxDepth=4, minInstancesPerNode=max(40, rows.count() // 200), subsamplingRate=0.8, featureSubsetStrategy="0.7", seed=seed)
-    model = Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="x"), trees]).fit(rows)
-    return model, {"stats": stats, "importance": dict(zip(names, map(float, model.stages[-1].featureImportances.toArray()), strict=True))}
-
-
-def boosted_scores(model: PipelineModel | Transformer, stats: dict, frame: DataFrame) -> DataFrame:
-    return model.transform(standardised(frame, stats)).select("match_id", vector_to_array("probability")[1].alias("p"))
+def fit_boosted(train: DataFrame, names: list[str], rounds: int = 600, label: str = "blue_win", seed: int = 0) -> tuple[Boosted, dict[str, float]]:
+    """Boosted trees with at least 40 rows, or one in 200, in a leaf; and each column's importance."""
+    model = Boosted.fit(train, names, label, Settings(rounds=rounds, least_rows=max(40, train.count() // 200), seed=seed))
+    return model, model.importance()
 
 
 def _bounded(p: Column) -> Column:

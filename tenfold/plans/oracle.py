@@ -239,5 +239,5 @@ SQL |= {
     "aligned_features": SPLIT + f" SELECT match_id, patch, y AS blue_win, {r6('p')} AS d_p, CAST(NULL AS DOUBLE) AS d_other FROM sp",
 }
 SQL["predict_scored"] = f"SELECT match_id, round(1 / (1 + exp(-(0.1 + 0.7 * (d_winrate_mean - 0.01) / 0.2 - 0.4 * d_games_mean / 10.0))) + 3.17e-8, 4) + 0.0 AS p FROM ({SQL['predict_one']})"
-SQL["explanation"] = SPLIT + f", {COVERAGE.removeprefix(BASE + ', ')}, f AS (SELECT match_id, unnest([{{'feature': 'd_p', 'effect': (p - 0.01) / 0.05 * 0.3}}, {{'feature': 'blue_coverage', 'effect': (blue_coverage - 2.5) / 1.5 * 0.2}}, {{'feature': 'red_coverage', 'effect': (red_coverage - 2.0) / 2.0 * -0.1}}]) AS e FROM sp JOIN cv USING (match_id)), k AS (SELECT match_id, e.feature AS feature, e.effect AS effect, row_number() OVER (PARTITION BY match_id ORDER BY abs(e.effect) DESC, e.feature DESC) AS i FROM f) SELECT match_id, CAST(i - 1 AS INT) AS rank, feature, {r6('round(effect, 4)')} AS effect, CASE WHEN effect > 0 THEN 'blue' ELSE 'red' END AS favours FROM k WHERE i <= 2"
+SQL["explanation"] = SPLIT + f", {COVERAGE.removeprefix(BASE + ', ')}, f AS (SELECT match_id, unnest([{{'feature': 'd_p', 'effect': (p - 0.01) / 0.05 * 0.3}}, {{'feature': 'blue_coverage', 'effect': (blue_coverage - 2.5) / 1.5 * 0.2}}, {{'feature': 'red_coverage', 'effect': (red_coverage - 2.0) / 2.0 * -0.1}}]) AS e FROM sp JOIN cv USING (match_id)), k AS (SELECT match_id, e.feature AS feature, e.effect AS effect, row_number() OVER (PARTITION BY match_id ORDER BY abs(e.effect) DESC, e.feature DESC) AS i FROM f) SELECT match_id, CAST(i - 1 AS INT) AS rank, feature, round(effect + 3.17e-8, 4) + 0.0 AS effect, CASE WHEN effect > 0 THEN 'blue' ELSE 'red' END AS favours FROM k WHERE i <= 2"
 SQL["snapshot_reloaded"] = SQL["snapshot_champ_role"]

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.ml.regression import IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,18 +11,19 @@ from pyspark.sql import functions as F
 from tenfold.sources.tables import staged
 
 from . import mlops
+from .boosting import Boosted
 
 
 class Predictor:
     """A chosen model with its calibrator."""
 
-    def __init__(self, name: str, features: list[str], linear: mlops.LinearModel | None = None, boosted: tuple[PipelineModel, dict] | None = None, isotonic: IsotonicRegressionModel | None = None):
+    def __init__(self, name: str, features: list[str], linear: mlops.LinearModel | None = None, boosted: Boosted | None = None, isotonic: IsotonicRegressionModel | None = None):
         self.name, self.features, self.linear, self.boosted, self.isotonic = name, features, linear, boosted, isotonic
 
     def raw(self, frame: DataFrame) -> DataFrame:
         if self.name == "logistic":
             return self.linear.predict(frame)
-        return mlops.boosted_scores(self.boosted[0], self.boosted[1], mlops.aligned(frame, self.features))
+        return self.boosted.predict(frame)
 
     def predict(self, frame: DataFrame) -> DataFrame:
         """(match_id, p): calibrated and within [0.01, 0.99]."""
@@ -34,23 +34,22 @@ class Predictor:
         if self.linear:
             self.linear.save(spark, f"{folder}/linear")
         if self.boosted:
-            self.boosted[0].write().overwrite().save(f"{folder}/boosted")
+            self.boosted.save(spark, f"{folder}/boosted")
         if self.isotonic:
             self.isotonic.write().overwrite().save(f"{folder}/isotonic")
-        side = {"model": self.name, "features": self.features, "linear": bool(self.linear), "stats": self.boosted and self.boosted[1], "isotonic": bool(self.isotonic), "results": results}
+        side = {"model": self.name, "features": self.features, "linear": bool(self.linear), "boosted": bool(self.boosted), "isotonic": bool(self.isotonic), "results": results}
         spark.createDataFrame([(json.dumps(side, default=str),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> tuple[Predictor, dict]:
         side = json.loads(spark.read.text(f"{folder}/meta").first()[0])
         linear = mlops.LinearModel.load(spark, f"{folder}/linear") if side["linear"] else None
-        stats = side["stats"] and {k: tuple(v) for k, v in side["stats"].items()}
-        boosted = (PipelineModel.load(f"{folder}/boosted"), stats) if stats else None
+        boosted = Boosted.load(spark, f"{folder}/boosted") if side["boosted"] else None
         isotonic = IsotonicRegressionModel.load(f"{folder}/isotonic") if side["isotonic"] else None
         return cls(side["model"], side["features"], linear, boosted, isotonic), side["results"]
 
 
-def train(frame: DataFrame, names: list[str] | None = None, min_coverage: int = 0, rounds: int = 100, top: int = 15) -> tuple[Predictor, dict]:
+def train(frame: DataFrame, names: list[str] | None = None, min_coverage: int = 0, rounds: int = 600, top: int = 15) -> tuple[Predictor, dict]:
     """The model and its results from a feature table: a logistic one unless boosting is surely better on the test part.
 
     Validation and test rows stay as they are; only training rows are mirrored.  The results hold one row
@@ -64,13 +63,13 @@ def train(frame: DataFrame, names: list[str] | None = None, min_coverage: int =
     results = {"split": [r.asDict() for r in mlops.split_summary(rows).collect()], "baseline": row(mlops.constant_baseline(mirrored, part("test")))}
 
     linear = mlops.LinearModel.fit(mirrored, names)
-    model, info = mlops.fit_boosted(mirrored, names, rounds)
-    models = {"logistic": Predictor("logistic", names, linear), "boosted": Predictor("boosted", names, None, (model, info["stats"]))}
+    model, importance = mlops.fit_boosted(mirrored, names, rounds)
+    models = {"logistic": Predictor("logistic", names, linear), "boosted": Predictor("boosted", names, None, model)}
     scored = {k: staged(m.raw(part("test")).join(label, "match_id"), f"scores-{k}") for k, m in models.items()}
     results |= {k: row(mlops.metrics(s)) for k, s in scored.items()}
     both = scored["boosted"].select("match_id", "y", F.col("p").alias("p_a")).join(scored["logistic"].select("match_id", F.col("p").alias("p_b")), "match_id")
     results["boosted_vs_logistic"] = versus = row(mlops.paired_bootstrap(both))
-    results["top_features"] = dict(sorted(info["importance"].items(), key=lambda x: -x[1])[:top])
+    results["top_features"] = dict(sorted(importance.items(), key=lambda x: -x[1])[:top])
 
     best = models[mlops.chosen(versus["ci_low"])]
     best.isotonic, results["calibration"] = mlops.calibrator(best.raw(part("val")).join(label, "match_id"))

@@ -63,12 +63,18 @@ def asof_sums(writes: DataFrame, reads: DataFrame, keys: list[str], sums: dict[s
     return prior_sums(written.unionByName(asked), keys, {n: f"_w_{n}" for n in names}, block).where("_row IS NOT NULL").select("_row.*", *names)
 
 
-def running_mean(df: DataFrame, key: str, order: list[str], values: list[str], block: int = BLOCK) -> DataFrame:
-    """Adds <value>_mean: the mean of earlier rows of the key, row by row in ``order`` (of which seq is the first), nulls left out."""
+def running_mean(df: DataFrame, key: str, order: list[str], values: list[str], block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
+    """Adds <value>_mean: the mean of earlier rows of the key, row by row in ``order`` (of which seq is the first), nulls left out.
+
+    ``known`` (key, sum_<value>, count_<value>) has what came before all rows of df.
+    """
     at = df.withColumn("_block", F.floor(F.col("seq") / block))
     blocks = at.groupBy(key, "_block").agg(*[f(v).alias(f"_{t}_{v}") for v in values for t, f in (("s", F.sum), ("c", F.count))])
     earlier = Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = blocks.select(key, "_block", *[F.coalesce(F.sum(f"_{t}_{v}").over(earlier), F.lit(0)).alias(f"_o{t}_{v}") for v in values for t in "sc"])
+    if known is not None:
+        more = known.select(key, *[F.col(f"{n}_{v}").alias(f"_k{t}_{v}") for v in values for t, n in (("s", "sum"), ("c", "count"))])
+        offsets = offsets.join(more, key, "left").select(key, "_block", *[(F.col(f"_o{t}_{v}") + F.coalesce(f"_k{t}_{v}", F.lit(0))).alias(f"_o{t}_{v}") for v in values for t in "sc"])
     inside = Window.partitionBy(key, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     total = lambda v: F.coalesce(F.sum(v).over(inside), F.lit(0.0)) + F.col(f"_os_{v}")
     many = lambda v: F.coalesce(F.count(v).over(inside), F.lit(0)) + F.col(f"_oc_{v}")

@@ -29,18 +29,28 @@ def role_counts(df: DataFrame) -> DataFrame:
 
 def role_scores(df: DataFrame) -> DataFrame:
     """Adds scores: for each role the weighted log probabilities of champion, player and pair."""
+    return scored_roles(role_counts(df))
+
+
+def scored_roles(counted: DataFrame) -> DataFrame:
+    """``role_scores`` of rows that have the three arrays of games by role."""
 
     def logs(c: str, alpha: float) -> str:
         total = f"aggregate({c}, 0L, (a, x) -> a + x)"
         return f"transform({c}, x -> CASE WHEN {total} = 0 THEN ln(0.2D) ELSE ln((x + {alpha}D) / ({total} + {5 * alpha}D)) END)"
 
     both = f"zip_with({logs('by_champion', 0.5)}, {logs('by_player', 1.0)}, (a, b) -> a + 0.6D * b)"
-    return role_counts(df).withColumn("scores", F.expr(f"zip_with({both}, {logs('by_pair', 2.0)}, (a, b) -> a + 1.6D * b)")).drop("by_champion", "by_player", "by_pair")
+    return counted.withColumn("scores", F.expr(f"zip_with({both}, {logs('by_pair', 2.0)}, (a, b) -> a + 1.6D * b)")).drop("by_champion", "by_player", "by_pair")
 
 
 def assigned_roles(df: DataFrame) -> DataFrame:
     """(match_id, puuid, role): the one-to-one assignment of each team's five with the highest score; ties go to the first in order. Other team sizes get roles in turn."""
-    team = role_scores(df).groupBy("match_id", "team_id").agg(F.sort_array(F.collect_list(F.struct("pos_idx", "puuid", "scores"))).alias("t"))
+    return best_roles(role_scores(df))
+
+
+def best_roles(scored: DataFrame) -> DataFrame:
+    """``assigned_roles`` of rows that have scores."""
+    team = scored.groupBy("match_id", "team_id").agg(F.sort_array(F.collect_list(F.struct("pos_idx", "puuid", "scores"))).alias("t"))
     orders = list(permutations(range(5)))
     perms = F.array(*[F.array(*[F.lit(5 * i + r) for i, r in enumerate(p)]) for p in orders])
     # a total to nine places and the order's number in one integer: the highest total wins, then the first order
@@ -69,6 +79,19 @@ def player_features(df: DataFrame) -> DataFrame:
             "_first": F.array(*[over(f"min(CASE WHEN pos_idx = {r} THEN seq END)", P, None) for r in range(5)]),
         }
     ).withColumns({"_cg": over("count(*)", PC), "_cw": over("sum(win)", PC)})
+    keep = player_values(at).select(*df.columns, *[f for f in PLAYER_FEATURES if f != "champ_role_winrate"])
+    writes = df.selectExpr("patch", "champion_id", "pos_idx AS role", "seq", "win")
+    read = asof_sums(writes, df.select("patch", "champion_id", "role", "seq", *ID), ["patch", "champion_id", "role"], {"_g": "1", "_w": "win"})
+    return keep.join(read.select(*ID, champion_role_winrate().alias("champ_role_winrate")), ID)
+
+
+def champion_role_winrate() -> Column:
+    """From games _g and wins _w of a champion in a role and patch."""
+    return smoothed(F.col("_w"), F.col("_g"), 0.5, 50)
+
+
+def player_values(at: DataFrame) -> DataFrame:
+    """Adds PLAYER_FEATURES but champ_role_winrate, from what is known of a player and its champion before a contest: n, w, _rn, _rw, _last, _times, rg, rw, _first, _cg, _cw and the five means."""
     main = "array_max(transform(sequence(0, 4), r -> CASE WHEN rg[r] > 0 THEN struct(rg[r] AS g, -_first[r] AS f, r AS r) END)).r"
     base = smoothed(F.col("w"), F.col("n"), 0.5, 10)
     rg, rw = F.col("rg")[F.col("role")], F.col("rw")[F.col("role")]
@@ -81,13 +104,10 @@ def player_features(df: DataFrame) -> DataFrame:
             "days_since_last": days_between(F.col("ts_s"), F.col("_last")), "games_today": F.expr(f"cast(size(filter(_times, t -> ts_s - t <= {DAY_S})) AS double)"),
         }
     )
-    keep = out.select(*df.columns, *[f for f in PLAYER_FEATURES if f != "champ_role_winrate"])
-    writes = df.selectExpr("patch", "champion_id", "pos_idx AS role", "seq", "win")
-    read = asof_sums(writes, df.select("patch", "champion_id", "role", "seq", *ID), ["patch", "champion_id", "role"], {"_g": "1", "_w": "win"})
-    return keep.join(read.select(*ID, smoothed(F.col("_w"), F.col("_g"), 0.5, 50).alias("champ_role_winrate")), ID)
+    return out
 
 
-def _curve(prefix: str, weight: float) -> Column:
+def curve(prefix: str, weight: float) -> Column:
     """Smoothed win rate of long less that of short contests, from sums <prefix>sg, sw, lg, lw."""
     long = smoothed(F.col(f"{prefix}lw"), F.col(f"{prefix}lg"), 0.5, weight)
     short = smoothed(F.col(f"{prefix}sw"), F.col(f"{prefix}sg"), 0.5, weight)
@@ -100,26 +120,31 @@ CURVE = {"sg": f"CASE WHEN duration_s < {SHORT_S} THEN 1 ELSE 0 END", "sw": f"CA
 def duration_preference(df: DataFrame) -> DataFrame:
     """Adds duration_preference of the player."""
     out = df.withColumns({f"_d{k}": over(f"sum({e})", P) for k, e in CURVE.items()})
-    return out.withColumn("duration_preference", _curve("_d", 8)).drop(*[f"_d{k}" for k in CURVE])
+    return out.withColumn("duration_preference", curve("_d", 8)).drop(*[f"_d{k}" for k in CURVE])
 
 
 def champion_scaling(df: DataFrame) -> DataFrame:
     """(match_id, puuid, champion_scaling): read by role, written by true role."""
     read = asof_sums(df.selectExpr("champion_id", "pos_idx AS role", "seq", "win", "duration_s"), df.select("champion_id", "role", "seq", *ID), ["champion_id", "role"], CURVE)
-    return read.select(*ID, _curve("", 40).alias("champion_scaling"))
+    return read.select(*ID, curve("", 40).alias("champion_scaling"))
 
 
-def trait_residuals(df: DataFrame, traits: list[str] = TRAITS) -> DataFrame:
-    """Adds r_<trait>: the value less the mean of all earlier rows of its role; 0 for the first."""
-    out = running_mean(df, "pos_idx", ["seq", "team_id", "pos_idx", "puuid"], traits)
+def trait_residuals(df: DataFrame, traits: list[str] = TRAITS, known: DataFrame | None = None) -> DataFrame:
+    """Adds r_<trait>: the value less the mean of all earlier rows of its role; 0 for the first. ``known`` has the sums and counts of rows before all of df, by role."""
+    out = running_mean(df, "pos_idx", ["seq", "team_id", "pos_idx", "puuid"], traits, known=known)
     return out.withColumns({f"r_{t}": F.col(t) - F.coalesce(F.col(f"{t}_mean"), F.col(t)) for t in traits}).drop(*[f"{t}_mean" for t in traits])
 
 
 def player_style(df: DataFrame) -> DataFrame:
     """Adds s_<trait> (mean of earlier residuals), style_games, duration_preference and aggression."""
     out = trait_residuals(df).withColumns({f"s_{t}": over(f"avg(r_{t})", P, None) for t in TRAITS} | {"style_games": over("count(*)", P).cast("double")})
+    return duration_preference(out.drop(*[f"r_{t}" for t in TRAITS])).withColumn("aggression", aggression())
+
+
+def aggression() -> Column:
+    """The mean of the style means that tell it, those that are known."""
     mean = f"array_compact(array({', '.join(f's_{t}' for t in AGGRESSION)}))"
-    return duration_preference(out.drop(*[f"r_{t}" for t in TRAITS])).withColumn("aggression", F.expr(f"CASE WHEN size({mean}) > 0 THEN aggregate({mean}, 0D, (a, x) -> a + x) / size({mean}) END"))
+    return F.expr(f"CASE WHEN size({mean}) > 0 THEN aggregate({mean}, 0D, (a, x) -> a + x) / size({mean}) END")
 
 
 def pair_history(df: DataFrame) -> DataFrame:
@@ -130,7 +155,12 @@ def pair_history(df: DataFrame) -> DataFrame:
 
 def premade_pairs(df: DataFrame, least: int = 2) -> DataFrame:
     """(match_id, team_id, premade_pairs)"""
-    return pair_history(df).groupBy("match_id", "team_id").agg(F.sum((F.col("together") >= least).cast("int")).cast("double").alias("premade_pairs"))
+    return premades(pair_history(df), least)
+
+
+def premades(pairs: DataFrame, least: int = 2) -> DataFrame:
+    """Pairs of teammates that were on one team that often, by team."""
+    return pairs.groupBy("match_id", "team_id").agg(F.sum((F.col("together") >= least).cast("int")).cast("double").alias("premade_pairs"))
 
 
 def side(agg, value: str | Column, team: int) -> Column:
@@ -165,12 +195,16 @@ SUMMARY = {"aggression": "aggression", "scaling": "duration_preference", "damage
 
 def style_differences(df: DataFrame) -> DataFrame:
     """One row of each contest: style means, champion scaling, lanes, premades and interaction terms. df has role."""
-    styled = player_style(df).join(champion_scaling(df), ID)
+    return style_rows(player_style(df).join(champion_scaling(df), ID), premade_pairs(df))
+
+
+def style_rows(styled: DataFrame, premade: DataFrame) -> DataFrame:
+    """``style_differences`` of rows with their styles and champion scaling, and of the premade pairs by team."""
     lanes = [(F.max(F.when((F.col("team_id") == 100) & (F.col("role") == i), F.col(f"s_{t}"))) - F.max(F.when((F.col("team_id") == 200) & (F.col("role") == i), F.col(f"s_{t}")))).alias(f"d_lane_{role.lower()}_{t}") for i, role in enumerate(ROLES) for t in LANE_TRAITS]
     means = [difference(F.avg, c).alias(f"d_style_{t}_mean") for t, c in [*((t, f"s_{t}") for t in TRAITS), ("duration_preference",) * 2, ("style_games",) * 2]]
     sides = [side(F.avg, c, team).alias(f"{name}_{k}") for k, c in SUMMARY.items() for team, name in ((100, "blue"), (200, "red"))]
     rows = styled.groupBy("match_id").agg(*means, difference(F.avg, "champion_scaling").alias("d_champ_scaling_mean"), *lanes, *sides)
-    pairs = premade_pairs(df).groupBy("match_id").agg(difference(F.max, "premade_pairs").alias("d_premade_pairs"))
+    pairs = premade.groupBy("match_id").agg(difference(F.max, "premade_pairs").alias("d_premade_pairs"))
     return interaction_terms(rows.join(pairs, "match_id")).drop(*[f"{s}_{k}" for k in SUMMARY for s in ("blue", "red")])
 
 

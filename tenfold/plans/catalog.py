@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from tenfold.functions.scalars import anonymous_id, epoch_seconds, parse_patch, parse_target, patch_number, smoothed
 from tenfold.operators import features as X
-from tenfold.operators import frontier, graph, ingest
+from tenfold.operators import frontier, graph, ingest, state
 from tenfold.operators.causal import asof_sums, before, exactly_ten, last, over, with_seq
 from tenfold.schemas import PLAYER_FEATURES, TRAITS
 from tenfold.sources.fixtures import contests, edges, states, table
-from tenfold.sources.tables import latest, new_rows
+from tenfold.sources.tables import latest, new_path, new_rows
 
 from . import mlops, predict
 
@@ -411,6 +411,17 @@ def predict_one(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(predict.predict(live, df))
 
 
+@query
+def predict_from_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The row of predict_one from the stored state: folded from two parts of the earlier contests, saved, and read back for the live contest's players."""
+    df = contests(spark, sf)
+    before, live = df.where(F.col("seq") < F.col("n_seq") - 1), df.where(F.col("seq") == F.col("n_seq") - 1)
+    folder = new_path(spark, "state")
+    state.save(state.delta(before.where(F.col("seq") < F.floor(F.col("n_seq") / 2))), f"{folder}/half")
+    state.save(state.fold(state.load(spark, f"{folder}/half"), before.where(F.col("seq") >= F.floor(F.col("n_seq") / 2))), f"{folder}/whole")
+    return rounded(state.live_matrix(live, state.load(spark, f"{folder}/whole")))
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     return Q["feature_matrix"](spark, sf)
 

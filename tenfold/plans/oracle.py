@@ -200,7 +200,7 @@ SQL = {
     "snapshot_meta": BASE + " SELECT count(DISTINCT match_id) AS matches, arg_max(patch, seq) AS latest_patch, 1 AS version FROM c",
     "eligibility": BASE + " SELECT DISTINCT match_id, CASE WHEN match_id LIKE '%2' THEN 'platform=' WHEN match_seq % 5 = 0 THEN 'platform=KR' WHEN match_id LIKE '%4' THEN 'queue=0' WHEN match_seq % 7 = 0 THEN 'queue=400' WHEN match_seq % 9 = 0 THEN 'participants=8' WHEN match_seq % 11 = 0 THEN 'anonymous' END AS reason FROM c",
 }
-SQL["predict_one"] = SQL["feature_matrix"] + " WHERE match_id = (SELECT max(match_id) FROM tf)"
+SQL["predict_one"] = SQL["predict_from_state"] = SQL["feature_matrix"] + " WHERE match_id = (SELECT max(match_id) FROM tf)"
 
 SPLIT = SCORED + ", pt AS (SELECT DISTINCT match_id, patch FROM c), o AS (SELECT sco.*, patch, game_start, row_number() OVER (ORDER BY seq) - 1 AS i, count(*) OVER () AS n FROM sco JOIN pt USING (match_id) JOIN (SELECT DISTINCT match_id, game_start FROM c) USING (match_id)), sp AS (SELECT *, CASE WHEN i < n - greatest(1, floor(n * 0.2)) - greatest(1, floor(n * 0.1)) THEN 'train' WHEN i < n - greatest(1, floor(n * 0.2)) THEN 'val' ELSE 'test' END AS part FROM o)"
 ENTRIES = "WITH en AS (SELECT CASE WHEN c_custkey % 7 = 0 THEN '' WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS puuid, CASE WHEN c_custkey % 5 <> 0 THEN c_mktsegment END AS tier, CAST(c_nationkey AS INT) AS lp, CAST(c_custkey % 9 AS INT) AS wins, CAST(c_custkey % 8 AS INT) AS losses FROM customer)"

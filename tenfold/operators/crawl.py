@@ -1,21 +1,25 @@
 """The collecting loops over stored tables: seed, expand, drain, crawl, discover, densify, extras.
 
 Tables that only grow are keyed appends.  Players and matches change their state: each change
-appends whole rows with a higher step, and the state is the last step of each key, so that a
-run that is cut off leaves a table that can be read.  Every step is a few joins over a batch
-of ids; the driver keeps counts only.
+appends whole rows with a higher step, and the state is the last step of each key.  A batch
+changes all its tables in one commit, so that a run that is cut off leaves none of them ahead
+of the others; small folders are merged as they gather.  Every step is a few joins over a
+batch of ids, and rows of other keys are left out before anything is grouped; the driver
+keeps counts only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tenfold.schemas import KEYS, TABLES
-from tenfold.sources.tables import insert_new, latest, new_rows, read_table, staged, unread_payloads
+from tenfold.sources.commits import Tables
+from tenfold.sources.tables import latest, new_rows, staged, unread_payloads
 
 from . import frontier, ingest
 
@@ -26,38 +30,42 @@ Fetch = Callable[[DataFrame], DataFrame]
 class Store:
     def __init__(self, spark: SparkSession, folder: str, now: Column | None = None):
         self.spark, self.folder, self.now = spark, folder, F.current_timestamp().cast("timestamp_ntz") if now is None else now
+        self.tables = Tables(spark, folder, {name: partial(self._latest_rows, name) for name in CHANGING})
+
+    @staticmethod
+    def _latest_rows(name: str, log: DataFrame) -> DataFrame:
+        return latest(log, KEYS[name], "step").select(*TABLES[name].names, "step")
+
+    def _of(self, df: DataFrame, of: DataFrame | None) -> DataFrame:
+        return df if of is None else df.join(of.distinct(), of.columns, "left_semi")
 
     def log(self, name: str) -> DataFrame:
-        return read_table(self.spark, self.folder, name, T.StructType([*TABLES[name].fields, T.StructField("step", T.LongType())]))
+        return self.tables.read(name, T.StructType([*TABLES[name].fields, T.StructField("step", T.LongType())]))
 
-    def read(self, name: str) -> DataFrame:
-        """A table's rows as they are now."""
+    def read(self, name: str, of: DataFrame | None = None) -> DataFrame:
+        """A table's rows as they are now; ``of`` asks for those of some keys (or first parts of keys) only."""
         if name not in CHANGING:
-            return read_table(self.spark, self.folder, name)
-        return latest(self.log(name), KEYS[name], "step").select(*TABLES[name].names)
+            return self._of(self.tables.read(name, TABLES[name]), of)
+        return self._latest_rows(name, self._of(self.log(name), of)).select(*TABLES[name].names)
 
     def insert(self, name: str, rows: DataFrame) -> int:
         """Append rows with new keys; returns how many."""
-        if name not in CHANGING:
-            return insert_new(rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]]), self.folder, name, KEYS[name])
-        return self.put(name, new_rows(rows.select(*TABLES[name].names), self.read(name), KEYS[name]))
+        rows = staged(rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]]), f"insert-{name}")
+        fresh = new_rows(rows, self.read(name, rows.select(*KEYS[name])), KEYS[name])
+        return self.put(name, fresh) if name in CHANGING else self.tables.add(name, fresh)
 
     def put(self, name: str, rows: DataFrame) -> int:
-        """Append changed rows as the next step; returns how many."""
-        step = (self.log(name).agg(F.max("step")).first()[0] or 0) + 1
-        rows = staged(rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]], F.lit(step).cast("long").alias("step")), f"change-{name}")
-        n = rows.count()
-        if n:
-            rows.write.mode("append").parquet(f"{self.folder}/{name}")
-        return n
+        """Append changed rows with the commit's number as their step; returns how many."""
+        return self.tables.add(name, rows.select(*[F.col(f.name).cast(f.dataType) for f in TABLES[name]], F.lit(self.tables.step).cast("long").alias("step")))
 
     # -- steps
 
     def seed(self, entries: DataFrame, queue: str = "RANKED_SOLO_5x5", source: str = "seed") -> int:
         """Ladder entries become players, with a rank snapshot each; returns the new players."""
         entries = staged(entries, "seed")
-        added = self.insert("crawl_players", frontier.players(entries, source, self.now))
-        self.insert("player_ranks", frontier.rank_snapshots(entries, queue, self.now))
+        with self.tables.together():
+            added = self.insert("crawl_players", frontier.players(entries, source, self.now))
+            self.insert("player_ranks", frontier.rank_snapshots(entries, queue, self.now))
         return added
 
     def expand(self, n: int, match_ids: Fetch, seed: int | None = None) -> tuple[int, int]:
@@ -67,21 +75,21 @@ class Store:
         """
         claimed = staged(frontier.claim(self.read("crawl_players"), n, seed), "claimed")
         got = staged(match_ids(claimed.select("puuid")).where("ids IS NOT NULL"), "listed")
-        old, matches = self.read("match_discoveries"), self.read("crawl_matches")
-        batch = got.select("puuid", F.explode("ids").alias("match_id")).distinct()
-        edges, unseen, after = frontier.add_discoveries(old, matches, batch, self.now)
-        touched = staged(after.join(edges.select("match_id").distinct(), "match_id", "left_semi"), "touched")
+        batch = staged(got.select("puuid", F.explode("ids").alias("match_id")).distinct(), "batch")
+        of = batch.select("match_id")
+        _, unseen, after = frontier.add_discoveries(self.read("match_discoveries", of), self.read("crawl_matches", of), batch, self.now)
         mapped = staged(unseen, "unseen").count()
-        self.put("crawl_matches", touched)
-        self.insert("match_discoveries", batch)
         done = got.groupBy("puuid").agg(F.first(F.size("ids")).alias("n_match_ids"))
-        return self.put("crawl_players", frontier.processed(claimed, done, self.now).where("processed_at IS NOT NULL")), mapped
+        with self.tables.together():
+            self.put("crawl_matches", after)
+            self.insert("match_discoveries", batch)
+            return self.put("crawl_players", frontier.processed(claimed, done, self.now).where("processed_at IS NOT NULL")), mapped
 
     def drain(self, n: int, fetch: Fetch, least: int = 0, use_plan: bool = False, enqueue: bool = True, queue_id: int | None = 420, min_patch: tuple[int, int] = (0, 0), max_attempts: int = 4) -> tuple[int, int]:
         """Fetch n pending matches and store what is valid; returns (asked, stored).
 
-        ``fetch`` gives (match_id, status, payload) for (match_id).  matches is written after its
-        participants and payloads, and the states come last: a run cut off is taken up again.
+        ``fetch`` gives (match_id, status, payload) for (match_id).  Payloads, rows and states count
+        at once: a run cut off has stored nothing of its batch and is taken up again.
         """
         matches = self.read("crawl_matches")
         ids = staged(frontier.next_pending(matches.where(F.col("discovery_count") >= least) if least else matches, self.read("crawl_plan") if use_plan else None, n).select("match_id"), "asked")
@@ -90,15 +98,47 @@ class Store:
             return 0, 0
         got = staged(ingest.answered(fetch(ids), queue_id, min_patch), "answers")
         valid = got.where("state = 'stored'")
-        self.insert("participants", ingest.flat_participants(valid))
-        self.insert("raw_matches", valid.select("match_id", self.now.alias("fetched_at"), "patch", "payload"))
-        stored = self.insert("matches", ingest.flat_matches(valid).drop("winner_inferred"))
-        if enqueue:
-            seen = ingest.participant_ids(valid).select("puuid").distinct()
-            self.insert("crawl_players", frontier.players(seen.select("puuid", *[F.lit(None).cast(t).alias(c) for c, t in (("tier", "string"), ("rank", "string"), ("leaguePoints", "int"))]), "snowball", self.now))
-        self.put("crawl_matches", ingest.states_after(matches.join(ids, "match_id", "left_semi"), got, self.now, max_attempts))
+        with self.tables.together():
+            stored = self._store(valid)
+            if enqueue:
+                seen = ingest.participant_ids(valid).select("puuid").distinct()
+                self.insert("crawl_players", frontier.players(seen.select("puuid", *[F.lit(None).cast(t).alias(c) for c, t in (("tier", "string"), ("rank", "string"), ("leaguePoints", "int"))]), "snowball", self.now))
+            self.put("crawl_matches", ingest.states_after(self.read("crawl_matches", ids), got, self.now, max_attempts))
         return asked, stored
 
+    def _store(self, valid: DataFrame) -> int:
+        """Payloads, participants and matches of valid answers; returns the new matches."""
+        with self.tables.together():
+            self.insert("participants", ingest.flat_participants(valid))
+            self.insert("raw_matches", valid.select("match_id", self.now.alias("fetched_at"), "patch", "payload"))
+            return self.insert("matches", ingest.flat_matches(valid).drop("winner_inferred"))
+
+    def top_up(self, players: DataFrame, games: int, match_ids: Fetch, fetch: Fetch, queue_id: int | None = 420) -> int:
+        """Ask for and store what the history of players (puuid) lacks of that many games; returns the new matches.
+
+        Players without an id of their own (anon:) are not asked for.  Of each, as many of the latest
+        listed ids as are lacking are looked at, those not stored are fetched, and the valid ones stored
+        with their extras in one commit: what is read back afterwards has them.
+        """
+        known = players.select("puuid").where("puuid IS NOT NULL AND puuid NOT LIKE 'anon:%'").distinct()
+        depth = known.join(self.read("participants").join(known, "puuid", "left_semi").groupBy("puuid").agg(F.count("*").alias("games")), "puuid", "left").select("puuid", F.coalesce("games", F.lit(0)).alias("games"))
+        short = staged(depth.where(F.col("games") < games).select("puuid", (F.lit(games) - F.col("games")).alias("need")), "short")
+        if short.isEmpty():
+            return 0
+        listed = staged(match_ids(short.select("puuid")).where("ids IS NOT NULL").join(short, "puuid").select(F.explode(F.expr("slice(ids, 1, cast(need AS int))")).alias("match_id")).distinct(), "listed")
+        wanted = listed.join(self.read("matches", listed), "match_id", "left_anti")
+        got = staged(ingest.answered(fetch(wanted), queue_id, (0, 0)), "answers")
+        valid = got.where("state = 'stored'")
+        with self.tables.together():
+            stored = self._store(valid)
+            self.insert("participant_extras", ingest.flat_extras(valid))
+        return stored
+
+    def history(self, players: DataFrame) -> DataFrame:
+        """The rows (match, participant, extras) of all stored matches in which one of the players (puuid) was."""
+        ids = self.read("participants").join(players.select("puuid").distinct(), "puuid", "left_semi").select("match_id").distinct()
+        return self.read("matches", ids).join(self.read("participants", ids), "match_id").join(self.read("participant_extras", ids), ["match_id", "puuid"], "left")
+
     def add_extras(self, only_missing: bool = True) -> int:
         """The wide metrics of stored payloads; keys that exist are never overwritten. Returns the new rows."""
         raw = unread_payloads(self.read("raw_matches"), self.read("participant_extras"), only_missing)

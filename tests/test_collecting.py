@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from tenfold.functions.scalars import parse_limits, parse_patch_floor, parse_target
 from tenfold.operators import crawl, frontier, graph
 from tenfold.plans import collecting, predict
-from tenfold.schemas import ROLES
-from tenfold.sources import http
+from tenfold.schemas import ROLES, TABLES
+from tenfold.sources import commits, http
 from tenfold.sources.fixtures import edges, states
 from tenfold.sources.tables import payload_of, read_table
 
@@ -140,7 +140,7 @@ def test_discover_then_densify(spark, store):
     assert store.densify(100, fetch, least=6, enqueue=False)[1] == len([m for m, n in counts.items() if n >= 6 and m not in ("M3", "M4")])
     assert store.read("crawl_players").count() == 6
     store.put("crawl_plan", frontier.set_plan(spark.createDataFrame([("M5",), ("M9",)], "match_id string")))
-    assert store.densify(1, fetch, use_plan=True, enqueue=False) in {(1, 1), (0, 0)}
+    assert store.densify(1, fetch, use_plan=True, enqueue=False) == (1, 1)
     dead = store.read("crawl_matches").where("match_id = 'M8'")
     for _ in range(4):
         dead = frontier.after_failures(dead, dead, F.lit("2026-01-01").cast("timestamp_ntz"))
@@ -152,6 +152,60 @@ def test_tables_never_written_are_empty(spark, store):
     assert read_table(spark, store.folder, "crawl_plan").columns == ["match_id", "priority"]
 
 
+def test_a_run_cut_off_between_two_tables_reads_as_before(spark, store, monkeypatch):
+    match_ids, fetch = source(spark)
+    seeded(spark, store, "p0", "p1")
+    store.expand(1, match_ids)
+    before = {name: sorted(map(str, store.read(name).collect())) for name in TABLES}
+
+    def killed(self, name, rows, real=crawl.Store.put):
+        if name == "crawl_matches":
+            raise KeyboardInterrupt
+        return real(self, name, rows)
+
+    with monkeypatch.context() as m:
+        m.setattr(crawl.Store, "put", killed)
+        with pytest.raises(KeyboardInterrupt):
+            store.drain(3, fetch)
+    assert {name: sorted(map(str, store.read(name).collect())) for name in TABLES} == before
+    again = crawl.Store(spark, store.folder, store.now)
+    assert again.drain(3, fetch)[0] == 3 and again.read("matches").count() == again.read("crawl_matches").where("state = 'stored'").count() > 0
+
+
+def test_folders_stay_few(spark, store, tmp_path, monkeypatch):
+    """Thirty changes of the same keys: few folders, few rows in the log, no file that does not count but those of the last merge."""
+    monkeypatch.setattr(commits, "MERGE", 4)
+    for k in range(30):
+        store.put("crawl_plan", spark.createDataFrame([("A", k), ("B", -k), (f"own{k}", 1)], "match_id string, priority int"))
+    got = {r.match_id: r.priority for r in store.read("crawl_plan").collect()}
+    assert got == {"A": 29, "B": -29} | {f"own{k}": 1 for k in range(30)}
+    folders = store.tables.folders("crawl_plan")
+    assert len(folders) <= 3 * 3 and store.log("crawl_plan").count() <= 30 + 2 * len(folders)
+    on_disk = {p.name for p in (tmp_path / "crawl_plan").iterdir()}
+    assert {f.rsplit("/", 1)[1] for f in folders} <= on_disk and len(on_disk) <= len(folders) + 8 and len(list((tmp_path / "_commits").glob("*.json"))) <= 3
+    other = commits.Tables(spark, store.folder)
+    with pytest.raises(RuntimeError, match="another writer"):
+        other._put({"number": store.tables.manifest()["number"], "tables": {}, "dropped": []})
+
+
+def test_top_up_for_serving(spark, store):
+    """Players short of games are asked for, valid answers stored and read back; hidden ones and full ones are not asked."""
+    match_ids, fetch = source(spark)
+    asked = []
+
+    def listing(players):
+        asked.extend(sorted(r.puuid for r in players.collect()))
+        return match_ids(players)
+
+    live = spark.createDataFrame([("p0",), ("p1",), ("anon:7:1",), (None,)], "puuid string")
+    # p0 lists M0, M6 to M11, p1 lists M0, M1, M7 to M11: the first three of each
+    assert store.top_up(live, 3, listing, fetch) == 4 and asked == ["p0", "p1"]
+    history = store.history(live)
+    assert {r.match_id for r in history.select("match_id").distinct().collect()} == {"M0", "M1", "M6", "M7"}
+    assert history.count() == 40 and history.where("solo_kills IS NULL").count() == 0 and history.where("puuid = 'p0'").count() >= 3
+    assert store.top_up(live, 3, listing, fetch) == 0 and store.top_up(spark.createDataFrame([("p14",)], "puuid string"), 99, match_ids, fetch) == 0
+
+
 def test_greedy_top_up_against_a_plain_twin(spark):
     e = edges(spark, SF)
     plan, targets = frontier.set_plan(e.where("match_id % 10 = 0")), frontier.fully_covered(e, collecting.catalog._known(spark, SF), 2)

@@ -60,9 +60,17 @@ class Store:
 
     # -- steps
 
-    def seed(self, entries: DataFrame, queue: str = "RANKED_SOLO_5x5", source: str = "seed") -> int:
-        """Ladder entries become players, with a rank snapshot each; returns the new players."""
+    def seed(self, entries: DataFrame, queue: str = "RANKED_SOLO_5x5", source: str = "seed", summoners: Fetch | None = None) -> int:
+        """Ladder entries become players, with a rank snapshot each; returns the new players.
+
+        ``summoners`` gives (summonerId, puuid) for (summonerId): entries without a puuid are asked
+        for, each id once; those it does not know, or all of them without it, are left out.
+        """
         entries = staged(entries, "seed")
+        if summoners is not None:
+            asked = entries.where("puuid IS NULL AND summonerId IS NOT NULL").select("summonerId").distinct()
+            told = summoners(asked).where("puuid IS NOT NULL").groupBy("summonerId").agg(F.min("puuid").alias("told"))
+            entries = staged(entries.join(told, "summonerId", "left").withColumn("puuid", F.coalesce("puuid", "told")).select(*entries.columns), "seed")
         with self.tables.together():
             added = self.insert("crawl_players", frontier.players(entries, source, self.now))
             self.insert("player_ranks", frontier.rank_snapshots(entries, queue, self.now))

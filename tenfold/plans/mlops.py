@@ -134,9 +134,49 @@ def paired_bootstrap(df: DataFrame, draws: int = 2000, seed: int = 0, y: str = "
     return gains.agg(F.avg("g").alias("mean_gain")).crossJoin(edges)
 
 
-def moments(train: DataFrame, names: list[str], accuracy: int = 100_000) -> dict[str, tuple[float, float, float]]:
-    """(median, mean, population deviation) by name after the median is put in for nulls; a column of nulls is constant 0. The median comes from a sketch, a row in ``accuracy`` off in rank at most."""
-    med = train.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).alias(c) for c in names]).first()
+def medians(frame: DataFrame, names: list[str], parts: int = 1024, few: int = 1000) -> dict[str, float | None]:
+    """The exact median of each column, nulls and NaN left out; of an even number of values the mean of the middle two. None if there is no value.
+
+    All columns at once, by selection: the range of each is cut into ``parts``, the part with the
+    wanted rank is taken with the least and greatest value in it, and so on until it holds one
+    value or a ``few``, which are then looked at.  Nothing is sorted as a whole; the driver sees
+    ``parts`` counts a column and pass.
+    """
+    spark = frame.sparkSession
+    value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+    each = frame.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), value(c).alias("x")) for i, c in enumerate(names)])).alias("e")).select("e.*").where("x IS NOT NULL")
+    whole = each.groupBy("i").agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    found: dict[tuple[int, int], float] = {}
+    # (column, rank): (least value, greatest value, values, values before them)
+    open_ = {(r.i, k): (r.low, r.high, r.n, 0) for r in whole for k in {(r.n - 1) // 2, r.n // 2}}
+    while open_:
+        found |= {key: low for key, (low, high, *_) in open_.items() if low == high}
+        open_ = {key: v for key, v in open_.items() if key not in found}
+        last = {key: v for key, v in open_.items() if v[2] <= few}
+        if not open_:
+            break
+        ranges = spark.createDataFrame([(i, k, float(v[0]), float(v[1])) for (i, k), v in open_.items()], "i int, k long, low double, high double")
+        inside = each.join(F.broadcast(ranges), "i").where("x BETWEEN low AND high")  # two ranges a column at most
+        if len(last) == len(open_):
+            for r in inside.groupBy("i", "k").agg(F.sort_array(F.collect_list("x")).alias("v")).collect():
+                found[r.i, r.k] = r.v[r.k - open_[r.i, r.k][3]]
+            break
+        # halves first, as the difference of two doubles may overflow
+        part = F.least(F.floor((F.col("x") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2) * parts), F.lit(parts - 1))
+        counted = inside.groupBy("i", "k", part.alias("part")).agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high")).collect()
+        ahead = {key: v[3] for key, v in open_.items()}
+        for r in sorted(counted, key=lambda r: (r.i, r.k, r.part)):
+            key = (r.i, r.k)
+            if ahead[key] <= r.k < ahead[key] + r.n:
+                open_[key] = (r.low, r.high, r.n, ahead[key])
+            ahead[key] += r.n
+    size = {r.i: r.n for r in whole}
+    return {c: (found[i, (size[i] - 1) // 2] / 2 + found[i, size[i] // 2] / 2) if i in size else None for i, c in enumerate(names)}
+
+
+def moments(train: DataFrame, names: list[str]) -> dict[str, tuple[float, float, float]]:
+    """(median, mean, population deviation) by name after the median is put in for nulls; a column of nulls is constant 0."""
+    med = medians(train, names)
     filled = [F.coalesce(F.col(c).cast("double"), F.lit(float(med[c] or 0.0))) for c in names]
     got = train.agg(*[f(x).alias(f"{t}{i}") for i, x in enumerate(filled) for t, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
     return {c: (float(med[c] or 0.0), float(got[f"m{i}"]), float(got[f"s{i}"]) or 1.0) for i, c in enumerate(names)}

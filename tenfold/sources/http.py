@@ -94,6 +94,11 @@ def ids_in(answers: DataFrame) -> DataFrame:
     return answers.select("puuid", F.explode(F.from_json("body", "array<string>")).alias("match_id"))
 
 
+def summoners_in(answers: DataFrame) -> DataFrame:
+    """(summonerId, puuid) of answers to summoner requests; a null body gives a null puuid."""
+    return answers.select(F.col("summoner_id").alias("summonerId"), F.get_json_object("body", "$.puuid").alias("puuid"))
+
+
 def entries_in(answers: DataFrame) -> DataFrame:
     """Ladder entries of answers (tier, body): a list, or an object with a list of entries, whose rows take the tier and rank I where they name none."""
     each = F.coalesce(F.from_json("body", f"entries array<struct<{ENTRY}>>")["entries"], F.from_json("body", f"array<struct<{ENTRY}>>"))  # an object would be read as a list of one

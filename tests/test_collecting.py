@@ -116,6 +116,19 @@ def seeded(spark, store, *players):
     return store.seed(spark.createDataFrame(rows, http.ENTRY))
 
 
+def test_seed_entries_without_a_puuid_are_asked_for(spark, store):
+    rows = [(None, "s1", "GOLD", "I", 10, 1, 2), (None, "s1", "GOLD", "I", 10, 1, 2), (None, "s2", "GOLD", "I", 1, 1, 1), ("p3", "s3", "GOLD", "I", 1, 1, 1), (None, None, "GOLD", "I", 1, 1, 1)]
+    asked = []
+
+    def summoners(ids):
+        asked.extend(sorted(r.summonerId for r in ids.collect()))
+        answers = spark.createDataFrame([("s1", 200, '{"puuid": "p1"}'), ("s2", 404, None)], "summoner_id string, status int, body string")
+        return http.summoners_in(answers)
+
+    assert store.seed(spark.createDataFrame(rows, http.ENTRY), summoners=summoners) == 2 and asked == ["s1", "s2"]
+    assert {r.puuid for r in store.read("crawl_players").collect()} == {"p1", "p3"} == {r.puuid for r in store.read("player_ranks").collect()}
+
+
 def test_crawl_stores_all_that_can_be_reached(spark, store):
     match_ids, fetch = source(spark, flaky=(7,))
     assert seeded(spark, store, "p0") == 1 and seeded(spark, store, "p0") == 0

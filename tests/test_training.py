@@ -96,3 +96,21 @@ def test_coverage_filter(frame):
     assert [r.blue_coverage for r in mlops.coverage_rows(frame, 4).collect()] == [0, 1, 2, 3]
     assert mlops.aligned(frame, ["d_b", "d_new"]).columns == ["match_id", "game_start", "patch", "blue_win", "d_b", "d_new"]
     assert mlops.feature_names(frame) == ["d_a", "d_b", "blue_coverage", "red_coverage"]
+
+
+def test_medians_are_exact(spark):
+    """Against numpy: odd and even counts, nulls, NaN, ties of most rows, extreme values, one value, none."""
+    rng = random.Random(7)
+    n = 3001
+    cols = {
+        "odd": [rng.gauss(0, 1) for _ in range(n)], "even": [rng.gauss(0, 1) if i else None for i in range(n)], "ties": [float(rng.choice([1, 1, 1, 2, 3])) for _ in range(n)],
+        "halves": [float(i % 2) if i else None for i in range(n)], "wide": [rng.choice([-1, 1]) * 10.0 ** rng.uniform(-300, 307) for _ in range(n)], "nan": [float("nan") if i % 3 else float(i) for i in range(n)],
+        "one": [5.0 if i == 7 else None for i in range(n)], "none": [None] * n, "int": [float(rng.randrange(10**9)) for _ in range(n)],
+    }
+    frame = spark.createDataFrame(list(zip(*cols.values(), strict=True)), ", ".join(f"{c} double" for c in cols)).repartition(3)
+    for parts, few in ((1024, 1000), (16, 50)):
+        got = mlops.medians(frame, list(cols), parts, few)
+        for c, values in cols.items():
+            kept = [v for v in values if v is not None and not math.isnan(v)]
+            assert got[c] == (float(np.median(kept)) if kept else None), c
+    assert mlops.medians(frame.limit(0), ["odd"]) == {"odd": None}

@@ -150,9 +150,16 @@ def payload_of(raw: DataFrame, match_id: str) -> DataFrame:
     return raw.where(F.col("match_id") == match_id).select("match_id", "payload")
 
 
-def unread_payloads(raw: DataFrame, extras: DataFrame, only_missing: bool = True) -> DataFrame:
-    """Payloads whose extras are not stored yet, in one scan."""
-    return raw.join(extras.select("match_id").distinct(), "match_id", "left_anti") if only_missing else raw
+def unread_payloads(raw: DataFrame, extras: DataFrame, only_missing: bool = True, most: int = 100_000) -> DataFrame:
+    """Payloads whose extras are not stored yet.
+
+    What is missing is found by the ids alone.  Up to ``most`` ids, some megabytes, go to the scan of the
+    payloads, which are filtered where they are read; more of them are joined by a shuffle.
+    """
+    if not only_missing:
+        return raw
+    missing = staged(raw.select("match_id").distinct().join(extras.select("match_id").distinct(), "match_id", "left_anti"), "unread")
+    return raw.join(F.broadcast(missing) if missing.count() <= most else missing.hint("merge"), "match_id", "left_semi")
 
 
 def ladder(spark: SparkSession, tiers: list[str], divisions: list[str], pages: int, apex: list[str]) -> DataFrame:

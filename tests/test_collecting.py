@@ -12,7 +12,7 @@ from tenfold.functions.scalars import parse_limits, parse_patch_floor, parse_tar
 from tenfold.operators import crawl, frontier, graph
 from tenfold.plans import collecting, predict
 from tenfold.schemas import ROLES, TABLES
-from tenfold.sources import commits, http
+from tenfold.sources import commits, http, tables
 from tenfold.sources.fixtures import edges, states
 from tenfold.sources.tables import payload_of, read_table
 
@@ -160,6 +160,18 @@ def test_discover_then_densify(spark, store):
     assert dead.first().state == "error" and frontier.requeued(dead).first().state == "pending"
 
 
+def test_unread_payloads_are_not_moved(spark):
+    """Only ids are shuffled; with many missing ids the payloads are joined, with the same rows."""
+    raw = spark.createDataFrame([(f"m{i}", "x" * 100) for i in range(50)] + [(None, "y")], "match_id string, payload string")
+    extras = spark.createDataFrame([(f"m{i}", f"p{k}") for i in range(0, 50, 2) for k in range(3)] + [(None, "p")], "match_id string, puuid string")
+    few = tables.unread_payloads(raw, extras)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+    want = sorted(f"m{i}" for i in range(1, 50, 2))
+    assert sorted(r.match_id for r in few.collect()) == want == sorted(r.match_id for r in tables.unread_payloads(raw, extras, most=3).collect())
+    assert tables.unread_payloads(raw, extras, only_missing=False).count() == 51
+
+
 def test_tables_never_written_are_empty(spark, store):
     assert store.read("matches").count() == 0 and store.read("crawl_players").count() == 0
     assert read_table(spark, store.folder, "crawl_plan").columns == ["match_id", "priority"]

@@ -60,10 +60,16 @@ def best_roles(scored: DataFrame) -> DataFrame:
     return chosen.select("match_id", "x.puuid", F.coalesce(role, F.col("i") % 5).alias("role"))
 
 
+def with_team_damage(df: DataFrame) -> DataFrame:
+    """Adds team_dmg."""
+    return df.withColumn("team_dmg", F.expr(f"sum(dmg_champs) OVER ({TEAM})"))
+
+
 def player_features(df: DataFrame) -> DataFrame:
     """Adds PLAYER_FEATURES. df has the true role (pos_idx) and the one to read by (role)."""
     role_sum = lambda v, r: over(f"sum(CASE WHEN pos_idx = {r} THEN {v} ELSE 0 END)", P)
-    at = df.withColumn("ts_s", epoch_seconds(F.col("game_start"))).withColumns({"minutes": F.expr("greatest(duration_s, 1) / 60D"), "team_dmg": F.expr(f"sum(dmg_champs) OVER ({TEAM})")})
+    at = df if "team_dmg" in df.columns else with_team_damage(df)
+    at = at.withColumns({"ts_s": epoch_seconds(F.col("game_start")), "minutes": F.expr("greatest(duration_s, 1) / 60D")})
     at = at.withColumns(
         {
             "_cs": F.expr("cs / minutes"), "_gold": F.expr("gold_earned / minutes"), "_vision": F.expr("vision_score / minutes"),
@@ -137,7 +143,12 @@ def trait_residuals(df: DataFrame, traits: list[str] = TRAITS, known: DataFrame
 
 def player_style(df: DataFrame) -> DataFrame:
     """Adds s_<trait> (mean of earlier residuals), style_games, duration_preference and aggression."""
-    out = trait_residuals(df).withColumns({f"s_{t}": over(f"avg(r_{t})", P, None) for t in TRAITS} | {"style_games": over("count(*)", P).cast("double")})
+    return styles(trait_residuals(df))
+
+
+def styles(residuals: DataFrame) -> DataFrame:
+    """``player_style`` of rows that have their residuals."""
+    out = residuals.withColumns({f"s_{t}": over(f"avg(r_{t})", P, None) for t in TRAITS} | {"style_games": over("count(*)", P).cast("double")})
     return duration_preference(out.drop(*[f"r_{t}" for t in TRAITS])).withColumn("aggression", aggression())
 
 
@@ -216,11 +227,19 @@ def with_roles(df: DataFrame, post_game: bool = False) -> DataFrame:
 def feature_matrix(df: DataFrame, min_history: int = 5, require_coverage: int = 0, advanced: bool = True, post_game: bool = False) -> DataFrame:
     """One row of each contest with 4 + 85 columns (4 + 49 without the advanced ones). Coverage is required after the windows, never before.
 
-    The rows with their roles are written once as a table, which the feature groups then share.
+    The rows with their roles are written once as a table.  All windows by player stand next to each other,
+    so that the rows are dealt by player and sorted once; what they give is written too, as it is summed up in two ways.
     """
     roled = staged(with_roles(df, post_game), "roled")
-    rows = team_differences(player_features(roled), min_history).where(F.col("blue_coverage") + F.col("red_coverage") >= require_coverage).drop("seq")
-    return rows.join(style_differences(roled), "match_id") if advanced else rows
+    if not advanced:
+        return _covered(team_differences(player_features(roled), min_history), require_coverage)
+    known = player_features(styles(with_team_damage(trait_residuals(roled))).drop(*TRAITS))  # a trait has the name of a feature
+    known = staged(known.join(champion_scaling(roled), ID), "participants-known")
+    return _covered(team_differences(known, min_history), require_coverage).join(style_rows(known, premade_pairs(roled)), "match_id")
+
+
+def _covered(rows: DataFrame, least: int) -> DataFrame:
+    return rows.where(F.col("blue_coverage") + F.col("red_coverage") >= least).drop("seq")
 
 
 def side_swapped(frame: DataFrame) -> DataFrame:

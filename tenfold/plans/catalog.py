@@ -369,6 +369,14 @@ def logistic_fit(spark: SparkSession, sf: str) -> DataFrame:
     return mlops.metrics(got.join(rows.select("match_id", F.col("blue_win").alias("y")), "match_id"))
 
 
+@query
+def boosted_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """Metrics of twenty rounds of boosting on the test part."""
+    rows, names = _small_matrix(spark, sf)
+    model, _ = mlops.fit_boosted(mlops.augmented(rows.where("part = 'train'").drop("part")), names, rounds=20)
+    return mlops.metrics(model.predict(rows.where("part = 'test'")).join(rows.select("match_id", F.col("blue_win").alias("y")), "match_id"))
+
+
 @query
 def explain_topk(spark: SparkSession, sf: str) -> DataFrame:
     rows, names = _small_matrix(spark, sf)

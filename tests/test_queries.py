@@ -8,7 +8,6 @@ import pytest
 from tenfold.plans import collecting, oracle
 
 SF = "/root/testdata/sf0.001"
-HEAVY = {"feature_matrix", "predict_one", "explain_topk", "logistic_fit"}
 
 
 @pytest.fixture(scope="module")

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tenfold.sources.tables import staged
 
-#: Bins of a column, the first for missing values; rows of a block; rounds after which scores are written.
-BINS, BLOCK_ROWS, EVERY = 256, 8192, 25
+#: Bins of a column, the first for missing values; rows of a block; rounds after which scores are written; columns whose histograms meet in one group, some 100 kB of each task.
+BINS, BLOCK_ROWS, EVERY, TOGETHER = 256, 8192, 25, 16
 BLOCK = "rows long, bins binary, y binary, margin binary, hash binary"
 CUT = "node long, feature int, gain double, cut int, missing_left boolean, g double, h double, n double, gl double, hl double, nl double"
 
@@ -163,15 +163,19 @@ def _cuts(blocks: DataFrame, width: int, trees: list[Tree], known: Tree, nodes:
                         flat = (bins[here][:, columns] + offset).ravel()
                         for j, v in enumerate((p[here] - y[here], p[here] * (1 - p[here]), np.ones(int(here.sum())))):
                             total[k, :, j] += np.bincount(flat, np.repeat(v, len(columns)), len(columns) * BINS).reshape(len(columns), BINS)
-        keys = [(node, c) for node in nodes for c in columns]
-        yield pd.DataFrame({"node": [n for n, _ in keys], "feature": [c for _, c in keys], "hist": [total[k, i].tobytes() for k in range(len(nodes)) for i in range(len(columns))]})
+        keys = [(k, low) for k in range(len(nodes)) for low in range(0, len(columns), TOGETHER)]
+        yield pd.DataFrame({"node": [nodes[k] for k, _ in keys], "first": [low for _, low in keys], "hist": [total[k, low : low + TOGETHER].tobytes() for k, low in keys]})
 
     def best(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        hist = np.sum([np.frombuffer(x) for x in sorted(pdf["hist"])], 0).reshape(3, BINS)
-        gain, cut, missing_left, (g, h, n), (gl, hl, nl) = best_cut(hist, s)
-        return pd.DataFrame([(*key, gain, cut, missing_left, g, h, n, gl, hl, nl)], columns=[x.split()[0] for x in CUT.split(", ")])
-
-    found = blocks.mapInPandas(sums, "node long, feature int, hist binary").groupBy("node", "feature").applyInPandas(best, CUT).collect()
+        hists = np.sum([np.frombuffer(x) for x in sorted(pdf["hist"])], 0).reshape(-1, 3, BINS)
+        node, first = key
+        out = []
+        for column, hist in zip(columns[first : first + TOGETHER], hists, strict=True):
+            gain, cut, missing_left, (g, h, n), (gl, hl, nl) = best_cut(hist, s)
+            out.append((node, column, gain, cut, missing_left, g, h, n, gl, hl, nl))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in CUT.split(", ")])
+
+    found = blocks.mapInPandas(sums, "node long, first int, hist binary").groupBy("node", "first").applyInPandas(best, CUT).collect()
     out: dict[int, tuple] = {}
     for r in sorted(found, key=lambda r: (r.node, -r.gain, r.feature)):  # at most a line for each node and column
         out.setdefault(r.node, (r.gain, r.feature, r.cut, r.missing_left, (r.g, r.h, r.n), (r.gl, r.hl, r.nl)))

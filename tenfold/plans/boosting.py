@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from tenfold.sources.tables import staged
 
-#: Bins of a column, the first for missing values; rows of a block; rounds after which scores are written; columns whose histograms meet in one group, some 100 kB of each task.
-BINS, BLOCK_ROWS, EVERY, TOGETHER = 256, 8192, 25, 16
+#: Bins of a column, the first for missing values; rows of a block; rounds after which scores are written; columns whose histograms meet in one group, some 100 kB of each task; rows from which a task is worth its start.
+BINS, BLOCK_ROWS, EVERY, TOGETHER, TASK_ROWS = 256, 8192, 25, 16, 1 << 16
 BLOCK = "rows long, bins binary, y binary, margin binary, hash binary"
 CUT = "node long, feature int, gain double, cut int, missing_left boolean, g double, h double, n double, gl double, hl double, nl double"
 
@@ -224,9 +224,11 @@ class Boosted:
         mean = min(max(mean if mean is not None else 0.5, 1e-6), 1 - 1e-6)
         start = float(np.log(mean / (1 - mean)))
         blocks, trees, pending = _blocks(train, names, edges, label, start), [], []
+        tasks = -(-(blocks.agg(F.sum("rows")).first()[0] or 1) // TASK_ROWS)
+        blocks = blocks.coalesce(tasks)
         for number in range(s.rounds):
             if len(pending) == EVERY:
-                blocks, pending = _with_margins(blocks, len(names), pending), []
+                blocks, pending = _with_margins(blocks, len(names), pending).coalesce(tasks), []
             columns = columns_of(len(names), s, number)
             tree = grow(lambda known, nodes: _cuts(blocks, len(names), pending, known, nodes, columns, number, s), s)  # noqa: B023
             trees.append(tree)

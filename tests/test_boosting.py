@@ -78,6 +78,7 @@ def plain(bins, y, hashes, s):
 def test_trees_equal_a_plain_program(spark, frame, rows, monkeypatch):
     monkeypatch.setattr(boosting, "EVERY", 2)
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 200)
+    monkeypatch.setattr(boosting, "TASK_ROWS", 500)
     monkeypatch.setattr(boosting, "quantile_edges", lambda train, names: [[-1.5, -0.5, 0.0, 0.3, 0.9, 2.0], [0.1 * k for k in range(1, 10)], [0.0, 1.0, 2.0], [-1.0, 0.0, 1.0], []])
     s = Settings(rounds=5, rate=0.3, leaves=6, least_rows=25)
     got = Boosted.fit(frame, NAMES, settings=s)

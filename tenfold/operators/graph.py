@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tenfold.sources.tables import staged
@@ -35,22 +33,6 @@ def plan_report(core: DataFrame) -> DataFrame:
     return core.agg(F.countDistinct("puuid").alias("players"), F.countDistinct("match_id").alias("matches"), F.round(F.count("*") / F.countDistinct("puuid"), 1).alias("games_per_player"))
 
 
-def greedy_cover(candidates: Iterable[tuple[str, list[str]]], need: dict[str, int]) -> list[str]:
-    """Matches, in the order given, that still serve a player in need."""
-    left, chosen = dict(need), []
-    for match_id, who in candidates:
-        if not left:
-            break
-        served = [p for p in who if p in left]
-        if served:
-            chosen.append(match_id)
-            for p in served:
-                left[p] -= 1
-                if not left[p]:
-                    del left[p]
-    return chosen
-
-
 def post_counts(edges: DataFrame, plan: DataFrame, players: DataFrame) -> DataFrame:
     """players (puuid, ...) with post: their matches in the plan, 0 for none."""
     post = edges.join(plan.select("match_id"), "match_id", "left_semi").groupBy("puuid").agg(F.count("*").alias("post"))
@@ -66,15 +48,22 @@ def candidates(edges: DataFrame, plan: DataFrame, resolved: DataFrame, short: Da
 def top_up(edges: DataFrame, plan: DataFrame, resolved: DataFrame, targets: DataFrame, min_coverage: int = 0, games: int = 10) -> DataFrame:
     """(match_id): matches to add so that the players of target matches reach that many planned games.
 
-    The joins are Spark's; the scan itself depends on each earlier choice and runs over an
-    iterator of candidates, largest first and then by id.
+    Matches are looked at by how many short players they have, the most first, and then by id; one that
+    still serves a player in need is taken, and all its players in need are served once.  A player is in
+    need as long as fewer matches than needed were taken that have them, so each of the first ``need``
+    matches of a player is taken, whoever else is in it, and after these the player needs none: what the
+    scan takes is the union of every player's first matches.  That is one window by player, in any number
+    of tasks; of a player with very many matches, each task sends on the first ``games`` only.
+
+    One row for each edge and target is expected (tables with these keys); players who cannot reach the
+    number get all their matches; null players match nothing.
     """
-    spark = edges.sparkSession
     counted = post_counts(edges, plan, targets)
     if min_coverage > 0:
         enough = counted.groupBy("match_id").agg(F.count_if(F.col("post") >= games).alias("ok")).where(F.col("ok") >= min_coverage)
         counted = counted.join(enough.select("match_id"), "match_id", "left_semi")
     short = counted.where(F.col("post") < games).select("puuid", (F.lit(games) - F.col("post")).cast("int").alias("need")).distinct()
-    ordered = candidates(edges, plan, resolved, short).orderBy(F.size("who").desc(), "match_id")
-    chosen = greedy_cover(((r.match_id, r.who) for r in ordered.toLocalIterator()), {r.puuid: r.need for r in short.toLocalIterator()})
-    return spark.createDataFrame([(m,) for m in chosen], edges.select("match_id").schema)
+    served = candidates(edges, plan, resolved, short).select("match_id", F.size("who").alias("n"), F.explode("who").alias("puuid"))
+    turn = F.row_number().over(Window.partitionBy("puuid").orderBy(F.col("n").desc(), "match_id"))
+    first = served.withColumn("turn", turn).where(F.col("turn") <= games).join(short, "puuid")
+    return first.where("turn <= need").select("match_id").distinct()

@@ -224,6 +224,7 @@ SQL |= {
     "failure_counts": EDGES + ", f AS (SELECT DISTINCT l_orderkey AS match_id FROM lineitem WHERE l_returnflag = 'R') SELECT count(*) FILTER (WHERE attempts + 1 < 4) AS requeued, count(*) FILTER (WHERE attempts + 1 >= 4) AS dead FROM st JOIN f USING (match_id)",
     "drained_states": BAD + ", dr AS (SELECT *, CAST(match_seq % 4 AS INT) AS att, CASE WHEN match_seq % 17 = 0 THEN 'rejected' WHEN match_seq % 19 = 0 OR match_seq % 23 = 0 THEN 'error' WHEN reason IS NOT NULL THEN 'rejected' ELSE 'stored' END AS got FROM vr) SELECT match_id, CASE WHEN got <> 'error' THEN got WHEN att = 3 THEN 'error' ELSE 'pending' END AS state, CASE WHEN match_seq % 17 = 0 THEN '404' WHEN match_seq % 19 = 0 THEN 'status=503' WHEN match_seq % 23 = 0 THEN 'parse' ELSE reason END AS reason, att + CAST(got = 'error' AS INT) AS attempts, got <> 'error' OR att = 3 AS done FROM dr",
     "post_counts": EDGES + " SELECT puuid, count(*) FILTER (WHERE match_id % 10 = 0) AS post FROM ed GROUP BY puuid",
+    "greedy_topup": EDGES + f", {COVERED}, tg AS (SELECT DISTINCT puuid FROM ed JOIN pc USING (match_id) WHERE covered >= 2 AND covered = n), po AS (SELECT puuid, count(*) AS post FROM ed WHERE match_id % 10 = 0 GROUP BY puuid), nd AS (SELECT puuid, 100 - coalesce(post, 0) AS need FROM tg LEFT JOIN po USING (puuid) WHERE coalesce(post, 0) < 100), ca AS (SELECT match_id, puuid, count(*) OVER (PARTITION BY match_id) AS n FROM ed SEMI JOIN nd USING (puuid) WHERE match_id % 10 <> 0 AND match_id NOT IN (SELECT match_id FROM st WHERE state <> 'pending')), rk AS (SELECT match_id, puuid, row_number() OVER (PARTITION BY puuid ORDER BY n DESC, match_id) AS turn FROM ca) SELECT DISTINCT match_id FROM rk JOIN nd USING (puuid) WHERE turn <= need",
     "topup_candidates": EDGES + " SELECT match_id, CAST(count(*) AS INT) AS n, string_agg(CAST(puuid AS VARCHAR), ',' ORDER BY puuid) AS who FROM ed SEMI JOIN kn USING (puuid) WHERE match_id % 10 <> 0 AND match_id NOT IN (SELECT match_id FROM st WHERE state <> 'pending') GROUP BY match_id",
     "fully_processed": BASE + " SELECT match_id, puuid FROM c WHERE match_id IN (SELECT match_id FROM c GROUP BY match_id HAVING count(*) FILTER (WHERE CAST(substr(puuid, 3) AS INT) % 16 <> 3) = 10)",
     "players_history": BASE + " SELECT match_id, puuid FROM c WHERE match_seq <> n_seq - 1 AND match_id IN (SELECT match_id FROM c WHERE puuid IN (SELECT puuid FROM c WHERE match_seq = n_seq - 1))",

@@ -70,10 +70,6 @@ def test_k_core_needs_many_rounds_or_vanishes(spark):
     assert graph.k_core(chain.withColumn("match_id", F.col("match_id") + 10).union(square), 3, 3).count() == 9
 
 
-def test_greedy_cover():
-    assert graph.greedy_cover([("a", ["p", "q"]), ("b", ["p"]), ("c", ["q"])], {"p": 2, "q": 1}) == ["a", "b"]
-
-
 def test_reject_order_and_corrupt(spark):
     raw = spark.createDataFrame([("bad", "{no json"), ("none", None), ("empty", '{"info": {}}')], "match_id string, payload string")
     got = {r.match_id: r.reject_reason for r in ingest.validated(raw).collect()}

@@ -82,7 +82,11 @@ class Store:
         ``match_ids`` gives (puuid, ids) for (puuid); players with null ids have failed and stay queued.
         """
         claimed = staged(frontier.claim(self.read("crawl_players"), n, seed), "claimed")
-        got = staged(match_ids(claimed.select("puuid")).where("ids IS NOT NULL"), "listed")
+        return self.take_lists(claimed, staged(match_ids(claimed.select("puuid")), "listed"))
+
+    def take_lists(self, claimed: DataFrame, listed: DataFrame) -> tuple[int, int]:
+        """Store the lists (puuid, ids) of claimed players, in one commit; returns (players done, new matches)."""
+        got = listed.where("ids IS NOT NULL")
         batch = staged(got.select("puuid", F.explode("ids").alias("match_id")).distinct(), "batch")
         of = batch.select("match_id")
         _, unseen, after = frontier.add_discoveries(self.read("match_discoveries", of), self.read("crawl_matches", of), batch, self.now)
@@ -105,6 +109,10 @@ class Store:
         if not asked:
             return 0, 0
         got = staged(ingest.answered(fetch(ids), queue_id, min_patch), "answers")
+        return asked, self.take_answers(ids, got, enqueue, max_attempts)
+
+    def take_answers(self, ids: DataFrame, got: DataFrame, enqueue: bool = True, max_attempts: int = 4) -> int:
+        """Store what is valid of the answers to ids (match_id), and the states after them, in one commit; returns the new matches."""
         valid = got.where("state = 'stored'")
         with self.tables.together():
             stored = self._store(valid)
@@ -112,7 +120,7 @@ class Store:
                 seen = ingest.participant_ids(valid).select("puuid").distinct()
                 self.insert("crawl_players", frontier.players(seen.select("puuid", *[F.lit(None).cast(t).alias(c) for c, t in (("tier", "string"), ("rank", "string"), ("leaguePoints", "int"))]), "snowball", self.now))
             self.put("crawl_matches", ingest.states_after(self.read("crawl_matches", ids), got, self.now, max_attempts))
-        return asked, stored
+        return stored
 
     def _store(self, valid: DataFrame) -> int:
         """Payloads, participants and matches of valid answers; returns the new matches."""

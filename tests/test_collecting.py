@@ -1,6 +1,7 @@
 """The HTTP source, the ladder, and the collecting loops on stored tables."""
 
 import json
+import random
 import threading
 from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
@@ -231,6 +232,17 @@ def test_top_up_for_serving(spark, store):
     assert store.top_up(live, 3, listing, fetch) == 0 and store.top_up(spark.createDataFrame([("p14",)], "puuid string"), 99, match_ids, fetch) == 0
 
 
+def greedy(candidates, need):
+    """The scan as it is defined: matches in order, each taken that still serves a player in need."""
+    need, chosen = dict(need), []
+    for match, who in candidates:
+        if served := [p for p in who if need.get(p)]:
+            chosen.append(match)
+            for p in served:
+                need[p] -= 1
+    return chosen
+
+
 def test_greedy_top_up_against_a_plain_twin(spark):
     e = edges(spark, SF)
     plan, targets = frontier.set_plan(e.where("match_id % 10 = 0")), frontier.fully_covered(e, collecting.catalog._known(spark, SF), 2)
@@ -242,17 +254,34 @@ def test_greedy_top_up_against_a_plain_twin(spark):
     post = Counter(p for m in planned for p in of[m])
     need = {p: 100 - post[p] for p in {r.puuid for r in targets.collect()} if post[p] < 100}
     order = sorted(((-len(of[m] & set(need)), m) for m in of if m not in planned | resolved and of[m] & set(need)))
-    want = []
-    for _, m in order:
-        if served := of[m] & set(need):
-            want.append(m)
-            for p in served:
-                need[p] -= 1
-                if not need[p]:
-                    del need[p]
+    want = greedy([(m, of[m]) for _, m in order], need)
     assert sorted(r.match_id for r in graph.top_up(e, plan, frontier.resolved(states(spark, SF)), targets, games=100).collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_greedy_top_up_of_random_graphs(spark, seed):
+    """One player in most matches, needs of every size, players in no candidate, matches planned or resolved, coverage asked for."""
+    draw = random.Random(seed)
+    games, least = draw.choice([1, 3, 6]), draw.choice([0, 0, 2])
+    of = {f"m{m:02}": {p for p in range(12) if draw.random() < (0.8 if p == 0 else 0.25)} for m in range(60)}
+    planned, resolved = {m for m in of if draw.random() < 0.15}, {m for m in of if draw.random() < 0.1}
+    targets = [(m, p) for m in of if draw.random() < 0.4 for p in of[m]] + [("other", 99)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    edge_rows, ids = frame([(m, p) for m, who in of.items() for p in who], "match_id string, puuid long"), lambda x: frame([(m,) for m in x], "match_id string")
+    post = Counter(p for m in planned for p in of[m])
+    ok = Counter(m for m, p in targets if post[p] >= games)
+    need = {p: games - post[p] for m, p in targets if ok[m] >= least and post[p] < games}
+    order = sorted((-len(of[m] & set(need)), m) for m in of if m not in planned | resolved and of[m] & set(need))
+    got = graph.top_up(edge_rows, ids(planned), ids(resolved), frame(targets, "match_id string, puuid long"), least, games)
+    assert sorted(r.match_id for r in got.collect()) == sorted(greedy([(m, of[m]) for _, m in order], need))
+
+
+def test_top_up_sends_on_a_players_first_matches_only(spark):
+    e = edges(spark, SF)
+    got = graph.top_up(e, frontier.set_plan(e.where("match_id % 10 = 0")), e.where("match_id % 10 = 1").select("match_id"), e, games=5)
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_core_of_a_long_chain(spark):
     """Peeling takes as many rounds as the chain is long."""
     chain = [(f"m{i}", f"p{j}") for i in range(30) for j in (i, i + 1)]

@@ -21,6 +21,8 @@ WINDOW = 13
 NEAR = 0.8
 #: Rows of test terms or windows up to which they are broadcast; beyond, a shuffle join takes over.
 BROADCAST_ROWS = 200_000
+
+
 def _lower(c: Column) -> Column:
     ascii_only = F.octet_length(c) == F.length(c)
     return F.when(ascii_only, F.lower(c)).otherwise(lowered(c))
@@ -108,6 +110,24 @@ def proximity_matches(texts: DataFrame, index: DataFrame, rare: DataFrame, size:
     return places.join(texts.select("key", "words"), "key").where(enough).select("key", (F.col("pos") - F.col("k")).alias("start"), F.size("w").alias("length"), "items")
 
 
+def near_items(texts: DataFrame, index: DataFrame, rare: DataFrame, size: int = WINDOW, near: float = NEAR) -> DataFrame:
+    """(key, near): the items, sorted, that a document has a near match of, phrases included.
+
+    The windows of each term are one row; while these are few, they are held against the words around
+    each place of a term where the words are read, and nothing but what is near is moved.
+    """
+    if rare.count() > BROADCAST_ROWS:
+        found = proximity_matches(texts, index, rare, size, near).select("key", F.explode("items").alias("item"))
+    else:
+        of_term = rare.select("w", "items", F.explode("rare").alias("x")).groupBy("x.term").agg(F.collect_list(F.struct("w", "items", F.ceil(F.lit(near) * F.size(F.array_distinct("w"))).cast("int").alias("least"))).alias("windows"))
+        low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+        places = texts.select("key", "words", F.posexplode("words").alias("pos", "term")).join(F.broadcast(of_term), "term")
+        around = places.select("key", "windows", F.array_distinct(F.slice("words", low + 1, F.col("pos") - low + size)).alias("around"))
+        matched = F.expr("flatten(transform(filter(windows, x -> size(array_intersect(around, x.w)) >= x.least), x -> x.items))")
+        found = around.select("key", F.explode(matched).alias("item"))
+    return found.groupBy("key", "item").agg(F.lit(1)).groupBy("key").agg(F.sort_array(F.collect_list("item")).alias("near"))
+
+
 def near_matches(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: float = NEAR) -> DataFrame:
     """(key, start, length, items, exact): phrases, and near matches that are none; key is that of ``common.row_key``."""
     texts, rare, index = _index(docs, items, size, near)
@@ -123,24 +143,31 @@ def _hits(rare: DataFrame, index: DataFrame, size: int) -> DataFrame:
     return runs.select("key", F.expr(covered).alias("n_hit"), "found")
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, near: float | None = None) -> DataFrame:
     """Per row of docs: doc_id, key, n_words, n_hit, found (item ids as strings), contaminated (hit words are 5 % or more).
 
+    With ``near`` also the column near: the items, as strings, of which that share of a window's
+    different words stands around one of its rarest; it decides nothing.
+
     Null and empty texts have no words and are clean; a null item has no windows; a null
     doc_id is kept as it is; equal rows get equal results; an item shorter than the window
     is one window; equal items with other ids are all named; other columns are left out;
     empty tables give no rows, or rows without hits.
     """
-    texts, rare, index = _index(docs, items, size, NEAR)
+    texts, rare, index = _index(docs, items, size, NEAR if near is None else near)
     hits = staged(_hits(rare, index, size), "hits")
     rows = texts.select("doc_id", "key", F.size("words").cast("long").alias("n_words"))
+    more = []
+    if near is not None:
+        hits = hits.join(staged(near_items(texts, index, rare, size, near), "near-items"), "key", "full_outer")
+        more = [F.coalesce("near", F.array().cast("array<string>")).alias("near")]
     discard(index)
     return (
         rows.join(hits, "key", "left")
         .withColumn("n_hit", F.coalesce("n_hit", F.lit(0).cast("long")))
         .withColumn("found", F.coalesce(F.sort_array("found"), F.array().cast("array<string>")))
         .withColumn("contaminated", F.expr("n_hit > 0 AND 20 * n_hit >= n_words"))
-        .select("doc_id", "key", "n_words", "n_hit", "found", "contaminated")
+        .select("doc_id", "key", "n_words", "n_hit", "found", "contaminated", *more)
     )
 
 

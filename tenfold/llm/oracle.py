@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from .common import ALNUM_WORDS, LOWER, SPACE_WORDS, UPPER
+from .decontaminate import NEAR
 from .licenses import PHRASES, TELLING, TEMPLATES, THRESHOLD, words
 from .line_dedup import LEAST_PAGES, RATIO
 from .merkle import FIELDS
@@ -95,10 +96,18 @@ g AS (SELECT doc_id, size, k, array_to_string(words[k:k+size-1], ' ') AS gram
     FROM (SELECT doc_id, size, words, unnest(generate_series(1, len(words) - size + 1)) AS k FROM d, (SELECT DISTINCT size FROM w))),
 m AS (SELECT doc_id, k, g.size, item_id FROM g JOIN w ON g.gram = w.gram AND g.size = w.size),
 h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(generate_series(k, k + size - 1)) AS p FROM m) GROUP BY doc_id),
-f AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS found FROM m GROUP BY doc_id)
+f AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS found FROM m GROUP BY doc_id),
+-- near matches: of each window, the rarest different words that any near match has one of, and what stands around them
+u AS (SELECT gram, unnest(list_distinct(string_split(gram, ' '))) AS term FROM (SELECT DISTINCT gram FROM w)),
+c AS (SELECT unnest(words) AS term, count(*) AS n FROM d GROUP BY term),
+r AS (SELECT gram, term, row_number() OVER (PARTITION BY gram ORDER BY coalesce(n, 0), term) AS turn, ceil({NEAR} * count(*) OVER (PARTITION BY gram)) AS least, count(*) OVER (PARTITION BY gram) AS different FROM u LEFT JOIN c USING (term)),
+q AS (SELECT gram, term, least FROM r WHERE turn <= different - least + 1),
+o AS (SELECT doc_id, pos, words[pos] AS term, words[greatest(1, pos - 12):pos + 12] AS around FROM (SELECT doc_id, words, unnest(generate_series(1, len(words))) AS pos FROM d)),
+n AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS near FROM o JOIN q USING (term) JOIN w USING (gram) WHERE len(list_intersect(list_distinct(around), string_split(gram, ' '))) >= least GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(found), 0) AS BIGINT) AS n_items,
-    sha256(array_to_string(coalesce(found, []), ',')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(words) AS contaminated
-FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN f ON d.doc_id = f.doc_id"""
+    sha256(array_to_string(coalesce(found, []), ',')) AS items_sha256, coalesce(n, 0) > 0 AND 20 * coalesce(n, 0) >= len(words) AS contaminated,
+    CAST(coalesce(len(near), 0) AS BIGINT) AS n_near, array_to_string(coalesce(near, []), ',') AS near_items
+FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN f ON d.doc_id = f.doc_id LEFT JOIN n ON d.doc_id = n.doc_id"""
 
 
 def _warc() -> str:

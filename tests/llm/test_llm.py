@@ -277,6 +277,36 @@ def test_decontamination(docs, spark):
     assert {r.exact for r in decontaminate.near_matches(other, items).collect()} == {False}
 
 
+@pytest.mark.parametrize("broadcast", [200_000, 0])
+def test_near_items_by_brute_force(spark, monkeypatch, broadcast):
+    """Few different words, items of any length, null and empty ones, repeated rows: near items by the definition, with and without a broadcast."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(8)
+    draw = lambda n: " ".join(rng.choice(["a", "b", "c", "d", "e", "f", "g", "é"]) + rng.choice(["", "1", "2", "3"]) for _ in range(n))
+    items = [(i, draw(rng.choice([2, 5, 13, 20, 30]))) for i in range(12)] + [(98, None), (99, "")]
+    texts = [(i, draw(rng.choice([0, 1, 12, 40, 80]))) for i in range(60)] + [(70, None), (71, items[3][1] + " and more")]
+    for i, (_, text) in enumerate(items[:12]):  # some words of an item in another order, or replaced
+        found = text.split()
+        rng.shuffle(found)
+        texts.append((80 + i, " ".join("x" if rng.random() < 0.15 else w for w in found)))
+    texts.append(texts[0])
+    counts = Counter(w for _, t in texts for w in (t or "").split())
+    want = {}
+    for doc, text in texts:
+        found, near = (text or "").split(), set()
+        for item, said in items:
+            of = (said or "").split()
+            for w in [of[k : k + 13] for k in range(max(1, len(of) - 12))] if of else []:
+                different = sorted(set(w), key=lambda x: (counts[x], x))
+                least = math.ceil(0.8 * len(different))
+                if any(x in different[: len(different) - least + 1] and len({*found[max(0, p - 12) : p + 13]} & {*w}) >= least for p, x in enumerate(found)):
+                    near.add(str(item))
+        want[doc] = sorted(near)
+    got = decontaminate.contamination(spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), near=0.8).collect()
+    assert len(got) == len(texts) and {r.doc_id: r.near for r in got} == want and sum(map(bool, want.values())) > 10
+    assert all(set(r.found) <= set(r.near) for r in got)
+
+
 def test_near_matches_without_the_rarest_words(spark):
     item = [f"w{i:02}" for i in range(13)]
     changed = lambda *at: " ".join("other" if i in at else w for i, w in enumerate(item))

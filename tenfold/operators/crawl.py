@@ -30,7 +30,7 @@ Fetch = Callable[[DataFrame], DataFrame]
 class Store:
     def __init__(self, spark: SparkSession, folder: str, now: Column | None = None):
         self.spark, self.folder, self.now = spark, folder, F.current_timestamp().cast("timestamp_ntz") if now is None else now
-        self.tables = Tables(spark, folder, {name: partial(self._latest_rows, name) for name in CHANGING})
+        self.tables = Tables(spark, folder, {name: partial(self._latest_rows, name) for name in CHANGING}, {"raw_matches": "match_id"})
 
     @staticmethod
     def _latest_rows(name: str, log: DataFrame) -> DataFrame:

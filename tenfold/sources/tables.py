@@ -146,7 +146,7 @@ class Landing(DataSource):
 
 
 def payload_of(raw: DataFrame, match_id: str) -> DataFrame:
-    """One stored payload; the id is pushed down to the files' statistics."""
+    """One stored payload; the id is pushed down to the statistics and bloom filters of the files."""
     return raw.where(F.col("match_id") == match_id).select("match_id", "payload")
 
 

@@ -214,6 +214,25 @@ def test_folders_stay_few(spark, store, tmp_path, monkeypatch):
         other._put({"number": store.tables.manifest()["number"], "tables": {}, "dropped": []})
 
 
+def test_a_lookup_reads_one_row_group(spark, store, monkeypatch):
+    """Ids spread over all folders: bloom filters leave one file, before folders are merged and after."""
+
+    def scanned(match_id):
+        found = payload_of(store.read("raw_matches"), match_id)
+        got = found.collect()
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().apply(0)
+        return len(got), scan.metrics().apply("numOutputRows").value()
+
+    monkeypatch.setattr(commits, "MERGE", 5)
+    for k in range(9):
+        rows = spark.createDataFrame([(f"M{i:04}", "16.1", "x" * 50) for i in range(k, 900, 9)], "match_id string, patch string, payload string").coalesce(1)
+        store.insert("raw_matches", rows.withColumn("fetched_at", store.now))
+        if k == 3:
+            assert len(store.tables.folders("raw_matches")) == 4 and scanned("M0002") == (1, 100) and scanned("M0450") == (1, 100)
+    assert len(store.tables.folders("raw_matches")) == 5
+    assert scanned("M0002") == (1, 500) and scanned("M0008") == (1, 100) and scanned("nothing")[0] == 0
+
+
 def test_top_up_for_serving(spark, store):
     """Players short of games are asked for, valid answers stored and read back; hidden ones and full ones are not asked."""
     match_ids, fetch = source(spark)

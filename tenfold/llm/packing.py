@@ -123,7 +123,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 0) ->
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, packer = encoder(tokenizer), Packer(capacity, TaskContext.get().partitionId() * IDS_A_TASK)
+        encode, packer = encoder(tokenizer).batches, Packer(capacity, TaskContext.get().partitionId() * IDS_A_TASK)
 
         def out(rows: list[tuple]) -> pa.RecordBatch:
             doc, start, ids, n, seq, off = zip(*rows, strict=True)
@@ -131,12 +131,14 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 1024, end: int = 0) ->
 
         rows: list[tuple] = []
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                for piece in packer.add(doc_id, encode(text.as_py(), end)):
-                    rows.append(piece)
-                    if len(rows) >= 2000:
-                        yield out(rows)
-                        rows = []
+            doc_ids = batch.column(0).to_pylist()
+            for low, ids, sizes in encode(batch.column(1), end):
+                for doc_id, upto, n in zip(doc_ids[low:], np.cumsum(sizes).tolist(), sizes.tolist(), strict=False):
+                    for piece in packer.add(doc_id, ids[upto - n : upto]):
+                        rows.append(piece)
+                        if len(rows) >= 2000:
+                            yield out(rows)
+                            rows = []
         for piece in packer.flush():
             rows.append(piece)
             if len(rows) >= 2000:

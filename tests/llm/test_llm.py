@@ -9,6 +9,8 @@ import zlib
 from collections import Counter, defaultdict
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -208,6 +210,39 @@ def test_chunks_give_the_ids_of_whole_texts(name):
     assert encode(None, 7).tolist() == [7]
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_batches_give_the_ids_of_whole_texts(name, monkeypatch):
+    """Texts encoded together, in batches of any size, with doubtful white space, marks about words, and chunks of no rule."""
+    from tokenizers import Tokenizer
+
+    path, rng = queries.vocabulary(name), random.Random(3)
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    encode = tokens.ChunkEncoder(path)
+    assert encode.ruled
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 5000)
+    pools = [["ab", "Cd", "\u00e9", " ", " ", "\n", "'s", "12", ".", ",", "\n\n", "don't"], ["\u00a0", " ", "\n", "\u4e2d", "a", "\x1c"], ["\u0130", "\u017f", "\u212a", "\u00ff", "\u0301", "e", "\x00", "\x85", " ", " ", "</w>", "\u00aa"]]
+    texts = [None, "", " ", "\n ", "a ", " a", "y" * 70, *("".join(rng.choices(pool, k=rng.randint(1, 40))) for pool in pools for _ in range(700))]
+    rng.shuffle(texts)
+    got = []
+    for low, ids, sizes in encode.batches(pa.array(["cut off", *texts], pa.string()).slice(1), 7):
+        assert low == len(got) and sizes.sum() == len(ids)
+        got += [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert got == [[*(t.encode(x, add_special_tokens=False).ids if x else []), 7] for x in texts]
+    assert [len(x) for x in encode.many(pa.array([], pa.string()), 7)] == [0, 0] and list(encode.batches(pa.array([], pa.string()), 7)) == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_words_are_encoded_once_whatever_stands_about_them(name, monkeypatch):
+    encode = tokens.ChunkEncoder(queries.vocabulary(name))
+    monkeypatch.setattr(encode, "_ids", None)  # no text goes through the whole tokenizer
+    words = [f"w{chr(97 + i)}{chr(97 + j)}" for i in range(26) for j in range(26)]
+    before = len(encode.pieces)
+    for mark in (",", ".", ";", "!", "\n(", ").", "?\n\nAnd", "-x"):
+        encode.many(pa.array(["_ " + " ".join(w + mark + " e" for w in words)]), 0)
+    assert len(words) <= len(encode.pieces) - before <= len(words) + 40
+
+
 def test_packing_keeps_every_id(docs):
     from tokenizers import Tokenizer
 

@@ -37,16 +37,13 @@ def write(docs: DataFrame, tokenizer: str, path: str | None = None, end: int = 2
     path = path or new_path(spark, "token-ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, at = encoder(tokenizer), TaskContext.get().partitionId(), 0
+        encode, part, at = encoder(tokenizer).batches, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for low in range(0, batch.num_rows, 1000):
-                part_of = batch.slice(low, 1000)
-                ids = [encode(x.as_py(), end) for x in part_of.column(1)]
-                lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+            for low, ids, lengths in encode(batch.column(1), end):
                 ends = np.cumsum(lengths)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([part_of.column(0), pa.array(np.full(len(ids), part, np.int64)), pa.array(at + ends - lengths), pa.array(lengths), lists], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
-                at += int(ends[-1])
+                lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, len(lengths)), pa.array(np.full(len(lengths), part, np.int64)), pa.array(at + ends - lengths), pa.array(lengths), lists], ["doc_id", "part", "local_start", "n_tokens", "token_ids"])
+                at += len(ids)
 
     ordered = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

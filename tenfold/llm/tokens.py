@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -93,16 +94,18 @@ class ChunkEncoder:
             chunks = pc.utf8_lower(chunks)
         lists = pc.split_pattern(pc.replace_substring_regex(chunks, JOINED_RULE if self.joins else RULE, "\\1\0"), "\0")
         numbered = lists.flatten().dictionary_encode()
-        pieces = numbered.dictionary.to_pylist()
+        pieces = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         got = list(map(self.pieces.get, pieces))
         new = [k for k, ids in enumerate(got) if ids is None]
         if len(self.pieces) + len(new) > CACHE_ENTRIES:
             self.pieces.clear()
         tokenize, shown = self.tokenizer.model.tokenize, self.shown
-        found = [[token.id for token in tokenize(pieces[k].translate(shown))] for k in new]
-        upto = np.cumsum([4 * len(ids) for ids in found], dtype=np.int64).tolist()
-        data = np.array([i for ids in found for i in ids], "<i4").tobytes()
-        for k, low, high in zip(new, [0, *upto], upto, strict=False):
+        found, upto = array("i"), [0]
+        for k in new:
+            found.extend([token.id for token in tokenize(pieces[k].translate(shown))])
+            upto.append(4 * len(found))
+        data = np.array(found, "<i4").tobytes()
+        for k, low, high in zip(new, upto, upto[1:], strict=False):
             got[k] = data[low:high]
         self.pieces.update((pieces[k], got[k]) for k in new if len(pieces[k]) <= CACHED_CHARS)
         return pa.ListArray.from_arrays(pc.subtract(lists.offsets, lists.offsets[0]), numbered.indices), got

@@ -151,6 +151,14 @@ def test_whole_notices_wrapped_over_lines(spark, width):
     assert len(long) >= 4 and {r.doc_id: {b.label for b in r.blocks} for r in got} == {i: {long[i // 2][0]} for i in range(len(texts))}
 
 
+def test_licenses_are_told_apart_by_names_only(spark):
+    """A notice that has lost an everyday word is found; a license whose name lacks a part is not guessed."""
+    notice = next(t for label, t in licenses.TEMPLATES if label == "apache" and len(t.split()) > 25)
+    texts = [notice.replace("required by", "required under"), notice.replace("apache", "other"), "Licensed under CC 4.0", "Licensed under CC BY 4.0"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: {b.label for b in r.blocks} for r in got} == {0: {"apache"}, 1: set(), 2: set(), 3: {"cc-by"}}
+
+
 def test_license_short_form(spark):
     got = licenses.scan(spark.createDataFrame([(1, "own text\nLicensed under CC BY-NC 4.0.\n"), (2, "Licensed under the Apache License, Version 2.0.")], "doc_id long, text string")).collect()
     assert {r.doc_id: {b.label for b in r.blocks} for r in got} == {1: {"cc-by-nc"}, 2: {"apache"}}

@@ -63,6 +63,15 @@ def asof_sums(writes: DataFrame, reads: DataFrame, keys: list[str], sums: dict[s
     return prior_sums(written.unionByName(asked), keys, {n: f"_w_{n}" for n in names}, block).where("_row IS NOT NULL").select("_row.*", *names)
 
 
+def condensed(writes: DataFrame, reads: DataFrame, keys: list[str], sums: dict[str, str], block: int = BLOCK) -> DataFrame:
+    """The writes added up to fewer rows, which give the reads the same sums: a block of seqs in which nothing is read is one row of each key."""
+    at = F.floor(F.col("seq") / block)
+    read = reads.select(at.alias("_block")).distinct().withColumn("_read", F.lit(True))
+    seq = F.when(F.col("_read"), F.col("seq")).otherwise(F.col("_block") * block).alias("seq")
+    marked = writes.withColumn("_block", at).join(F.broadcast(read), "_block", "left")
+    return marked.groupBy(*keys, seq).agg(*[F.sum(F.coalesce(F.expr(e), F.lit(0)).cast("long")).alias(n) for n, e in sums.items()])
+
+
 def running_mean(df: DataFrame, key: str, order: list[str], values: list[str], block: int = BLOCK, known: DataFrame | None = None) -> DataFrame:
     """Adds <value>_mean: the mean of earlier rows of the key, row by row in ``order`` (of which seq is the first), nulls left out.
 

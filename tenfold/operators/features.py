@@ -11,7 +11,7 @@ from tenfold.functions.scalars import days_between, epoch_seconds, smoothed
 from tenfold.schemas import AGGRESSION, DAY_S, LANE_TRAITS, LONG_S, MEAN_ONLY, PLAYER_FEATURES, ROLES, SHORT_S, TRAITS
 from tenfold.sources.tables import staged
 
-from .causal import asof_sums, before, last, over, prior_sums, running_mean
+from .causal import asof_sums, before, condensed, last, over, prior_sums, running_mean
 
 P, PC = before("puuid"), before("puuid", "champion_id")
 TEAM = "PARTITION BY match_id, team_id"
@@ -67,16 +67,23 @@ def with_team_damage(df: DataFrame) -> DataFrame:
 
 def player_features(df: DataFrame) -> DataFrame:
     """Adds PLAYER_FEATURES. df has the true role (pos_idx) and the one to read by (role)."""
+    at = pair_windows(player_windows(df if "team_dmg" in df.columns else with_team_damage(df)))
+    keep = player_values(at).select(*df.columns, *[f for f in PLAYER_FEATURES if f != "champ_role_winrate"])
+    writes = df.selectExpr("patch", "champion_id", "pos_idx AS role", "seq", "win")
+    return keep.join(champion_role_winrates(writes, df, _GAMES), ID)
+
+
+def player_windows(df: DataFrame) -> DataFrame:
+    """Adds what is known of a row's player before its contest, as ``player_values`` takes it. df has team_dmg."""
     role_sum = lambda v, r: over(f"sum(CASE WHEN pos_idx = {r} THEN {v} ELSE 0 END)", P)
-    at = df if "team_dmg" in df.columns else with_team_damage(df)
-    at = at.withColumns({"ts_s": epoch_seconds(F.col("game_start")), "minutes": F.expr("greatest(duration_s, 1) / 60D")})
+    at = df.withColumns({"ts_s": epoch_seconds(F.col("game_start")), "minutes": F.expr("greatest(duration_s, 1) / 60D")})
     at = at.withColumns(
         {
             "_cs": F.expr("cs / minutes"), "_gold": F.expr("gold_earned / minutes"), "_vision": F.expr("vision_score / minutes"),
             "_kda": F.expr("(kills + assists) / cast(greatest(deaths, 1) AS double)"), "_share": F.expr("CASE WHEN team_dmg > 0 THEN dmg_champs / cast(team_dmg AS double) ELSE 0.2D END"),
         }
     )
-    at = at.withColumns(
+    return at.withColumns(
         {
             "n": over("count(*)", P), "w": over("sum(win)", P), "_rn": over("count(*)", last(10, "puuid")), "_rw": over("sum(win)", last(10, "puuid")),
             "cs_per_min": over("avg(_cs)", P, None), "gold_per_min": over("avg(_gold)", P, None), "kda": over("avg(_kda)", P, None), "dmg_share": over("avg(_share)", P, None), "vision_per_min": over("avg(_vision)", P, None),
@@ -84,11 +91,21 @@ def player_features(df: DataFrame) -> DataFrame:
             "rg": F.array(*[role_sum("1", r) for r in range(5)]), "rw": F.array(*[role_sum("win", r) for r in range(5)]),
             "_first": F.array(*[over(f"min(CASE WHEN pos_idx = {r} THEN seq END)", P, None) for r in range(5)]),
         }
-    ).withColumns({"_cg": over("count(*)", PC), "_cw": over("sum(win)", PC)})
-    keep = player_values(at).select(*df.columns, *[f for f in PLAYER_FEATURES if f != "champ_role_winrate"])
-    writes = df.selectExpr("patch", "champion_id", "pos_idx AS role", "seq", "win")
-    read = asof_sums(writes, df.select("patch", "champion_id", "role", "seq", *ID), ["patch", "champion_id", "role"], {"_g": "1", "_w": "win"})
-    return keep.join(read.select(*ID, champion_role_winrate().alias("champ_role_winrate")), ID)
+    )
+
+
+def pair_windows(df: DataFrame) -> DataFrame:
+    """Adds the earlier games and wins of a row's player with its champion."""
+    return df.withColumns({"_cg": over("count(*)", PC), "_cw": over("sum(win)", PC)})
+
+
+_GAMES = {"_g": "1", "_w": "win"}
+
+
+def champion_role_winrates(writes: DataFrame, reads: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """(match_id, puuid, champ_role_winrate); sums tell games _g and wins _w of a row of writes."""
+    read = asof_sums(writes, reads.select("patch", "champion_id", "role", "seq", *ID), ["patch", "champion_id", "role"], sums)
+    return read.select(*ID, champion_role_winrate().alias("champ_role_winrate"))
 
 
 def champion_role_winrate() -> Column:
@@ -131,7 +148,12 @@ def duration_preference(df: DataFrame) -> DataFrame:
 
 def champion_scaling(df: DataFrame) -> DataFrame:
     """(match_id, puuid, champion_scaling): read by role, written by true role."""
-    read = asof_sums(df.selectExpr("champion_id", "pos_idx AS role", "seq", "win", "duration_s"), df.select("champion_id", "role", "seq", *ID), ["champion_id", "role"], CURVE)
+    return champion_curves(df.selectExpr("champion_id", "pos_idx AS role", "seq", "win", "duration_s"), df, CURVE)
+
+
+def champion_curves(writes: DataFrame, reads: DataFrame, sums: dict[str, str]) -> DataFrame:
+    """``champion_scaling`` of reads; sums tell the CURVE of a row of writes."""
+    read = asof_sums(writes, reads.select("champion_id", "role", "seq", *ID), ["champion_id", "role"], sums)
     return read.select(*ID, curve("", 40).alias("champion_scaling"))
 
 
@@ -238,6 +260,45 @@ def feature_matrix(df: DataFrame, min_history: int = 5, require_coverage: int =
     return _covered(team_differences(known, min_history), require_coverage).join(style_rows(known, premade_pairs(roled)), "match_id")
 
 
+#: Columns of a player's earlier rows that its features are made of, besides the residuals of its traits.
+OWN = [*ID, "team_id", "champion_id", "pos_idx", "seq", "game_start", "duration_s", "win", "kills", "deaths", "assists", "gold_earned", "cs", "vision_score", "dmg_champs"]
+
+
+def feature_rows(df: DataFrame, live: DataFrame, min_history: int = 5) -> DataFrame:
+    """The rows of ``feature_matrix`` of a few contests, ``live``, which are in df too.
+
+    Only what these read is dealt out: the rows of their players, the sums of their champions and of the
+    teams. The traits alone go through windows over all rows, as each residual asks for the mean before it.
+    """
+    of_live = lambda x, *keys: x.join(live.select(*keys).distinct(), [*keys], "left_semi")
+    at = _own_rows(df, live.select("puuid").distinct())
+    # the longer key first: what the windows by player add, lists among it, is not sorted again
+    fives = F.array(*[over(f"sum(CASE WHEN pos_idx = {r} THEN 1 ELSE 0 END)", PC) for r in range(5)])
+    at = player_windows(styles(pair_windows(at.repartition("puuid").withColumn("by_pair", fives)))).drop(*[c for c in OWN if c not in ID])
+    known = live.select(*ID, "team_id", "champion_id", "patch", "pos_idx", "seq", "game_start", "winner")
+    known = known.join(staged(of_live(at, *ID), "live-windows"), ID)
+    premade = staged(premades(of_live(pair_history(of_live(df.select(*ID, "team_id", "seq"), "puuid")), "match_id")), "live-premades")
+    cell, champions = _GAMES | CURVE, live.select(F.col("champion_id").alias("_c")).distinct()
+    writes = df.join(champions, F.col("champion_id").eqNullSafe(F.col("_c")), "left_semi")
+    cells = staged(condensed(writes, live, ["patch", "champion_id", "pos_idx"], cell), "live-champions")
+    by_champion = asof_sums(cells, live.select("champion_id", "seq", *ID), ["champion_id"], {f"_a{r}": f"CASE WHEN pos_idx = {r} THEN _g ELSE 0 END" for r in range(5)})
+    known = known.join(by_champion.select(*ID, F.array(*[f"_a{r}" for r in range(5)]).alias("by_champion")), ID)
+    roles = best_roles(scored_roles(known.select(*ID, "team_id", "pos_idx", "by_champion", F.col("rg").alias("by_player"), "by_pair")))
+    known = staged(known.join(roles, ID), "live-roles")
+    cells = cells.withColumnRenamed("pos_idx", "role")
+    known = staged(player_values(known).join(champion_role_winrates(cells, known, {k: k for k in _GAMES}), ID).join(champion_curves(cells, known, {k: k for k in CURVE}), ID), "live-known")
+    return team_differences(known, min_history).drop("seq").join(style_rows(known, premade), "match_id")
+
+
+def _own_rows(df: DataFrame, players: DataFrame) -> DataFrame:
+    """The players' rows: OWN, the residuals and team_dmg. Rows of others pass through the running means with nothing but their traits."""
+    own = F.when(F.col("_own"), F.struct(*OWN)).alias("_row")
+    at = df.join(players.withColumn("_own", F.lit(True)), "puuid", "left").select("seq", "team_id", "pos_idx", "puuid", *TRAITS, own)
+    at = trait_residuals(at).where("_row IS NOT NULL").select("_row.*", *[f"r_{t}" for t in TRAITS])
+    teams = df.groupBy(F.col("match_id").alias("_m"), F.col("team_id").alias("_t")).agg(F.sum("dmg_champs").alias("team_dmg"))
+    return at.join(teams, (F.col("match_id") == F.col("_m")) & F.col("team_id").eqNullSafe(F.col("_t"))).drop("_m", "_t")
+
+
 def _covered(rows: DataFrame, least: int) -> DataFrame:
     return rows.where(F.col("blue_coverage") + F.col("red_coverage") >= least).drop("seq")
 

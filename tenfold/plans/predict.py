@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tenfold.functions.scalars import anonymous_id
-from tenfold.operators.features import CURVE, feature_matrix
+from tenfold.operators.features import CURVE, feature_rows
 from tenfold.schemas import QUEUE_ID, TRAITS
+from tenfold.sources.tables import staged
 
 from .mlops import LinearModel
 from .training import Predictor
@@ -76,8 +77,9 @@ def missing_history(depth: DataFrame, listed: DataFrame, stored: DataFrame, game
 
 def predict(live: DataFrame, history: DataFrame, model: LinearModel | Predictor | None = None, min_history: int = 5) -> DataFrame:
     """The live contests' feature rows, with p in [0.01, 0.99] if a model is given. Pure: nothing is kept between calls."""
+    live = staged(history.where("false").unionByName(live, allowMissingColumns=True), "live")
     rows = history.join(live.select("match_id").distinct(), "match_id", "left_anti").unionByName(live, allowMissingColumns=True)
-    row = feature_matrix(rows, min_history).join(live.select("match_id").distinct(), "match_id", "left_semi")
+    row = feature_rows(rows, live, min_history)
     if model is None:
         return row
     return row.join(model.predict(row), "match_id").withColumn("p", F.least(F.greatest("p", F.lit(0.01)), F.lit(0.99)))

@@ -139,6 +139,50 @@ def test_predict_is_pure(rows):
     assert one == catalog.rounded(predict.predict(live, rows)).collect() and len(one) == 1
 
 
+def test_condensed_writes_give_the_same_sums(rows):
+    writes = rows.withColumn("champion_id", F.when(F.col("champion_id") != 3, F.col("champion_id")))
+    reads = writes.where("seq IN (0, 13, 14, 29)").select("champion_id", "seq", "match_id", "puuid")
+    few = causal.condensed(writes, reads, ["champion_id", "pos_idx"], {"n": "1", "w": "win"}, block=5)
+    assert few.where("seq % 5 > 0").select("seq").distinct().count() == 12 and few.where("seq = 5").agg(F.sum("n")).first()[0] == 50
+    want = causal.asof_sums(writes, reads, ["champion_id"], {"n": "1", "w": "win"}, block=5)
+    assert sorted(causal.asof_sums(few, reads, ["champion_id"], {"n": "n", "w": "w"}, block=5).collect(), key=str) == sorted(want.collect(), key=str)
+
+
+def test_live_rows_are_those_of_the_matrix(rows):
+    """Contests between others, of which one comes after another, and champions and traits that are not known."""
+    odd = tables.staged(rows.withColumns({"champion_id": F.when(F.col("champion_id") % 4 > 0, F.col("champion_id")), "solo_kills": F.when(F.col("seq") > 9, F.col("solo_kills"))}), "odd")
+    live = odd.where("seq IN (0, 14, 15, 27)")
+    want = catalog.rounded(X.feature_matrix(odd, 2)).join(live.select("match_id").distinct(), "match_id", "left_semi")
+    got = catalog.rounded(predict.predict(live, odd, min_history=2))
+    assert got.columns == want.columns and got.dtypes == want.dtypes
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 4
+
+
+def _shuffled(spark):
+    """Rows that each stage has written for a shuffle, by the stage's number."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return {x.stageId(): x.shuffleWriteRecords() for x in map(found.apply, range(found.size()))}
+
+
+def test_serving_moves_its_own_rows_only(spark, monkeypatch):
+    """No table that is written holds the history, and no shuffle but that of the traits."""
+    written, history = [], contests(spark, SF)
+
+    def counted(df, name):
+        out = tables.staged(df, name)
+        written.append(out.count())
+        return out
+
+    for module in (X, predict):
+        monkeypatch.setattr(module, "staged", counted, raising=False)
+    n, before = history.count(), _shuffled(spark)
+    predict.predict(history.where("seq = 99"), history).collect()
+    moved = sorted(rows for stage, rows in _shuffled(spark).items() if stage not in before)
+    assert n == 1000 and max(written) < n / 2 and moved[-1] == n and moved[-2] < n / 2
+
+
 def test_limits():
     assert parse_limits("20:1,100:120") == [(20, 1), (100, 120)]
 
